@@ -157,6 +157,8 @@ class Decoder:
             x[thin] = x[thin] << np.uint64(32) | words[used : used + len(thin)]
             used += len(thin)
             state[: len(x)] = x
+        if used != len(words) or (state != LOW).any():  # a whole block ends where its encoder began
+            raise ValueError("a token block does not decode to its end")
         return out
 
 
