@@ -262,13 +262,12 @@ class Cell:
             yield k, self.skipping(k)
 
 
-def join_cell(size: np.ndarray, value: np.ndarray, copies: np.ndarray, side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(group label, number of linked documents) of each set; with both sides present only links across sides count."""
+def join_cell(size: np.ndarray, value: np.ndarray, copies: np.ndarray, side: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group label, number of linked documents) of each set; with sides given, only links across sides count."""
     cell, n = Cell(size.astype(np.int64), value, num, den), len(size)
     label, links = np.arange(n), np.zeros(n, np.int64)
-    across = side.any()
     for k, hit in cell.answers():
-        if across:
+        if side is not None:
             hit = hit[side[hit] != side[k]]
         links[k] = copies[hit].sum()
         groups = np.unique(label[np.r_[hit, k]])
@@ -300,7 +299,7 @@ def _join(num: int, den: int):
         for s, e in zip(edges, edges[1:]):
             own = order[s:e]
             i, j = int(x["i"][own[0]]), int(x["j"][own[0]])
-            side = (x["part"][own] == j) & (i != j)
+            side = None if i == j else x["part"][own] == j
             label, links = join_cell(size[own], value[ragged(begin[own], size[own])], x["copies"][own], side, num, den)
             node = x["lo"][own].view(np.int64)
             a.append(node), b.append(node[label]), count.append(links)

@@ -35,6 +35,7 @@ class Level:
     def __init__(self, symbols: np.ndarray, start: np.ndarray, doc: np.ndarray, ver: np.ndarray, pos: np.ndarray):
         self.symbols, self.start, self.doc, self.ver, self.pos = symbols, start, doc, ver, pos
         self.gone = np.zeros(len(start), bool)
+        self.repeats = np.zeros(len(start), bool)
 
     @classmethod
     def of(cls, p: r.Pieces) -> Level:
@@ -63,16 +64,18 @@ class IndexFamily:
         array = np.lexsort((pos, ver, doc, rank))  # the merged suffix array; equal prefixes in order of place
         at = c.run_starts(rank[array])
         size = np.diff(np.r_[at, len(array)])
-        if self.strict:
-            gone = doc[array] != np.repeat(doc[array][at], size)
-        else:
+        later = doc[array] != np.repeat(doc[array][at], size)
+        gone = later
+        if not self.strict:
             gone = np.ones(len(array), bool)
             gone[at] = False
-        hit = array[gone]
-        part = np.repeat(np.arange(len(parts)), [len(i) for i in live])[hit]
-        index = np.concatenate(live)[hit]
+            for x in (ver, pos):  # a place met twice is a repeated row, not a repeat
+                later = later | (x[array] != np.repeat(x[array][at], size))
+        part = np.repeat(np.arange(len(parts)), [len(i) for i in live])[array]
+        index = np.concatenate(live)[array]
         for k, p in enumerate(parts):
-            p.gone[index[part == k]] = True
+            p.gone[index[gone & (part == k)]] = True
+            p.repeats[index[gone & later & (part == k)]] = True
 
     def add(self, batch: Level) -> None:
         if not self.levels:
@@ -91,7 +94,7 @@ class IndexFamily:
         return Level(np.r_[a.symbols, b.symbols], np.r_[a.start[i], b.start[j] + len(a.symbols)], np.r_[a.doc[i], b.doc[j]], np.r_[a.ver[i], b.ver[j]], np.r_[a.pos[i], b.pos[j]])
 
     def leave(self, level: Level) -> None:
-        self.marked.append((level.doc[level.gone], level.ver[level.gone], level.pos[level.gone]))
+        self.marked.append((level.doc[level.repeats], level.ver[level.repeats], level.pos[level.repeats]))
 
     def result(self) -> tuple[np.ndarray, ...]:
         for _, level in self.levels:

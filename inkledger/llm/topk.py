@@ -94,7 +94,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, cell: int = CELL, queries: i
     across, down = max(1, -(-n // cell)), max(1, -(-m // queries))
     slot = F.xxhash64("vec_id")
     candidates = rows.select("vec_id", "embedding", F.pmod(slot, F.lit(across)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("q"))
-    asked = rows.where(is_query).select("vec_id", "embedding", F.pmod(slot, F.lit(down)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long").alias("c"))
+    asked = rows.where(is_query).select("vec_id", "embedding", F.pmod(slot, F.lit(down)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("c"))
     found = asked.groupBy("q", "c").cogroup(candidates.groupBy("q", "c")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

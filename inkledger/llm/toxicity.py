@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 Texts and terms are folded alike: lower case, accents off, look-alike letters of other alphabets and digit or sign
-substitutions to their Latin letters, and i, l, 1, ! and | to one letter. A term counts between word edges. Matches
+substitutions to their Latin letters, and i, l, 1 (and, inside words, ! and |) to one letter. A term counts between word edges. Matches
 inside an exception phrase do not count. The hits' weight, divided by the root of the number of words, is mapped to
 0..1 so that the best cut on the training rows lands on the threshold.
 
@@ -14,6 +14,7 @@ A null doc_id is not held out. No labels: base terms and default scale. Only doc
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ TERMS = ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "pat
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "pond scum", "sore loser", "worthless coin", "idiot proof", "not stupid", "not worthless", "not an idiot")
 #: Look-alike letters of other alphabets, and substitutions by digits and signs.
 LOOKALIKES = {"а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "ո": "n", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ß": "ss"}
-SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "€": "e", "!": "i", "|": "i", "l": "i"}
+SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "€": "e", "l": "i"}
 SAMPLE = 20_000
 EVIDENCE = 25.0
 SCALE = 0.05
@@ -55,8 +56,12 @@ def _table() -> dict[int, str | None]:
 FOLD = _table()
 
 
+#: Signs that stand for a letter only where a word goes on.
+INSIDE = re.compile(r"[!|](?=[^\W_])")
+
+
 def fold(text: str) -> str:
-    return text.translate(FOLD)
+    return INSIDE.sub("i", text).translate(FOLD)
 
 
 @dataclass(frozen=True)
@@ -146,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         tp, fp = (sum(r.n for r in bins if r.toxic == side and r.bin >= cut) for side in (True, False))
         f1 = 2 * tp / (nt + tp + fp)
         if f1 > best + 1e-9:
-            best, scale = f1, float(np.exp(cut / 16)) * (1 - THRESHOLD) / THRESHOLD * 0.9
+            lower = any(not r.toxic and r.bin < cut for r in bins)  # with no clean hits below, the cut goes well below the toxic ones
+            best, scale = f1, float(np.exp(cut / 16)) * (1 - THRESHOLD) / THRESHOLD * (0.9 if lower else 0.25)
     return Model(weights, scale)
 
 
