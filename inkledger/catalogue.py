@@ -1,0 +1,15 @@
+"""Registered queries over the standard tables, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {"run_report": run_report}
+ORACLE = {"run_report": "SELECT event_type, round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY event_type"}
