@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds a worker's memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Words are maximal runs of anything but these bytes.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True

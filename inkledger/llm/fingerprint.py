@@ -106,7 +106,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in zip(*(batch.column(k).to_pylist() for k in ("range", "ahead", "doc_id", "text"))):
             held.append(row)
             size += len(row[3])
-            if size > c.CHUNK_BYTES // 2:
+            if size > c.CHUNK_BYTES:
                 yield done(held[:-1], held[-1])
                 held, size = held[-1:], len(held[-1][3])
     if held:

@@ -22,6 +22,8 @@ and named by 64 bits of them in the graph.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ from inkledger.llm.repeats import ragged
 SIG = [("sig", "<u8"), ("node", "<u8")]
 SET = [("root", "<i8"), ("i", "<u4"), ("j", "<u4"), ("hi", "<u8"), ("lo", "<u8"), ("copies", "<i8"), ("part", "<u4"), ("size", "<u4")]
 BLOCK = 4096
-EMPTY = np.uint64(0xE3779B97F4A7C15B)
+#: Share of a level's smallest sets that may have more empty blocks than spare ones and so take another family of cuts.
+RARE = 0.1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,42 +80,59 @@ def levels(num: int, den: int, most: int = 1 << 31) -> np.ndarray:
     return np.array(tops)
 
 
-def blocks_for(top: int, num: int, den: int) -> tuple[int, int]:
-    """(blocks, spare blocks) for sets of at most ``top`` shingles: more than linked sets can differ in."""
+def blocks_for(least: int, top: int, num: int, den: int) -> tuple[int, int]:
+    """(blocks, spare blocks) for sets of ``least`` to ``top`` shingles: more than linked sets can differ in.
+
+    So many spare blocks that at most ``RARE`` of the smallest sets have more empty ones.
+    """
     differ = 2 * top * (den - num) // (den + num)
-    if not differ:
-        return 1, 0
-    empty = (differ + 1) * np.exp(-0.85 * top / (differ + 1))
-    spare = int(np.ceil(empty + 3 * np.sqrt(empty)))
+    spare = 0
+    while differ and spare < 2 * differ + 8:
+        m, e = differ + 1 + spare, spare + 1
+        if e >= m or lgamma(m + 1) - lgamma(e + 1) - lgamma(m - e + 1) + least * log1p(-e / m) < log(RARE):
+            break
+        spare += 1
     return differ + 1 + spare, spare
 
 
+@cache
+def _tables(num: int, den: int, schemes: int) -> tuple[tuple[int, int], ...]:
+    tops = levels(num, den).tolist()
+    return tuple(blocks_for(max(1, (low + 1) * num // den), top, num, den) for low, top in zip([0, *tops], tops[:schemes]))
+
+
 def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, num: int, den: int, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of each non-empty block; sets with more empty blocks than spare ones also name the empty ones."""
+    """(row, signature) of each non-empty block.
+
+    A set with more empty blocks than spare ones is also cut by a second family of hashes, and so on until a family
+    suits it. Of two linked sets one is the first to be suited; in that family both are cut, and as it has few enough
+    empty blocks, one of the equal blocks is not empty.
+    """
     level = np.searchsorted(tops, size)
-    table = np.array([blocks_for(int(t), num, den) for t in tops[: level.max(initial=0) + 2]])
+    table = np.array(_tables(num, den, int(level.max(initial=0)) + 2))
     rows_out, out = [], []
     for up in (0, 1):
         goes = size > 0
         if up:
             goes &= size * den // num > tops[level]
-        pick = goes[row]
-        r, v = row[pick], value[pick]
-        if not len(r):
-            continue
-        scheme = level + up
-        m = table[scheme, 0][r].astype(np.uint64)
-        block = ((v >> np.uint64(32)) * m) >> np.uint64(32)
-        at = c.run_starts(r, block)
-        content = np.add.reduceat(c.mix(v ^ np.uint64(0x2545F4914F6CDD1D)), at)
-        r, block = r[at], block[at]
-        rows_out.append(r)
-        out.append(c.mix(content ^ c.mix(block + (scheme[r].astype(np.uint64) << np.uint64(40)))))
-        filled = np.bincount(r, minlength=len(size))
-        for k in np.flatnonzero(goes & (table[scheme, 0] - filled > table[scheme, 1])):
-            none = np.setdiff1d(np.arange(table[scheme[k], 0]), block[r == k].astype(np.int64)).astype(np.uint64)
-            rows_out.append(np.full(len(none), k))
-            out.append(c.mix(EMPTY ^ c.mix(none + (np.uint64(scheme[k]) << np.uint64(40)))))
+        scheme, family = level + up, 0
+        while goes.any():
+            pick = goes[row]
+            r, v = row[pick], value[pick]
+            if family:
+                v = c.mix(v + np.uint64(family))
+            m = table[scheme, 0][r].astype(np.uint64)
+            block = ((v >> np.uint64(32)) * m) >> np.uint64(32)
+            if family:
+                order = np.lexsort((block, r))
+                r, v, block = r[order], v[order], block[order]
+            at = c.run_starts(r, block)
+            content = np.add.reduceat(c.mix(v ^ np.uint64(0x2545F4914F6CDD1D)), at)
+            r, block = r[at], block[at]
+            rows_out.append(r)
+            out.append(c.mix(content ^ c.mix(block + (scheme[r].astype(np.uint64) << np.uint64(40)) + (np.uint64(family) << np.uint64(56)))))
+            goes = goes & (table[scheme, 0] - np.bincount(r, minlength=len(size)) > table[scheme, 1])
+            family += 1
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(rows_out), np.concatenate(out)

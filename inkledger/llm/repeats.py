@@ -34,6 +34,8 @@ PIECE = [("anchor", "<u8"), ("doc", "<i8"), ("ver", "<u4"), ("pos", "<u4"), ("n"
 #: Positions share a 64-bit word with the hash that windows compare by.
 PLACE_BITS = np.uint64(26)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Index tasks for each shuffle partition: an index needs many times its symbols in memory.
+INDEX_SPLIT = 4
 
 
 @dataclass(frozen=True)
@@ -281,8 +283,9 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, index: Callable, name: str
     routed = c.exchange(docs.mapInArrow(_route(scheme, buckets), c.PACKED), buckets)
     first = c.write_table(routed.mapInArrow(_first_places(scheme.strict), MARKS), f"{name}-first")
     asked = first.where("kind = 1").groupBy("doc_id", "ver").agg(F.collect_list("payload").alias("asked"))
-    cut = docs.join(asked.hint("shuffle_hash"), ["doc_id", "ver"]).mapInArrow(_fetch(scheme, buckets), c.PACKED)
-    decided = c.write_table(c.exchange(cut, buckets).mapInArrow(index, MARKS), f"{name}-decided")
+    groups = buckets * INDEX_SPLIT
+    cut = docs.join(asked.hint("shuffle_hash"), ["doc_id", "ver"]).mapInArrow(_fetch(scheme, groups), c.PACKED)
+    decided = c.write_table(c.exchange(cut, groups).mapInArrow(index, MARKS), f"{name}-decided")
     spans = first.where("kind = 0").unionByName(decided)
     return spans.groupBy("doc_id", "ver").agg(F.collect_list("payload").alias("spans"))
 

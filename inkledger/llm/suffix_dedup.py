@@ -26,7 +26,7 @@ from inkledger.llm import repeats as r
 WIDTH = 100
 GRAM = 32
 #: Symbols of a batch; a level holds that times a power of two.
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 
 class Level:
