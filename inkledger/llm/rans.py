@@ -16,6 +16,7 @@ their text's crc32; repeated rows are separate documents. Other columns are not
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -50,27 +51,32 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         import regex
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.split = regex.compile(GPT2_SPLIT)
-        self.letters = regex.compile(r" \p{L}+")
         self.pieces: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
         self.odd = re.compile(r"\s ")
         self.cut = re.compile(r"(?<=\S)(?= )")
 
-    def _learn(self, wanted: list[str]) -> None:
-        plain = [w for w in wanted if self.letters.fullmatch(w)]
+    @staticmethod
+    def _plain(word: str) -> bool:
+        """A space and letters: one pre-token, also in front of another such."""
+        return word[0] == " " and word[1:].isalpha()
+
+    def _learn(self, wanted: set[str]) -> None:
+        plain = [w for w in wanted if self._plain(w)]
         for at in range(0, len(plain), 512):
             part = plain[at : at + 512]
             got = self.model.encode("".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            edges = np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1)).tolist()
-            for w, a, b in zip(part, edges, edges[1:]):
-                self.tokens[w] = ids[a:b].tobytes()
-        rest = [w for w in wanted if not self.letters.fullmatch(w)]
+            ids = np.array(got.ids, "<u4").tobytes()
+            edges = (4 * np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1))).tolist()
+            self.tokens.update((w, ids[a:b]) for w, a, b in zip(part, edges, edges[1:]))
+        rest = [w for w in wanted if not self._plain(w)]
         for w, got in zip(rest, self.model.encode_batch(rest, add_special_tokens=False)):
             self.tokens[w] = np.array(got.ids, "<u4").tobytes()
 
@@ -78,10 +84,10 @@ class WordTokenizer:
         """Ids of each text as little-endian u32."""
         cut = [self.cut.split(t) if self.odd.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else self.cut.split(t) for t in texts]
         need = set().union(*cut) - self.pieces.keys()
-        split = {p: self.split.findall(p) for p in need}
+        split = {p: [p] if p and self._plain(p) else self.split.findall(p) for p in need}
         missing = {w for ws in split.values() for w in ws} - self.tokens.keys()
         if missing:
-            self._learn(sorted(missing))
+            self._learn(missing)
         for p, ws in split.items():
             self.pieces[p] = b"".join([self.tokens[w] for w in ws])
         out = [b"".join(map(self.pieces.__getitem__, p)) for p in cut]
