@@ -35,8 +35,10 @@ from inkledger.llm.components import components
 from inkledger.llm.repeats import ragged
 
 SIG = [("sig", "<u8"), ("node", "<u8")]
-SET = [("root", "<i8"), ("i", "<u4"), ("j", "<u4"), ("hi", "<u8"), ("lo", "<u8"), ("copies", "<i8"), ("part", "<u4"), ("size", "<u4")]
-BLOCK = 4096
+SET = [("root", "<i8"), ("scheme", "<u4"), ("i", "<u4"), ("j", "<u4"), ("hi", "<u8"), ("lo", "<u8"), ("copies", "<i8"), ("part", "<u4"), ("size", "<u4")]
+BLOCK = 2048
+#: Sets that no family suits (with low thresholds, sets smaller than the blocks) are listed by each shingle.
+FAMILIES = 8
 #: Share of a level's smallest sets that may have more empty blocks than spare ones and so take another family of cuts.
 RARE = 0.1
 
@@ -101,8 +103,8 @@ def _tables(num: int, den: int, schemes: int) -> tuple[tuple[int, int], ...]:
     return tuple(blocks_for(max(1, (low + 1) * num // den), top, num, den) for low, top in zip([0, *tops], tops[:schemes]))
 
 
-def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, num: int, den: int, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of each non-empty block.
+def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, num: int, den: int, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, scheme) of each non-empty block; a set takes its level's scheme and, if linked sets can lie there, the next one's.
 
     A set with more empty blocks than spare ones is also cut by a second family of hashes, and so on until a family
     suits it. Of two linked sets one is the first to be suited; in that family both are cut, and as it has few enough
@@ -110,11 +112,9 @@ def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, num: int, d
     """
     level = np.searchsorted(tops, size)
     table = np.array(_tables(num, den, int(level.max(initial=0)) + 2))
-    rows_out, out = [], []
+    rows_out, out, schemes = [], [], []
     for up in (0, 1):
-        goes = size > 0
-        if up:
-            goes &= size * den // num > tops[level]
+        goes = (size > 0) & climbs(size, num, den, tops) if up else size > 0
         scheme, family = level + up, 0
         while goes.any():
             pick = goes[row]
@@ -122,7 +122,8 @@ def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, num: int, d
             if family:
                 v = c.mix(v + np.uint64(family))
             m = table[scheme, 0][r].astype(np.uint64)
-            block = ((v >> np.uint64(32)) * m) >> np.uint64(32)
+            single = family == FAMILIES
+            block = v if single else ((v >> np.uint64(32)) * m) >> np.uint64(32)
             if family:
                 order = np.lexsort((block, r))
                 r, v, block = r[order], v[order], block[order]
@@ -130,20 +131,36 @@ def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, num: int, d
             content = np.add.reduceat(c.mix(v ^ np.uint64(0x2545F4914F6CDD1D)), at)
             r, block = r[at], block[at]
             rows_out.append(r)
+            schemes.append(scheme[r])
             out.append(c.mix(content ^ c.mix(block + (scheme[r].astype(np.uint64) << np.uint64(40)) + (np.uint64(family) << np.uint64(56)))))
-            goes = goes & (table[scheme, 0] - np.bincount(r, minlength=len(size)) > table[scheme, 1])
+            goes = goes & (not single) & (table[scheme, 0] - np.bincount(r, minlength=len(size)) > table[scheme, 1])
             family += 1
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(rows_out), np.concatenate(out)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(rows_out), np.concatenate(out), np.concatenate(schemes)
 
 
-def _describe(q: int):
+def climbs(size: np.ndarray, num: int, den: int, tops: np.ndarray) -> np.ndarray:
+    """Whether a larger linked set can lie in the next level."""
+    return size * den // num > tops[np.searchsorted(tops, size)]
+
+
+def node_of(lo: np.ndarray, scheme: np.ndarray) -> np.ndarray:
+    """A set's name within one size scheme; clusters are made scheme by scheme, so sizes do not chain."""
+    return c.mix(lo + scheme.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _describe(q: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = levels(num, den)
         for batch in batches:
             for i, j, data, offsets in c.text_chunks(batch):
                 size, hi, lo = names(*shingle_sets(data, offsets, q), j - i)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], batch.column("ver")[i:j], pa.array(size, pa.int64()), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], names=["doc_id", "ver", "n_shingles", "hi", "lo"])
+                level = np.searchsorted(tops, size)
+                nodes = [node_of(lo, level + up).view(np.int64) for up in (0, 1)]
+                cols = [batch.column("doc_id")[i:j], batch.column("ver")[i:j], pa.array(size, pa.int64()), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))]
+                cols += [pa.array(level, pa.int32()), pa.array(nodes[0]), pa.array(nodes[1], mask=~climbs(size, num, den, tops))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ver", "n_shingles", "hi", "lo", "level", "node", "node_up"])
 
     return run
 
@@ -159,8 +176,8 @@ def _sign(q: int, num: int, den: int, buckets: int):
                 keep = np.zeros(j - i, bool)
                 keep[one] = True
                 pick = keep[row]
-                r, sig = signatures(row[pick], value[pick], np.where(keep, size, 0), num, den, tops)
-                yield from out.add(sig, sig, lo[r])
+                r, sig, scheme = signatures(row[pick], value[pick], np.where(keep, size, 0), num, den, tops)
+                yield from out.add(sig, sig, node_of(lo[r], scheme))
         yield from out.flush()
 
     return run
@@ -186,7 +203,7 @@ def _ship(q: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            root, parts, part, copies = (c.column(batch, k) for k in ("root", "parts", "part", "copies"))
+            root, scheme, parts, part, copies = (c.column(batch, k) for k in ("root", "scheme", "parts", "part", "copies"))
             for b0, b1, data, offsets in c.text_chunks(batch):
                 row, value = shingle_sets(data, offsets, q)
                 size, hi, lo = names(row, value, b1 - b0)
@@ -198,7 +215,7 @@ def _ship(q: int, buckets: int):
                 bucket = c.mix(root[b0:b1][rep].astype(np.uint64) ^ c.mix((i << 32 | j).astype(np.uint64))) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 rep, i, j, bucket = rep[order], i[order], j[order], bucket[order].astype(np.int32)
-                cols = dict(root=root[b0:b1][rep], i=i, j=j, hi=hi[rep], lo=lo[rep], copies=copies[b0:b1][rep], part=own[rep], size=size[rep])
+                cols = dict(root=root[b0:b1][rep], scheme=scheme[b0:b1][rep], i=i, j=j, hi=hi[rep], lo=lo[rep], copies=copies[b0:b1][rep], part=own[rep], size=size[rep])
                 edge = np.r_[c.run_starts(bucket), len(bucket)]
                 blobs = [np.int64(b - a).tobytes() + b"".join(cols[k][a:b].astype(kind).tobytes() for k, kind in SET) + value[ragged(at[rep[a:b]], size[rep[a:b]])].tobytes() for a, b in zip(edge, edge[1:])]
                 if blobs:
@@ -282,11 +299,15 @@ class Cell:
             yield k, self.skipping(k)
 
 
-def join_cell(size: np.ndarray, value: np.ndarray, copies: np.ndarray, side: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(group label, number of linked documents) of each set; with sides given, only links across sides count."""
+def join_cell(size: np.ndarray, value: np.ndarray, copies: np.ndarray, side: np.ndarray | None, num: int, den: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(group label, number of linked documents) of each set.
+
+    With sides given, only links across sides count; a link counts in the scheme of its larger set, which has more than ``least`` shingles.
+    """
     cell, n = Cell(size.astype(np.int64), value, num, den), len(size)
     label, links = np.arange(n), np.zeros(n, np.int64)
     for k, hit in cell.answers():
+        hit = hit[np.maximum(size[hit], size[k]) > least]
         if side is not None:
             hit = hit[side[hit] != side[k]]
         links[k] = copies[hit].sum()
@@ -310,7 +331,7 @@ def _join(num: int, den: int):
         if not cols:
             return
         x, value = {k: np.concatenate([y[k] for y in cols]) for k, _ in SET}, np.concatenate(values)
-        size = x["size"].astype(np.int64)
+        size, floors = x["size"].astype(np.int64), [0, *levels(num, den).tolist()]
         begin = np.cumsum(size) - size
         order = np.lexsort((x["lo"], x["hi"], x["j"], x["i"], x["root"]))
         order = order[c.run_starts(*(x[k][order] for k in ("root", "i", "j", "hi", "lo")))]
@@ -320,7 +341,7 @@ def _join(num: int, den: int):
             own = order[s:e]
             i, j = int(x["i"][own[0]]), int(x["j"][own[0]])
             side = None if i == j else x["part"][own] == j
-            label, links = join_cell(size[own], value[ragged(begin[own], size[own])], x["copies"][own], side, num, den)
+            label, links = join_cell(size[own], value[ragged(begin[own], size[own])], x["copies"][own], side, num, den, floors[x["scheme"][own[0]]])
             node = x["lo"][own].view(np.int64)
             a.append(node), b.append(node[label]), count.append(links)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in (a, b, count)], names=["a", "b", "links"])
@@ -328,9 +349,9 @@ def _join(num: int, den: int):
     return run
 
 
-def describe(docs: DataFrame, q: int) -> DataFrame:
-    """doc_id, ver, n_shingles and the set's name (hi, lo) of every row, as a table."""
-    sets = docs.mapInArrow(_describe(q), "doc_id long, ver long, n_shingles long, hi long, lo long")
+def describe(docs: DataFrame, q: int, num: int, den: int) -> DataFrame:
+    """doc_id, ver, n_shingles, the set's name (hi, lo) and its nodes in its size schemes, as a table."""
+    sets = docs.mapInArrow(_describe(q, num, den), "doc_id long, ver long, n_shingles long, hi long, lo long, level int, node long, node_up long")
     return c.write_table(sets, "jaccard-sets")
 
 
@@ -339,14 +360,17 @@ def link_groups(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, bl
     buckets = c.partitions(docs.sparkSession)
     lists = c.exchange(docs.mapInArrow(_sign(q, num, den, buckets), c.PACKED), buckets)
     near = c.write_table(lists.mapInArrow(_leaders, "a long, b long").distinct(), "jaccard-near")
-    clusters = components(near, "jaccard-clusters").withColumnRenamed("node", "lo")
-    chosen = F.min(F.struct("doc_id", "ver")).alias("one")
-    member = sets.where("n_shingles > 0").join(clusters, "lo").groupBy("root", "hi", "lo").agg(chosen, F.count(F.lit(1)).alias("copies"))
-    member = c.write_table(member.select("root", "hi", "copies", "one.doc_id", "one.ver"), "jaccard-members")
+    clusters = components(near, "jaccard-clusters")
+    one = sets.where("n_shingles > 0").groupBy("hi", "lo", "level", "node", "node_up").agg(F.min(F.struct("doc_id", "ver")).alias("one"), F.count(F.lit(1)).alias("copies"))
+    up = F.struct((F.col("level") + 1).alias("scheme"), F.col("node_up").alias("node"))
+    spots = F.array_compact(F.array(F.struct(F.col("level").alias("scheme"), "node"), F.when(F.col("node_up").isNotNull(), up)))
+    spread = one.select("hi", "lo", "one", "copies", F.inline(spots))
+    member = spread.join(clusters, "node").select("root", "scheme", "hi", "copies", "one.doc_id", "one.ver")
+    member = c.write_table(member, "jaccard-members")
     width = member.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    member = member.join(width, "root").select("doc_id", "ver", "root", "copies", "parts", F.pmod("hi", "parts").alias("part"))
+    member = member.join(width, "root").select("doc_id", "ver", "root", "scheme", "copies", "parts", F.pmod("hi", "parts").alias("part"))
     d, m = docs.alias("d"), member.alias("m").hint("shuffle_hash")
-    texts = d.join(m, F.expr("d.doc_id <=> m.doc_id and d.ver = m.ver")).select("d.text", "m.root", "m.copies", "m.parts", "m.part")
+    texts = d.join(m, F.expr("d.doc_id <=> m.doc_id and d.ver = m.ver")).select("d.text", "m.root", "m.scheme", "m.copies", "m.parts", "m.part")
     cells = c.exchange(texts.mapInArrow(_ship(q, buckets), c.PACKED), buckets)
     linked = c.write_table(cells.mapInArrow(_join(num, den), "a long, b long, links long"), "jaccard-links")
     groups = components(linked, "jaccard-groups")
@@ -356,7 +380,7 @@ def link_groups(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, bl
 def jaccard_groups(docs: DataFrame, q: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
     """doc_id, ver, n_shingles, component_id, n_links of every row; sets link at intersection * den >= num * union."""
     base = c.docs_with_version(docs)
-    sets = describe(base, q)
+    sets = describe(base, q, num, den)
     groups, links = link_groups(base, sets, q, num, den, block)
     about = groups.join(links, "node", "full").select(F.col("node").alias("lo"), F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     one = sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))

@@ -178,7 +178,7 @@ def test_op3_block_signatures_meet():
                 if (n - lost) * den < num * (len(a) + len(b) - (n - lost)):
                     continue
                 row, value = np.repeat([0, 1], [len(a), len(b)]), np.r_[a, b]
-                r, s = jaccard_join.signatures(row, value, np.array([len(a), len(b)]), num, den, tops)
+                r, s, _ = jaccard_join.signatures(row, value, np.array([len(a), len(b)]), num, den, tops)
                 assert set(s[r == 0]) & set(s[r == 1]), (n, lost, gained)
 
 
