@@ -17,7 +17,6 @@ their text's crc32; repeated rows are separate documents. Other columns are not
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,17 +35,58 @@ LANES = 1024
 #: A block is closed once it holds so many ids.
 BLOCK_IDS = 1 << 18
 END_ID = 2
-#: Distinct words that a worker remembers.
-WORDS_KEPT = 1_500_000
+#: Distinct pre-tokens, and stretches between spaces, that a worker remembers.
+WORDS_KEPT = 600_000
+PIECES_KEPT = 300_000
 HEAD = struct.Struct("<4sIQQII")
 GPT2_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class Pretokens(dict):
+    """The ids of each pre-token as little-endian u16, learnt on first sight."""
+
+    def __init__(self, bpe):
+        self.bpe = bpe
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = [b for b in range(256) if b not in own]
+        self.shown = {b: 256 + i for i, b in enumerate(rest)}  # byte-level BPE writes these bytes as other characters
+
+    def __missing__(self, word: str) -> bytes:
+        ids = [t.id for t in self.bpe.tokenize(word.encode().decode("latin-1").translate(self.shown))]
+        self[word] = found = struct.pack(f"<{len(ids)}H", *ids)
+        return found
+
+
+class Pieces(dict):
+    """The ids of each stretch that begins with a space; one that ends in white space is flagged instead."""
+
+    def __init__(self, tokens: Pretokens, split):
+        self.tokens, self.split, self.odd = tokens, split, False
+
+    def words(self, piece: str) -> list[str]:
+        """Pre-tokens; the common shapes are cut without the pattern."""
+        core = piece.rstrip(".,!?;:")
+        if core[:1] == " " and core[1:].isalpha():
+            return [core, piece[len(core) :]] if len(core) < len(piece) else [piece]
+        head, line, tail = piece.partition("\n")
+        if tail.isalpha() and head and not head[-1].isspace():
+            return [*self.words(head), line, tail]
+        return self.split.findall(piece)
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[-1:].isspace():
+            self.odd = True
+            return b""
+        self[piece] = found = b"".join([self.tokens[w] for w in self.words(piece)])
+        return found
+
+
 class WordTokenizer:
     """Encodes whole texts with the ``tokenizers`` library, one distinct pre-token at a time.
 
     A byte-level BPE works on each pre-token alone, and a text may be cut before any space that follows a
     character other than white space without changing its pre-tokens; so ids of pieces are looked up and joined.
+    A text with other cuts, or one that holds an added token's string, takes the plain way.
     """
 
     def __init__(self, path: str):
@@ -56,47 +96,31 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.split = regex.compile(GPT2_SPLIT)
-        self.pieces: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s ")
-        self.cut = re.compile(r"(?<=\S)(?= )")
-
-    @staticmethod
-    def _plain(word: str) -> bool:
-        """A space and letters: one pre-token, also in front of another such."""
-        return word[0] == " " and word[1:].isalpha()
-
-    def _learn(self, wanted: set[str]) -> None:
-        plain = [w for w in wanted if self._plain(w)]
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
-            got = self.model.encode("".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            edges = (4 * np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1))).tolist()
-            self.tokens.update((w, ids[a:b]) for w, a, b in zip(part, edges, edges[1:]))
-        rest = [w for w in wanted if not self._plain(w)]
-        for w, got in zip(rest, self.model.encode_batch(rest, add_special_tokens=False)):
-            self.tokens[w] = np.array(got.ids, "<u4").tobytes()
+        self.tokens = Pretokens(self.model.model)
+        self.pieces = Pieces(self.tokens, self.split)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian u32."""
-        cut = [self.cut.split(t) if self.odd.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else self.cut.split(t) for t in texts]
-        need = set().union(*cut) - self.pieces.keys()
-        split = {p: [p] if p and self._plain(p) else self.split.findall(p) for p in need}
-        missing = {w for ws in split.values() for w in ws} - self.tokens.keys()
-        if missing:
-            self._learn(missing)
-        for p, ws in split.items():
-            self.pieces[p] = b"".join([self.tokens[w] for w in ws])
-        out = [b"".join(map(self.pieces.__getitem__, p)) for p in cut]
-        if len(self.pieces) > WORDS_KEPT:
-            self.pieces = {}
-        if len(self.tokens) > WORDS_KEPT:
-            self.tokens = {}
+        """Ids of each text as little-endian u16."""
+        out = [self._one(t) for t in texts]
+        for kept, most in ((self.pieces, PIECES_KEPT), (self.tokens, WORDS_KEPT)):
+            if len(kept) > most:  # frequent words were met early
+                for late in list(kept)[most // 2 :]:
+                    del kept[late]
         return out
 
+    def _one(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            ids = self.model.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}H", *ids)
+        if "\0" not in text:
+            self.pieces.odd = False
+            found = b"".join(map(self.pieces.__getitem__, text.replace(" ", "\0 ").split("\0")))
+            if not self.pieces.odd:
+                return found
+        return b"".join(map(self.tokens.__getitem__, self.split.findall(text)))
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -196,11 +220,11 @@ def unpack_block(block: bytes, decoder: Decoder) -> tuple[np.ndarray, np.ndarray
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(path)
-        end = np.array([end_id], "<u4").tobytes()
+        end = struct.pack("<H", end_id)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for at in range(0, len(texts), 1000):
-                part = [np.frombuffer(x + end, "<u4").astype("<u2" if end_id < 1 << 16 else "<u4").tobytes() for x in model.encode(texts[at : at + 1000])]
+                part = [x + end for x in model.encode(texts[at : at + 1000])]
                 rows = slice(at, at + len(part))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], batch.column("ver")[rows], pa.array(part, pa.binary())], names=["doc_id", "ver", "ids"])
 

@@ -371,3 +371,18 @@ def test_packer_round_trip():
     out = [x for i in range(0, 35, 7) for x in packer.add(a[i : i + 7], a[i : i + 7], b[i : i + 7])] + list(packer.flush())
     got = list(common.unpacked(iter(out), fields))
     assert sorted(zip(got[0]["a"].tolist(), got[0]["b"].tolist())) == list(zip(a.tolist(), b.tolist()))
+
+
+def test_word_tokenizer_equals_library():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = rans.WordTokenizer(path), Tokenizer.from_file(path)
+    draw = random.Random(3)
+    bits = [" ", "  ", "\n", "\t", "\r\n", "a", "word", "É", "12", "it's", "'s", ".", ",!", "\0", "<|endoftext|>", "\u00a0", "\u3000", "中文", "\x85", "²"]
+    texts = ["", " ", "\n", "a ", "a\n", *("".join(draw.choice(bits) for _ in range(draw.randint(1, 14))) for _ in range(3000))]
+    want = [np.array(x.ids, "<u2").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want
