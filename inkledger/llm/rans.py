@@ -86,7 +86,7 @@ class WordTokenizer:
 
     A byte-level BPE works on each pre-token alone, and a text may be cut before any space that follows a
     character other than white space without changing its pre-tokens; so ids of pieces are looked up and joined.
-    A text with other cuts, or one that holds an added token's string, takes the plain way.
+    A text with other cuts is split by the pattern as a whole.
     """
 
     def __init__(self, path: str):
@@ -95,10 +95,9 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        model = Tokenizer.from_file(path)  # an added token's string in a text is ordinary text
         self.split = regex.compile(GPT2_SPLIT)
-        self.tokens = Pretokens(self.model.model)
+        self.tokens = Pretokens(model.model)
         self.pieces = Pieces(self.tokens, self.split)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -111,9 +110,6 @@ class WordTokenizer:
         return out
 
     def _one(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            ids = self.model.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}H", *ids)
         if "\0" not in text:
             self.pieces.odd = False
             found = b"".join(map(self.pieces.__getitem__, text.replace(" ", "\0 ").split("\0")))

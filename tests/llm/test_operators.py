@@ -381,6 +381,7 @@ def test_word_tokenizer_equals_library():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     own, plain = rans.WordTokenizer(path), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
     draw = random.Random(3)
     bits = [" ", "  ", "\n", "\t", "\r\n", "a", "word", "É", "12", "it's", "'s", ".", ",!", "\0", "<|endoftext|>", "\u00a0", "\u3000", "中文", "\x85", "²"]
     texts = ["", " ", "\n", "a ", "a\n", *("".join(draw.choice(bits) for _ in range(draw.randint(1, 14))) for _ in range(3000))]
