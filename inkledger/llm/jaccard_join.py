@@ -2,11 +2,11 @@
 
 Method, in three steps:
 
-1. *Lists by position blocks.* A set's sorted shingle hashes are cut at fixed positions of the hash range into more
-   blocks than two linked sets of its size can differ in, so linked sets share a whole non-empty block. Index lists
-   keyed by (size level, block, block content) therefore hold every link; lists that a set's blocks do not hit are
-   skipped unread. Lists are streamed with one leader each; members point to leaders, and the connected clusters of
-   those pointers contain every link.
+1. *Index lists by position.* Shingles are ordered from rare to frequent by counters over all documents. Two linked
+   sets share a shingle among the first positions of both (size - ceil(threshold * size) + 1 of them), so only those
+   positions are listed, by size level and shingle; later blocks of positions, where the frequent shingles of passages
+   that many documents hold lie, are skipped. Lists are streamed with one leader each; members point to leaders, and
+   the connected clusters of those pointers contain every link.
 2. *Exact join inside clusters* (``join_cell``): inverted lists of the rarest shingles, ordered by position and cut
    off where the position leaves too few shingles for a link; and a set that is highly similar to the set before it
    derives all of its overlaps from that set's computed overlaps, reading only the lists of shingles that differ.
@@ -22,8 +22,6 @@ and named by 64 bits of them in the graph.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
-from math import lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +35,8 @@ from inkledger.llm.repeats import ragged
 SIG = [("sig", "<u8"), ("node", "<u8")]
 SET = [("root", "<i8"), ("scheme", "<u4"), ("i", "<u4"), ("j", "<u4"), ("hi", "<u8"), ("lo", "<u8"), ("copies", "<i8"), ("part", "<u4"), ("size", "<u4")]
 BLOCK = 2048
-#: Sets that no family suits (with low thresholds, sets smaller than the blocks) are listed by each shingle.
-FAMILIES = 8
-#: Share of a level's smallest sets that may have more empty blocks than spare ones and so take another family of cuts.
-RARE = 0.1
+#: Counters of shingle frequencies, and the slices in which tasks add them up.
+COUNTER_BITS, SLICES = 22, 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,62 +78,63 @@ def levels(num: int, den: int, most: int = 1 << 31) -> np.ndarray:
     return np.array(tops)
 
 
-def blocks_for(least: int, top: int, num: int, den: int) -> tuple[int, int]:
-    """(blocks, spare blocks) for sets of ``least`` to ``top`` shingles: more than linked sets can differ in.
+def counted(value: np.ndarray) -> np.ndarray:
+    """Each shingle's counter."""
+    return (value >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
-    So many spare blocks that at most ``RARE`` of the smallest sets have more empty ones.
-    """
-    differ = 2 * top * (den - num) // (den + num)
-    spare = 0
-    while differ and spare < 2 * differ + 8:
-        m, e = differ + 1 + spare, spare + 1
-        if e >= m or lgamma(m + 1) - lgamma(e + 1) - lgamma(m - e + 1) + least * log1p(-e / m) < log(RARE):
-            break
-        spare += 1
-    return differ + 1 + spare, spare
 
+def _count(q: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << COUNTER_BITS, np.uint32)
+        for batch in batches:
+            for i, j, data, offsets in c.text_chunks(batch):
+                row, value = shingle_sets(data, offsets, q)
+                _, _, lo = names(row, value, j - i)
+                keep = np.zeros(j - i, bool)
+                keep[np.unique(lo, return_index=True)[1]] = True  # one of each group of copies
+                at, n = np.unique(counted(value[keep[row]]), return_counts=True)
+                table[at] += n.astype(np.uint32)
+        if table.any():
+            blobs = [pa.Codec("zstd", 1).compress(part.tobytes(), asbytes=True) for part in np.split(table, SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "payload"])
 
-@cache
-def _tables(num: int, den: int, schemes: int) -> tuple[tuple[int, int], ...]:
-    tops = levels(num, den).tolist()
-    return tuple(blocks_for(max(1, (low + 1) * num // den), top, num, den) for low, top in zip([0, *tops], tops[:schemes]))
+    return run
+
+
+def _levels_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum the tasks' counters slice by slice; a quarter of a doubling is one level."""
+    width, total = (1 << COUNTER_BITS) // SLICES, {}
+    for batch in batches:
+        for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("payload")):
+            part = np.frombuffer(pa.Codec("zstd").decompress(blob.as_py(), width * 4, asbytes=True), np.uint32)
+            total[k] = total.get(k, 0) + part.astype(np.float64)
+    blobs = [np.floor(4 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "payload"])
 
 
-def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, num: int, den: int, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, signature, scheme) of each non-empty block; a set takes its level's scheme and, if linked sets can lie there, the next one's.
+def rarity(docs: DataFrame, q: int) -> np.ndarray:
+    """How frequent the shingles of each counter are over all documents: 4 MB, whatever the input.
 
-    A set with more empty blocks than spare ones is also cut by a second family of hashes, and so on until a family
-    suits it. Of two linked sets one is the first to be suited; in that family both are cut, and as it has few enough
-    empty blocks, one of the equal blocks is not empty.
+    Shingles that share a counter share its level. The levels only order shingles, and every common order gives all
+    links, so a coarse count costs candidates and never a link.
     """
-    level = np.searchsorted(tops, size)
-    table = np.array(_tables(num, den, int(level.max(initial=0)) + 2))
-    rows_out, out, schemes = [], [], []
-    for up in (0, 1):
-        goes = (size > 0) & climbs(size, num, den, tops) if up else size > 0
-        scheme, family = level + up, 0
-        while goes.any():
-            pick = goes[row]
-            r, v = row[pick], value[pick]
-            if family:
-                v = c.mix(v + np.uint64(family))
-            m = table[scheme, 0][r].astype(np.uint64)
-            single = family == FAMILIES
-            block = v if single else ((v >> np.uint64(32)) * m) >> np.uint64(32)
-            if family:
-                order = np.lexsort((block, r))
-                r, v, block = r[order], v[order], block[order]
-            at = c.run_starts(r, block)
-            content = np.add.reduceat(c.mix(v ^ np.uint64(0x2545F4914F6CDD1D)), at)
-            r, block = r[at], block[at]
-            rows_out.append(r)
-            schemes.append(scheme[r])
-            out.append(c.mix(content ^ c.mix(block + (scheme[r].astype(np.uint64) << np.uint64(40)) + (np.uint64(family) << np.uint64(56)))))
-            goes = goes & (not single) & (table[scheme, 0] - np.bincount(r, minlength=len(size)) > table[scheme, 1])
-            family += 1
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(rows_out), np.concatenate(out), np.concatenate(schemes)
+    sums = c.exchange(docs.mapInArrow(_count(q), c.PACKED), min(SLICES, c.partitions(docs.sparkSession))).mapInArrow(_levels_of, c.PACKED)
+    out = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), np.uint8)
+    for k, blob in sums.collect():
+        out[k] = np.frombuffer(blob, np.uint8)
+    return out.ravel()
+
+
+def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, rare: np.ndarray, num: int, den: int, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, scheme) of each shingle in a set's prefix, rarest first; a set takes its level's scheme and, if larger linked sets can lie there, the next one's."""
+    order = np.lexsort((value, rare[counted(value)], row))
+    r, v = row[order], value[order]
+    place = np.arange(len(r)) - np.searchsorted(r, np.arange(len(size)))[r]
+    front = place < (size - (size * num + den - 1) // den + 1)[r]
+    r, v = r[front], v[front]
+    level, up = np.searchsorted(tops, size), climbs(size, num, den, tops)[r]
+    r, v, scheme = np.r_[r, r[up]], np.r_[v, v[up]], np.r_[level[r], level[r[up]] + 1]
+    return r, c.mix(v ^ c.mix(scheme.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))), scheme
 
 
 def climbs(size: np.ndarray, num: int, den: int, tops: np.ndarray) -> np.ndarray:
@@ -165,7 +162,7 @@ def _describe(q: int, num: int, den: int):
     return run
 
 
-def _sign(q: int, num: int, den: int, buckets: int):
+def _sign(q: int, num: int, den: int, buckets: int, rare: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, tops = c.Packer(SIG, buckets), levels(num, den)
         for batch in batches:
@@ -176,7 +173,7 @@ def _sign(q: int, num: int, den: int, buckets: int):
                 keep = np.zeros(j - i, bool)
                 keep[one] = True
                 pick = keep[row]
-                r, sig, scheme = signatures(row[pick], value[pick], np.where(keep, size, 0), num, den, tops)
+                r, sig, scheme = signatures(row[pick], value[pick], np.where(keep, size, 0), rare, num, den, tops)
                 yield from out.add(sig, sig, node_of(lo[r], scheme))
         yield from out.flush()
 
@@ -358,7 +355,7 @@ def describe(docs: DataFrame, q: int, num: int, den: int) -> DataFrame:
 def link_groups(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(node, root) of linked sets' groups, and (node, links): how many documents with another set it links with."""
     buckets = c.partitions(docs.sparkSession)
-    lists = c.exchange(docs.mapInArrow(_sign(q, num, den, buckets), c.PACKED), buckets)
+    lists = c.exchange(docs.mapInArrow(_sign(q, num, den, buckets, rarity(docs, q)), c.PACKED), buckets)
     near = c.write_table(lists.mapInArrow(_leaders, "a long, b long").distinct(), "jaccard-near")
     clusters = components(near, "jaccard-clusters")
     one = sets.where("n_shingles > 0").groupBy("hi", "lo", "level", "node", "node_up").agg(F.min(F.struct("doc_id", "ver")).alias("one"), F.count(F.lit(1)).alias("copies"))

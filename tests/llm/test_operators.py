@@ -164,8 +164,9 @@ def test_op3_empty_and_keep_one(docs, rows, empty):
     assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == stays
 
 
-def test_op3_block_signatures_meet():
+def test_op3_signatures_meet():
     rng = np.random.default_rng(5)
+    rare = rng.integers(0, 9, 1 << jaccard_join.COUNTER_BITS).astype(np.uint8)
     for num, den in ((85, 100), (80, 100)):
         tops = jaccard_join.levels(num, den)
         for n in (1, 2, 5, 6, 7, 8, 12, 13, 30, 100, 700):
@@ -178,10 +179,21 @@ def test_op3_block_signatures_meet():
                 if (n - lost) * den < num * (len(a) + len(b) - (n - lost)):
                     continue
                 row, value = np.repeat([0, 1], [len(a), len(b)]), np.r_[a, b]
-                r, s, _ = jaccard_join.signatures(row, value, np.array([len(a), len(b)]), num, den, tops)
+                r, s, _ = jaccard_join.signatures(row, value, np.array([len(a), len(b)]), rare, num, den, tops)
                 assert set(s[r == 0]) & set(s[r == 1]), (n, lost, gained)
 
 
+def test_op3_rarity_counts_every_document(spark):
+    rows = [(k, f"common words in all of them and w{k} alone") for k in range(300)] + [(1000 + k, "one text in many copies") for k in range(50)]
+    docs = jaccard_join.c.docs_with_version(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    rare = jaccard_join.rarity(docs, 4)
+    text = [t.encode() for _, t in rows[:300]]
+    _, value = jaccard_join.shingle_sets(np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)]), 4)
+    seen = np.bincount(jaccard_join.counted(value), minlength=len(rare))
+    assert (rare >= np.floor(4 * np.log2(1 + seen)).astype(np.uint8)).all()
+    assert rare.max() == np.floor(4 * np.log2(301)) and rare.any()
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     ids = rng.integers(0, 1 << 60, 60).tolist()
