@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds a worker's memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Words are maximal runs of anything but these bytes.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
@@ -163,7 +163,7 @@ PACKED = "bucket int, payload binary"
 class Packer:
     """Collects fixed-width records and yields ``PACKED`` batches, one blob for each bucket, whenever ``limit`` records are there."""
 
-    def __init__(self, fields: Sequence[tuple[str, str]], buckets: int, limit: int = 400_000):
+    def __init__(self, fields: Sequence[tuple[str, str]], buckets: int, limit: int = 200_000):
         self.fields, self.buckets, self.limit = list(fields), buckets, limit
         self.held: list[tuple[np.ndarray, list[np.ndarray]]] = []
         self.count = 0
@@ -198,7 +198,7 @@ def unpack(fields: Sequence[tuple[str, str]], payload: bytes) -> dict[str, np.nd
     return out
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], fields: Sequence[tuple[str, str]], limit: int = 1_000_000) -> Iterator[dict[str, np.ndarray]]:
+def unpacked(batches: Iterator[pa.RecordBatch], fields: Sequence[tuple[str, str]], limit: int = 500_000) -> Iterator[dict[str, np.ndarray]]:
     """Records of a task's blobs, joined to pieces of about ``limit`` records."""
     held: list[dict[str, np.ndarray]] = []
     count = 0
