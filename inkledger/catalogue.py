@@ -46,7 +46,7 @@ MEANS = f"(SELECT run_id, provider, round(avg(cer), 9) AS mean FROM {RESULTS} GR
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = F.substring(text.ascii_only(F.col("text")), 1, 200)
+    ref = text.ascii_only(F.col("text"))
     return _t(spark, sf_dir, "documents").select("doc_id", ref.alias("ref"), F.translate(ref, "aeo", "oca").alias("hyp"))
 
 
@@ -462,7 +462,7 @@ def error_taxonomy(spark, sf_dir):
 
 @query()
 def auto_lessons(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("doc_id", F.explode(voting.lessons_from(F.substring("hyp", 1, 60), F.substring("ref", 1, 60))).alias("lesson"))
+    return _pairs(spark, sf_dir).select("doc_id", F.explode(voting.lessons_from(F.col("hyp"), F.col("ref"))).alias("lesson"))
 
 
 @query()
