@@ -343,7 +343,7 @@ def line_dedupe(spark, sf_dir):
 
 @query(r"SELECT doc_id, list_transform(regexp_extract_all(t, '\[\?alt:\s*([^\]]*)\]', 1), lambda m: list_transform(string_split(m, '/'), lambda x: trim(x)))::VARCHAR AS options FROM (SELECT doc_id, substring(text, 1, 20) || ' [?alt: a/ b] x [?alt: c/d]' AS t FROM documents)")
 def alt_markers(spark, sf_dir):
-    t = F.concat(F.substring("text", 1, 20), F.lit(" [?alt: a/ b] x [?alt: c/d]"))
+    t = F.concat("text", F.lit(" [?alt: a/ b] x [?alt: c/d]"))
     return _t(spark, sf_dir, "documents").select("doc_id", F.transform(text.alternatives(t), lambda x: x["options"]).cast("string").alias("options"))
 
 
@@ -370,13 +370,13 @@ def within_one_edit(spark, sf_dir):
 
 @query()
 def term_correction(spark, sf_dir):
-    t = F.concat(F.lit("The mitochondra and natural enzymne "), F.substring("text", 1, 100))
+    t = F.concat(F.lit("The mitochondra and natural enzymne "), "text")
     return _t(spark, sf_dir, "documents").select("doc_id", correction.correct_terms(t).alias("t"))
 
 
 @query()
 def lookalike_correction(spark, sf_dir):
-    t = F.concat(F.lit("the rnembrane and 0smosis "), F.substring("text", 1, 100))
+    t = F.concat(F.lit("the rnembrane and 0smosis "), "text")
     return _t(spark, sf_dir, "documents").select("doc_id", correction.correct_lookalikes(t).alias("c")).select("doc_id", "c.text", F.size("c.corrections").alias("n"))
 
 
@@ -442,7 +442,7 @@ def answer_regions(spark, sf_dir):
 
 def _turns(spark, sf_dir) -> DataFrame:
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return _t(spark, sf_dir, "conversations").withColumn("after", nxt).where("after is not null").select("conv_id", "turn", F.substring("text", 1, 400).alias("a"), F.substring("after", 1, 400).alias("b"))
+    return _t(spark, sf_dir, "conversations").withColumn("after", nxt).where("after is not null").select("conv_id", "turn", F.col("text").alias("a"), F.col("after").alias("b"))
 
 
 @query()

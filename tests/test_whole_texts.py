@@ -61,3 +61,16 @@ def test_errors_and_votes_of_whole_texts(late):
         assert r.confusion_pair + r.substitution + r.deletion == sum(j - i for _, i, j, _, _ in steps)
         assert lessons[k] == sum(x[0] != "equal" for x in SequenceMatcher(None, t.translate(SWAP).split(), t.split()).get_opcodes())
     assert len(votes[1].split()) >= len(LATE.split()) and voting.line_words(votes[1])[:60] == ["xyz"] * 60
+
+
+def test_turns_and_corrections_of_whole_texts(spark, tmp_path):
+    long = "same words " * 60
+    spark.createDataFrame([(1, 0, long + "left"), (1, 1, long + "right")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    late = long + "mitochondra rnembrane [?alt: p/q]"
+    spark.createDataFrame([(1, late)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert [(r.pos, r.word_a, r.word_b) for r in run("word_diff")] == [(120, "left", "right")]
+    assert run("agreement_ratio")[0].ratio == pytest.approx(SequenceMatcher(None, (long + "left").split(), (long + "right").split()).ratio())
+    assert run("term_correction")[0].t.split()[-4:] == ["mitochondria", "rnembrane", "[?alt:", "p/q]"]
+    assert run("lookalike_correction")[0].text.endswith("mitochondra membrane [?alt: p/q]") and run("lookalike_correction")[0].n == 3
+    assert run("alt_markers")[0].options == "[[p, q], [a, b], [c, d]]"
