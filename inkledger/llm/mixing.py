@@ -28,12 +28,16 @@ CAP = 2
 BLOCKS = 256
 DEPTH = 4
 SEED = 20
+#: The number of a row; repeated rows have their own.
+ROW = "mixing_row__"
 
 
 def sized(docs: DataFrame) -> DataFrame:
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     key = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), F.crc32(F.coalesce("text", F.lit(""))))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), words.alias("size"), key.alias("key"), F.pmod(key, F.lit(BLOCKS)).alias("block"))
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    tie = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if f.name != ROW and f.dataType.typeName() != "map"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), words.alias("size"), key.alias("key"), F.pmod(key, F.lit(BLOCKS)).alias("block"), tie.alias("tie"), row.alias(ROW))
 
 
 def targets(base: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
@@ -67,19 +71,13 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = c.write_table(blocks.withColumn("last", drawn), "mixing-blocks")
     d, b = base.alias("d"), blocks.alias("b")
     rows = d.join(b, F.expr("d.source <=> b.source and d.block = b.block")).select("d.*", "b.source_size", "b.target", "b.passes", "b.room", "b.last")
-    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "tie", ROW).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.sum("size").over(inside) - F.col("size") / 2
     cut = rows.where("last = 1").withColumn("more", (middle <= F.col("room")).cast("int"))
     uncut = rows.where("last <> 1").withColumn("more", (F.col("last") == 2).cast("int"))
     return cut.unionByName(uncut).withColumn("draws", F.when(F.col("size") > 0, F.col("passes") + F.col("more")).otherwise(F.lit(0)).cast("int")), blocks
 
 
-def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row."""
-    rows, _ = plan(docs)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("draws")).cast("long").alias("taken"))
-
-
 def split(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
     """source, block, draw, shard: every drawn block's tickets dealt out by the splitting tree."""
     tickets = blocks.select("source", "block", F.explode(F.expr("sequence(1, cast(passes + if(last > 0, 1, 0) as int) + 1)")).alias("draw"), (F.col("passes") + F.when(F.col("last") > 0, 1).otherwise(0)).alias("n")).where("draw <= n").withColumn("shard", F.lit(0))
@@ -91,21 +89,30 @@ def split(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
     return tickets.select("source", "block", "draw", "shard")
 
 
+def dealt(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The rows of ``plan`` with ``tickets``: (draw, shard) of each of a row's draws, as the splitting tree deals them."""
+    rows, blocks = plan(docs)
+    hands = split(blocks, depth).groupBy("source", "block").agg(F.collect_list(F.struct("draw", "shard")).alias("hand"))
+    r, h = rows.alias("r"), F.broadcast(hands).alias("h")
+    tickets = F.filter(F.coalesce("h.hand", F.array()), lambda t: t["draw"] <= F.col("r.draws"))
+    return r.join(h, F.expr("r.source <=> h.source and r.block = h.block"), "left").select("r.*", tickets.alias("tickets"))
+
+
+def taken(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row, counted from the tickets that ``mix`` hands out."""
+    return dealt(docs, depth).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("tickets")).cast("long").alias("taken"))
+
+
 def mix(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The mixed rows: each row of ``docs`` as often as it is drawn, with its output ``shard_`` and place key ``at_``.
 
     Rows of a shard are shuffled by sorting on ``at_``.
     """
-    rows, blocks = plan(docs)
-    drawn = rows.where("draws > 0").groupBy("doc_id", "source", "key", "block").agg(F.max("draws").alias("draws"))
-    draws = drawn.select("doc_id", "source", "key", "block", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("draw"))
-    e, t = draws.alias("e"), split(blocks, depth).alias("t")
-    draws = e.join(t, F.expr("e.source <=> t.source and e.block = t.block and e.draw = t.draw")).select("e.doc_id", "e.key", "e.draw", "t.shard")
-    key = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), F.crc32(F.coalesce("text", F.lit(""))))
-    d, m = docs.withColumn("key_", key).alias("d"), draws.alias("m")
-    out = d.join(m, F.expr("cast(d.doc_id as bigint) <=> m.doc_id and d.key_ = m.key"))
+    numbered = c.write_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "mixing-rows")
+    draws = dealt(numbered, depth).select(ROW, "key", F.inline("tickets"))
+    d, m = numbered.alias("d"), draws.alias("m")
     at = F.xxhash64(F.lit(SEED + 9), "m.key", "m.draw").alias("at_")
-    return out.select(*(F.col(f"d.`{k}`") for k in docs.columns), F.col("m.shard").alias("shard_"), at)
+    return d.join(m, F.expr(f"d.{ROW} = m.{ROW}")).select(*(F.col(f"d.`{k}`") for k in docs.columns), F.col("m.shard").alias("shard_"), at)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
