@@ -374,8 +374,8 @@ def link_groups(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, bl
     return groups, linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 
 
-def jaccard_groups(docs: DataFrame, q: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
-    """doc_id, ver, n_shingles, component_id, n_links of every row; sets link at intersection * den >= num * union."""
+def labelled(docs: DataFrame, q: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """The columns of ``jaccard_groups`` and ``class``, which names a row's group; null for an empty set."""
     base = c.docs_with_version(docs)
     sets = describe(base, q, num, den)
     groups, links = link_groups(base, sets, q, num, den, block)
@@ -384,18 +384,26 @@ def jaccard_groups(docs: DataFrame, q: int = 4, num: int = 85, den: int = 100, b
     one = one.join(about, "lo", "left").withColumn("class", F.coalesce("root", "lo"))
     one = c.write_table(one, "jaccard-classes")
     least = one.groupBy("class").agg(F.min("least").alias("component"))
-    label = one.join(least, "class").select("hi", "lo", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("near"))
+    label = one.join(least, "class").select("hi", "lo", "class", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("near"))
     full = F.col("n_shingles") > 0
-    return sets.join(label, ["hi", "lo"], "left").select("doc_id", "ver", "n_shingles", F.when(full, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(full, F.col("near")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    return sets.join(label, ["hi", "lo"], "left").select("doc_id", "ver", "n_shingles", F.when(full, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(full, F.col("near")).otherwise(F.lit(0)).cast("long").alias("n_links"), "class")
+
+
+def jaccard_groups(docs: DataFrame, q: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
+    """doc_id, ver, n_shingles, component_id, n_links of every row; sets link at intersection * den >= num * union."""
+    return labelled(docs, q, num, den, block).drop("class")
 
 
 def keep_one(docs: DataFrame, q: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the least doc_id stays, once; empty documents all stay."""
-    groups = c.write_table(jaccard_groups(docs, q, num, den), "jaccard-keep")
-    stays = groups.where("doc_id <=> component_id").groupBy("doc_id", "ver").agg(F.first("n_shingles").alias("full_"), F.count(F.lit(1)).alias("rows_"))
+    """The rows of ``docs`` without near-duplicates: one row of each group, the first by doc_id (null last) and text version; empty documents all stay."""
+    groups = c.write_table(labelled(docs, q, num, den), "jaccard-keep")
+    each = groups.where("n_shingles > 0").groupBy("class", "doc_id", "ver").agg(F.count(F.lit(1)).alias("rows_"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ver", "rows_")).alias("one")
+    full = each.groupBy("class").agg(first).select("one.doc_id", "one.ver", F.col("class").alias("class_"), "one.rows_")
+    bare = groups.where("n_shingles = 0").select("doc_id", "ver").distinct().select("doc_id", "ver", F.lit(None).cast("long").alias("class_"), F.lit(1).cast("long").alias("rows_"))
     text = F.coalesce("text", F.lit(""))
-    d, s = docs.withColumn("ver_", F.crc32(text)).alias("d"), stays.alias("s").hint("shuffle_hash")
-    kept = d.join(s, F.expr("d.doc_id <=> s.doc_id and d.ver_ = s.ver")).select(*(F.col(f"d.`{k}`") for k in docs.columns), "full_", "rows_")
-    single = kept.where("rows_ = 1 or full_ = 0").drop("full_", "rows_")
-    repeated = kept.where("rows_ > 1 and full_ > 0").drop("full_", "rows_").dropDuplicates(["doc_id"])
+    d, s = docs.withColumn("ver_", F.crc32(text)).alias("d"), full.unionByName(bare).alias("s").hint("shuffle_hash")
+    kept = d.join(s, F.expr("d.doc_id <=> s.doc_id and d.ver_ = s.ver")).select(*(F.col(f"d.`{k}`") for k in docs.columns), "class_", "rows_")
+    single = kept.where("rows_ = 1").drop("class_", "rows_")
+    repeated = kept.where("rows_ > 1").dropDuplicates(["class_"]).drop("class_", "rows_")
     return single.unionByName(repeated)
