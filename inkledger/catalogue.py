@@ -177,7 +177,7 @@ def signed_rank_p(spark, sf_dir):
 
 @query()
 def bootstrap_interval(spark, sf_dir):
-    return stats.bootstrap_mean(_results(spark, sf_dir), ["provider", "run_id"], "cer", rounds=1000, seed=7)
+    return stats.bootstrap_mean(_results(spark, sf_dir), ["provider", "run_id"], "cer", seed=7)
 
 
 # ---- joins, windows, sets ----------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import pytest
 
 from inkledger import catalogue
 from inkledger.functions import text
-from inkledger.operators import voting
+from inkledger.operators import stats, voting
 
 SWAP = str.maketrans("aeo", "oca")
 LATE = "xyz " * 60 + "banana the and bread rode home"
@@ -74,3 +74,11 @@ def test_turns_and_corrections_of_whole_texts(spark, tmp_path):
     assert run("term_correction")[0].t.split()[-4:] == ["mitochondria", "rnembrane", "[?alt:", "p/q]"]
     assert run("lookalike_correction")[0].text.endswith("mitochondra membrane [?alt: p/q]") and run("lookalike_correction")[0].n == 3
     assert run("alt_markers")[0].options == "[[p, q], [a, b], [c, d]]"
+
+
+def test_bootstrap_takes_all_rounds(spark, tmp_path):
+    rows = [(k, "view", k % 7, float(k * 37 % 501), "2024-01-01", '{"k": 1}') for k in range(0, 400, 4)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, value double, ts string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    values = catalogue._results(spark, str(tmp_path))
+    of = lambda rounds: tuple(stats.bootstrap_mean(values, ["provider", "run_id"], "cer", rounds=rounds, seed=7).head())
+    assert tuple(catalogue.QUERIES["bootstrap_interval"](spark, str(tmp_path)).head()) == of(10_000) != of(1000)
