@@ -2,23 +2,28 @@
 
 One frequency table over all documents (exact counts, scaled to 2^20) is shared by all blocks. A block holds whole
 documents in ascending doc_id order; its ids are dealt out to interleaved lanes that one numpy step encodes or
-decodes together. The block's header carries checkpoints (the lanes' states and each document's token count), so
-that blocks decode independently and in parallel, and a crc32 of its ids.
+decodes together. Blocks are independent, and within a block each checkpoint (the lanes' states and the place among
+the words, every ``CHECK_IDS`` ids) starts a stretch that decodes alone and has its own crc32.
 
-Block format, little-endian: magic ``RANS``, u32 lanes, u64 ids, u64 words, u32 documents, u32 crc32 of the ids as
-u32, lanes x u64 states, documents x i64 doc_id, documents x u64 token counts, u8 flags x documents (1: null id),
+Block format, little-endian: magic ``RANS``, u32 lanes, u32 ids between checkpoints, u64 ids, u64 words, u32
+documents; for each checkpoint lanes x u64 states, then for each a u64 place among the words, then for each the u32
+crc32 of its ids as u32; documents x i64 doc_id, documents x u64 token counts, u8 flags x documents (1: null id),
 words x u32. The table file holds the 2^20-scaled frequencies as u32. A data set of blocks is a Parquet table
 (part, block, n_tokens, payload), so that any store Spark writes to can hold it.
 
 Defined cases: null or empty text: only the end id. A null doc_id comes first. Rows with one doc_id are ordered by
-their text's crc32; repeated rows are separate documents. Other columns are not read.
+their text's crc32; repeated rows are separate documents. An added token's string in a text becomes that token's id,
+as the library has it. A text of any length is one document of one block. Empty table: no blocks. Other columns are
+not read, so they may have any name.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,49 +40,65 @@ LANES = 1024
 #: A block is closed once it holds so many ids.
 BLOCK_IDS = 1 << 18
 END_ID = 2
-#: Distinct pre-tokens, and stretches between spaces, that a worker remembers.
-WORDS_KEPT = 600_000
-PIECES_KEPT = 300_000
-HEAD = struct.Struct("<4sIQQII")
+#: Ids between two checkpoints of a block.
+CHECK_IDS = 1 << 16
+#: Distinct stretches between spaces that a worker remembers.
+PIECES_KEPT = 900_000
+HEAD = struct.Struct("<4sIIQQI")
 GPT2_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Pretokens(dict):
-    """The ids of each pre-token as little-endian u16, learnt on first sight."""
+def _shown() -> str:
+    """The character that byte-level BPE writes for each byte."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(rest)) for b in range(256))
 
-    def __init__(self, bpe):
-        self.bpe = bpe
-        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        rest = [b for b in range(256) if b not in own]
-        self.shown = {b: 256 + i for i, b in enumerate(rest)}  # byte-level BPE writes these bytes as other characters
 
-    def __missing__(self, word: str) -> bytes:
-        ids = [t.id for t in self.bpe.tokenize(word.encode().decode("latin-1").translate(self.shown))]
-        self[word] = found = struct.pack(f"<{len(ids)}H", *ids)
-        return found
+class Pieces(dict):
+    """The ids of each stretch that begins with a space, as little-endian u16, learnt on first sight.
 
+    A stretch that ends in white space is flagged instead of learnt: its pre-tokens depend on what follows.
+    """
 
-class Pieces(dict):
-    """The ids of each stretch that begins with a space; one that ends in white space is flagged instead."""
+    def __init__(self, bpe, split):
+        self.tokenize, self.split, self.odd = bpe.tokenize, split, False
+        self.blank: dict[str, bytes] = {}
+        self.shown = _shown()
+
+    def token(self, word: str) -> bytes:
+        """The ids of one pre-token."""
+        own = self.blank if word[-1:].isspace() else self
+        found = own.get(word)
+        if found is None:
+            found = own[word] = self.learn(word)
+        return found
 
-    def __init__(self, tokens: Pretokens, split):
-        self.tokens, self.split, self.odd = tokens, split, False
+    def learn(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            shown = word.replace(" ", "\u0120")
+        else:
+            shown = codecs.charmap_decode(word.encode(), "strict", self.shown)[0]
+        return array("H", [t.id for t in self.tokenize(shown)]).tobytes()
 
-    def words(self, piece: str) -> list[str]:
-        """Pre-tokens; the common shapes are cut without the pattern."""
-        core = piece.rstrip(".,!?;:")
-        if core[:1] == " " and core[1:].isalpha():
-            return [core, piece[len(core) :]] if len(core) < len(piece) else [piece]
-        head, line, tail = piece.partition("\n")
-        if tail.isalpha() and head and not head[-1].isspace():
-            return [*self.words(head), line, tail]
-        return self.split.findall(piece)
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.token, self.split.findall(text)))
 
     def __missing__(self, piece: str) -> bytes:
+        """The common shapes are cut without the pattern."""
         if piece[-1:].isspace():
             self.odd = True
             return b""
-        self[piece] = found = b"".join([self.tokens[w] for w in self.words(piece)])
+        core = piece.rstrip(".,!?;:")
+        if core[:1] == " " and core[1:].isalpha():
+            found = self.learn(piece) if len(core) == len(piece) else self[core] + self.token(piece[len(core) :])
+        else:
+            head, line, tail = piece.partition("\n")
+            if tail.isalpha() and head and not head[-1].isspace():
+                found = self[head] + self.token(line) + self.token(tail)
+            else:
+                found = self.whole(piece)
+        self[piece] = found
         return found
 
 
@@ -86,7 +107,8 @@ class WordTokenizer:
 
     A byte-level BPE works on each pre-token alone, and a text may be cut before any space that follows a
     character other than white space without changing its pre-tokens; so ids of pieces are looked up and joined.
-    A text with other cuts is split by the pattern as a whole.
+    A text with other cuts is split by the pattern as a whole; one that holds an added token's string is encoded by
+    the library's own call.
     """
 
     def __init__(self, path: str):
@@ -95,27 +117,28 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)  # an added token's string in a text is ordinary text
-        self.split = regex.compile(GPT2_SPLIT)
-        self.tokens = Pretokens(model.model)
-        self.pieces = Pieces(self.tokens, self.split)
+        self.model = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.pieces = Pieces(self.model.model, regex.compile(GPT2_SPLIT))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u16."""
         out = [self._one(t) for t in texts]
-        for kept, most in ((self.pieces, PIECES_KEPT), (self.tokens, WORDS_KEPT)):
-            if len(kept) > most:  # frequent words were met early
-                for late in list(kept)[most // 2 :]:
-                    del kept[late]
+        if len(self.pieces) > PIECES_KEPT:  # frequent ones were met early
+            for late in list(self.pieces)[PIECES_KEPT * 2 // 3 :]:
+                del self.pieces[late]
         return out
 
     def _one(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return array("H", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+        pieces = self.pieces
         if "\0" not in text:
-            self.pieces.odd = False
-            found = b"".join(map(self.pieces.__getitem__, text.replace(" ", "\0 ").split("\0")))
-            if not self.pieces.odd:
+            pieces.odd = False
+            found = b"".join(map(pieces.__getitem__, text.replace(" ", "\0 ").split("\0")))
+            if not pieces.odd:
                 return found
-        return b"".join(map(self.tokens.__getitem__, self.split.findall(text)))
+        return pieces.whole(text)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -147,21 +170,37 @@ def scaled(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode_ids(ids: np.ndarray, freq: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
-    """(states, words): words come out in the order in which the decoder needs them."""
+def encode_ids(ids: np.ndarray, freq: np.ndarray, lanes: int = LANES, every: int = CHECK_IDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(states, places, words): words come out in the order in which the decoder needs them.
+
+    Row k of ``states`` and entry k of ``places`` are checkpoint k: the lanes' states and the number of words used
+    before the ids from ``k * step`` on, where ``step`` is ``every`` rounded up to whole rows of lanes.
+    """
     cum = np.r_[0, np.cumsum(freq)[:-1]].astype(np.uint64)
     f = freq.astype(np.uint64)
     state = np.full(lanes, LOW, np.uint64)
     words: list[np.ndarray] = []
+    step, count, states, places = row_step(lanes, every), 0, [], []
     for at in range((len(ids) - 1) // lanes * lanes if len(ids) else -1, -1, -lanes):
         row = ids[at : at + lanes]
         x, fr = state[: len(row)], f[row]
         spill = x >= fr << np.uint64(63 - BITS)
         words.append(x[spill].astype(np.uint32))  # the low 32 bits
+        count += len(words[-1])
         x = np.where(spill, x >> np.uint64(32), x)
         quotient = x // fr
         state[: len(row)] = (quotient << np.uint64(BITS)) + (x - quotient * fr) + cum[row]
-    return state, np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
+        if at % step == 0:
+            states.append(state.copy())
+            places.append(count)
+    if not states:
+        states, places = [state], [0]
+    used = count - np.array(places[::-1], np.int64)
+    return np.array(states[::-1]), used, np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
+
+
+def row_step(lanes: int, every: int = CHECK_IDS) -> int:
+    return -(-every // lanes) * lanes
 
 
 class Decoder:
@@ -170,7 +209,8 @@ class Decoder:
         self.cum = np.r_[0, np.cumsum(freq)[:-1]].astype(np.uint64)
         self.slot = np.repeat(np.arange(len(freq)), freq).astype(np.uint32)
 
-    def ids(self, state: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    def ids(self, state: np.ndarray, words: np.ndarray, n: int, after: np.ndarray | None = None) -> np.ndarray:
+        """The ``n`` ids that follow a checkpoint; they end at the states of the next one, or where the encoder began."""
         state, out, used, lanes = state.copy(), np.empty(n, np.uint32), 0, len(state)
         mask = np.uint64((1 << BITS) - 1)
         for at in range(0, n, lanes):
@@ -180,59 +220,90 @@ class Decoder:
             out[at : at + len(x)] = symbol
             x = self.freq[symbol] * (x >> np.uint64(BITS)) + low - self.cum[symbol]
             thin = np.flatnonzero(x < LOW)
+            if used + len(thin) > len(words):
+                break
             x[thin] = x[thin] << np.uint64(32) | words[used : used + len(thin)]
             used += len(thin)
             state[: len(x)] = x
-        if used != len(words) or (state != LOW).any():  # a whole block ends where its encoder began
+        if used != len(words) or (state != (LOW if after is None else after)).any():
             raise ValueError("a token block does not decode to its end")
         return out
 
 
-def pack_block(doc: np.ndarray, null: np.ndarray, counts: np.ndarray, ids: np.ndarray, freq: np.ndarray, lanes: int = LANES) -> bytes:
+def pack_block(doc: np.ndarray, null: np.ndarray, counts: np.ndarray, ids: np.ndarray, freq: np.ndarray, lanes: int = LANES, every: int = CHECK_IDS) -> bytes:
     lanes = max(1, min(lanes, len(ids) // 64))
-    state, words = encode_ids(ids, freq, lanes)
-    head = HEAD.pack(MAGIC, lanes, len(ids), len(words), len(doc), c.crc(ids.astype("<u4").tobytes()))
-    return b"".join((head, state.tobytes(), doc.astype("<i8").tobytes(), counts.astype("<u8").tobytes(), null.astype(np.uint8).tobytes(), words.astype("<u4").tobytes()))
+    states, places, words = encode_ids(ids, freq, lanes, every)
+    step = row_step(lanes, every)
+    sums = np.array([c.crc(ids[k * step : (k + 1) * step].astype("<u4").tobytes()) for k in range(len(states))], "<u4")
+    head = HEAD.pack(MAGIC, lanes, step, len(ids), len(words), len(doc))
+    return b"".join((head, states.astype("<u8").tobytes(), places.astype("<u8").tobytes(), sums.tobytes(), doc.astype("<i8").tobytes(), counts.astype("<u8").tobytes(), null.astype(np.uint8).tobytes(), words.astype("<u4").tobytes()))
+
+
+class Block:
+    """A packed block; its stretches between checkpoints decode alone, in any order."""
+
+    def __init__(self, block: bytes):
+        magic, self.lanes, self.step, self.n, words, docs = HEAD.unpack_from(block)
+        if magic != MAGIC or not self.lanes or not self.step:
+            raise ValueError("not a token block")
+        self.stretches = max(1, -(-self.n // self.step))
+        shape = (("<u8", self.stretches * self.lanes), ("<u8", self.stretches), ("<u4", self.stretches), ("<i8", docs), ("<u8", docs), ("u1", docs), ("<u4", words))
+        if len(block) != HEAD.size + sum(np.dtype(kind).itemsize * count for kind, count in shape):
+            raise ValueError("not a whole token block")
+        at, parts = HEAD.size, []
+        for kind, count in shape:
+            parts.append(np.frombuffer(block, kind, count, at))
+            at += parts[-1].nbytes
+        self.states, self.places, self.sums, self.doc, self.counts, self.null, self.words = parts
+        self.states = self.states.reshape(self.stretches, self.lanes)
+        if int(self.counts.sum()) != self.n:
+            raise ValueError("a token block's counts do not add up")
+
+    def stretch(self, k: int, decoder: Decoder) -> np.ndarray:
+        """The ids from checkpoint ``k`` to the next; raises ValueError on any damage."""
+        last = k + 1 == self.stretches
+        words = self.words[int(self.places[k]) : None if last else int(self.places[k + 1])]
+        ids = decoder.ids(self.states[k], words, min(self.step, self.n - k * self.step), None if last else self.states[k + 1])
+        if c.crc(ids.astype("<u4").tobytes()) != self.sums[k]:
+            raise ValueError("a token block's checksum does not match its ids")
+        return ids
 
 
 def unpack_block(block: bytes, decoder: Decoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, null flags, token counts, ids); raises ValueError on any damage."""
-    magic, lanes, n, words, docs, check = HEAD.unpack_from(block)
-    if magic != MAGIC or len(block) != HEAD.size + 8 * lanes + 17 * docs + 4 * words:
-        raise ValueError("not a whole token block")
-    at, parts = HEAD.size, []
-    for kind, count in (("<u8", lanes), ("<i8", docs), ("<u8", docs), ("u1", docs), ("<u4", words)):
-        parts.append(np.frombuffer(block, kind, count, at))
-        at += parts[-1].nbytes
-    ids = decoder.ids(parts[0], parts[4], n)
-    if c.crc(ids.astype("<u4").tobytes()) != check or int(parts[2].sum()) != n:
-        raise ValueError("a token block's checksum does not match its ids")
-    return parts[1], parts[3], parts[2], ids
+    b = Block(block)
+    return b.doc, b.null, b.counts, np.concatenate([b.stretch(k, decoder) for k in range(b.stretches)])
 
 
 # ---- data sets -----------------------------------------------------------------------------------------------
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, size: int):
+    """doc_id, ver, ids of each document, and at each task's end one row with the counts of its ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
+        model, total = tokenizer(path), np.zeros(size, np.int64)
         end = struct.pack("<H", end_id)
+        names = ["doc_id", "ver", "ids", "counts"]
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for at in range(0, len(texts), 1000):
-                part = [x + end for x in model.encode(texts[at : at + 1000])]
+            texts, at = batch.column("text"), 0
+            while at < len(texts):
+                part = [x + end for x in model.encode([t or "" for t in texts[at : at + 500].to_pylist()])]
+                total += np.bincount(np.frombuffer(b"".join(part), "<u2"), minlength=size)
                 rows = slice(at, at + len(part))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], batch.column("ver")[rows], pa.array(part, pa.binary())], names=["doc_id", "ver", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], batch.column("ver")[rows], pa.array(part, pa.binary()), pa.nulls(len(part), pa.binary())], names=names)
+                at += len(part)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], names=names)
 
     return run
 
 
-def _count(size: int):
+def _added(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2")
-            total += np.bincount(ids, minlength=size)
+            for blob in batch.column("counts").to_pylist():
+                total += np.frombuffer(zlib.decompress(blob), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
@@ -271,8 +342,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Tokenise ``docs`` and write ``path``/blocks and ``path``/table; ids must fit 16 bits."""
     spark = docs.sparkSession
     size = 1 << 16
-    ids = c.write_table(c.docs_with_version(docs).mapInArrow(_tokenise(tokenizer_path, end_id), "doc_id long, ver long, ids binary"), "token-ids")
-    counted = ids.mapInArrow(_count(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    coded = c.write_table(c.docs_with_version(docs).mapInArrow(_tokenise(tokenizer_path, end_id, size), "doc_id long, ver long, ids binary, counts binary"), "token-ids")
+    ids = coded.where("ids is not null").drop("counts")
+    counted = coded.select("counts").where("counts is not null").mapInArrow(_added(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     counts = np.zeros(size, np.int64)
     for row in counted:
         counts[row.id] = row.n

@@ -58,7 +58,6 @@ def test_op1_ids_and_starts(spark, docs, rows, empty, tmp_path):
 
     path = queries._vocabulary("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     rans.write_tokens(docs, str(tmp_path / "t"), path, block_ids=3000)
     got = sorted(tuple(r) for r in rans.read_tokens(spark, str(tmp_path / "t"), True).select("start", F.coalesce("doc_id", F.lit(-1)), "n_tokens", "ids_crc32", "ids").collect())
     start, want = 0, []
@@ -78,8 +77,13 @@ def test_op1_block_round_trip_and_damage():
         counts = np.bincount(ids, minlength=kinds)
         freq = rans.scaled(counts)
         assert n == 0 or freq.sum() == 1 << rans.BITS and (freq[counts > 0] > 0).all()
-        block = rans.pack_block(np.array([7]), np.array([False]), np.array([n]), ids, freq)
-        assert (rans.unpack_block(block, rans.Decoder(freq))[3] == ids).all()
+        block = rans.pack_block(np.array([7]), np.array([False]), np.array([n]), ids, freq, every=30_000)
+        decoder = rans.Decoder(freq)
+        assert (rans.unpack_block(block, decoder)[3] == ids).all()
+        parts = rans.Block(block)
+        assert parts.stretches == max(1, -(-n // parts.step))
+        for k in reversed(range(parts.stretches)):  # each checkpoint alone
+            assert (parts.stretch(k, decoder) == ids[k * parts.step : (k + 1) * parts.step]).all()
         if n > 100:
             bad = bytearray(block)
             bad[-9] ^= 4
@@ -393,7 +397,6 @@ def test_word_tokenizer_equals_library():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     own, plain = rans.WordTokenizer(path), Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     draw = random.Random(3)
     bits = [" ", "  ", "\n", "\t", "\r\n", "a", "word", "É", "12", "it's", "'s", ".", ",!", "\0", "<|endoftext|>", "\u00a0", "\u3000", "中文", "\x85", "²"]
     texts = ["", " ", "\n", "a ", "a\n", *("".join(draw.choice(bits) for _ in range(draw.randint(1, 14))) for _ in range(3000))]
