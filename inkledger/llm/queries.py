@@ -63,11 +63,11 @@ QUERIES = {f.__name__: f for f in (op1_rans, op2_suffix_dedup, op3_jaccard_join,
 ORACLE = {
     "op4_top_k": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+          SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS e FROM embeddings
           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (
-          SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
-          FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
-        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
-          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+          SELECT q.own, q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2]))::BIGINT AS score
+          FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.own <> v.own)
+        SELECT query_id, rank, vec_id, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5""",
 }
