@@ -36,16 +36,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the session names none (tests) a temporary one is set."""
+    """The cluster's shared folder. Only a session on one machine (tests, bench) that names none gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="inkledger-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths of the tables that this process wrote and has not deleted.
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/inkledger/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/inkledger/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +60,37 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def tables_written() -> int:
+    return len(_written)
+
+
+def delete_tables(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables written after the first ``since``, but for ``keep``; call it once results that read them are consumed."""
+    kept = getattr(keep, "written_path", None)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written[since:]:
+        if path != kept:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+    _written[since:] = [kept] if kept in _written[since:] else []
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if a column has it already."""
+    taken = {k.lower() for k in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_row(df: DataFrame):
+    """All columns in one struct, so that no other name can clash with theirs."""
+    return F.struct(*(F.col(f"`{k}`") for k in df.columns))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -149,10 +186,18 @@ class Rolling:
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+#: Bytes whose words are hashed together.
+HASH_BYTES = 1 << 22
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    return mix(Rolling(BYTE_VALUE[data]).stretch(starts, ends) ^ (ends - starts).astype(np.uint64))
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):  # some megabytes of a long text at a time, cut between words
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + HASH_BYTES, "right")))
+        low, high = starts[at], ends[end - 1]
+        out[at:end] = mix(Rolling(BYTE_VALUE[data[low:high]]).stretch(starts[at:end] - low, ends[at:end] - low) ^ (ends[at:end] - starts[at:end]).astype(np.uint64))
+        at = end
+    return out
 
 
 # ---- packed exchange -----------------------------------------------------------------------------------------

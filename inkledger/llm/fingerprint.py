@@ -8,10 +8,12 @@ The difference of two digests adds up quartile steps (three for opposite ends) a
 Defined cases: null or empty text: n_chars 0 and a digest of no counts. Texts under four bytes: only length and the
 bytes' own sum count. Equal texts have equal digests. "Next" follows ascending doc_id, then text; after the last
 comes the first; a lone document is its own next. Rows without a doc_id come first. Repeated rows follow each other.
-Only doc_id and text are read.
+A very long text is digested whole, in a piece of its own. Empty table: empty result. Only doc_id and text are read,
+so other columns may have any name.
 
 Scale: neighbours meet without sorting everything in one place. The driver picks range edges from quantiles of the
-ids (as many as ranges), each range also gets the next range's first document, and a task walks its ranges in order.
+ids (as many as ranges), each range also gets the next range's first document through a broadcast of one row a range,
+and a task walks its ranges in order.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,22 +116,32 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held, None)
 
 
+def _range_of(edges: np.ndarray):
+    """The range of an id among sorted edges, -1 for null; only ids go to Python, and the plan does not grow with the ranges."""
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        out = np.full(len(ids), -1, np.int32)
+        out[known] = np.searchsorted(edges, ids[known].to_numpy().astype(np.int64), "right")
+        return pd.Series(out)
+
+    return place
+
+
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spark = docs.sparkSession
     ranges = ranges or 4 * c.partitions(spark)
     cuts = base.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges)).head()[0] or []
-    edges = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    own = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda x: x <= F.col("doc_id")))).cast("int")
-    ranged = base.select("doc_id", own.alias("range"))
-    first = {r.range: r.first for r in ranged.groupBy("range").agg(F.min("doc_id").alias("first")).collect()}  # one row a range
+    rows = base.withColumn("range", _range_of(np.array(sorted(set(cuts)), np.int64))(F.col("doc_id")))
+    first = {r.range: r.first for r in rows.select("doc_id", "range").groupBy("range").agg(F.min("doc_id").alias("first")).collect()}  # one row a range
     order = sorted(first)
-    before = {k: order[i - 1] for i, k in enumerate(order)}  # the first range comes after the last
-    starts = [(k, first[k], before[k]) for k in order]
-    ahead = F.array(*[F.when((F.col("range") == k) & F.col("doc_id").eqNullSafe(F.lit(f).cast("long")), F.lit(b)) for k, f, b in starts]) if starts else F.array().cast("array<int>")
-    rows = base.withColumn("range", own)
-    goes = F.array_compact(ahead)
-    rows = rows.select("doc_id", "text", F.explode(F.concat(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ahead"))), F.transform(goes, lambda b: F.struct(b.alias("range"), F.lit(True).alias("ahead"))))).alias("to"))
+    starts = [(k, first[k], order[i - 1]) for i, k in enumerate(order)]  # the first range comes after the last
+    heads = F.broadcast(spark.createDataFrame(starts, "range int, first long, before int"))
+    rows = rows.join(heads, "range")
+    goes = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(F.struct(F.col("before").alias("range"), F.lit(True).alias("ahead"))))
+    own = F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ahead")))
+    rows = rows.select("doc_id", "text", F.explode(F.when(goes.isNull(), own).otherwise(F.concat(own, goes))).alias("to"))
     dealt = rows.select("to.*", "doc_id", "text").repartition(c.partitions(spark), "range").sortWithinPartitions("range", "ahead", F.asc_nulls_first("doc_id"), "text")
     return dealt.mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -15,8 +15,9 @@ Method, in three steps:
 
 Defined cases: null or empty text: the set is empty and links with nothing. Fewer words than a shingle: the whole
 sequence is the one shingle. Rows with a null doc_id take part; a group of such rows alone has a null component_id.
-Repeated rows are equal sets and so one group. Other columns are not read. Sets are told apart by 128-bit hashes,
-and named by 64 bits of them in the graph.
+Repeated rows are equal sets and so one group. A text of any length is one set. Empty table: empty result. Other
+columns are not read; ``keep_one`` passes them on, whatever their names. Sets are told apart by 128-bit hashes, and
+named by 64 bits of them in the graph.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from inkledger.llm import common as c
 from inkledger.llm.components import components
-from inkledger.llm.repeats import ragged
+from inkledger.llm.repeats import grown, ragged
 
 SIG = [("sig", "<u8"), ("node", "<u8")]
 SET = [("root", "<i8"), ("scheme", "<u4"), ("i", "<u4"), ("j", "<u4"), ("hi", "<u8"), ("lo", "<u8"), ("copies", "<i8"), ("part", "<u4"), ("size", "<u4")]
@@ -182,17 +183,18 @@ def _sign(q: int, num: int, den: int, buckets: int, rare: np.ndarray):
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stream index lists; each member points to its list's least node so far."""
-    sig = node = None
-    for x in c.unpacked(batches, SIG):
-        s, v = (x["sig"], x["node"]) if sig is None else (np.concatenate([sig, x["sig"]]), np.concatenate([node, x["node"]]))
-        order = np.lexsort((v, s))
-        s, v = s[order], v[order]
+
+    def fold(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        order = np.lexsort((x["node"], x["sig"]))
+        s, v = x["sig"][order], x["node"][order]
         at = c.run_starts(s)
         leader = np.repeat(v[at], np.diff(np.r_[at, len(s)]))
         far = v != leader
-        pairs = np.unique(np.c_[leader[far], v[far]], axis=0) if far.any() else np.zeros((0, 2), np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy().view(np.int64)) for k in (0, 1)], names=["a", "b"])
-        sig, node = s[at], v[at]
+        return {"sig": s[at], "node": v[at]}, np.unique(np.c_[leader[far], v[far]], axis=0) if far.any() else np.zeros((0, 2), np.uint64)
+
+    for pairs, _ in grown(batches, SIG, fold):
+        if pairs is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy().view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
 
 def _ship(q: int, buckets: int):
@@ -402,8 +404,8 @@ def keep_one(docs: DataFrame, q: int = 5, num: int = 80, den: int = 100) -> Data
     full = each.groupBy("class").agg(first).select("one.doc_id", "one.ver", F.col("class").alias("class_"), "one.rows_")
     bare = groups.where("n_shingles = 0").select("doc_id", "ver").distinct().select("doc_id", "ver", F.lit(None).cast("long").alias("class_"), F.lit(1).cast("long").alias("rows_"))
     text = F.coalesce("text", F.lit(""))
-    d, s = docs.withColumn("ver_", F.crc32(text)).alias("d"), full.unionByName(bare).alias("s").hint("shuffle_hash")
-    kept = d.join(s, F.expr("d.doc_id <=> s.doc_id and d.ver_ = s.ver")).select(*(F.col(f"d.`{k}`") for k in docs.columns), "class_", "rows_")
-    single = kept.where("rows_ = 1").drop("class_", "rows_")
-    repeated = kept.where("rows_ > 1").dropDuplicates(["class_"]).drop("class_", "rows_")
+    d, s = docs.select(c.whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("ver")).alias("d"), full.unionByName(bare).alias("s").hint("shuffle_hash")
+    kept = d.join(s, F.expr("d.doc_id <=> s.doc_id and d.ver = s.ver")).select("d.row", "class_", "rows_")
+    single = kept.where("rows_ = 1").select("row.*")
+    repeated = kept.where("rows_ > 1").dropDuplicates(["class_"]).select("row.*")
     return single.unionByName(repeated)

@@ -2,17 +2,19 @@
 
 Sizes are words. Sources, by code point with null last, share ``budget`` times all words by weight; a source stops at
 ``cap`` times its size and the excess is shared out again by weight (water-filling: sources in order of cap over
-weight; the first that its share does not fill sets the level). A source's documents fall into ``BLOCKS`` blocks by
-hash; each pass over a source draws blocks in a permuted order, the last one document by document, so that a source
+weight; the first that its share does not fill sets the level). A source's documents fall into blocks by hash, ``BLOCKS`` of
+them or more, so that a block has about ``BLOCK_ROWS`` rows at most; each pass over a source draws blocks in a permuted order, the last one document by document, so that a source
 ends within half a document of its target.
 
-Drawn blocks are tickets. The tree splits them among 2^depth output shards: at each node a random half of the node's
-tickets goes left, so the sources' quotas there are a multivariate-hypergeometric draw, exact and disjoint. Inside
-a shard documents are shuffled by hash. Everything derives from hashes of ids: reruns agree.
+Drawn blocks are tickets. The tree splits them among 2^depth output shards, more for larger inputs: at each node a
+random half of the node's tickets goes left, so the sources' quotas there are a multivariate-hypergeometric draw, exact
+and disjoint. Inside a shard documents are shuffled by hash, in ``PARTS`` parts by the leading bits of their places, so
+that no task holds a whole shard. Everything derives from hashes of ids: reruns agree.
 
-Defined cases: null or empty text: size 0, never taken. A null source is a source. Empty table: empty result.
-Repeated rows are separate rows that are taken or left on their own. The number of sources is taken to be bounded
-(they are ordered and weighed as a list); source blocks are at most ``BLOCKS`` a source.
+Defined cases: null or empty text: size 0, never taken. A very long text is a document like others; a source ends
+within half of it. A null source is a source. Empty table: empty result. Repeated rows are separate rows that are taken
+or left on their own. Extra columns pass, whatever their names. The number of sources is taken to be bounded (they are
+ordered and weighed as a list).
 """
 
 from __future__ import annotations
@@ -26,18 +28,25 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2
 BLOCKS = 256
-DEPTH = 4
+BLOCK_ROWS = 1 << 16
+#: Depths of the tree, and the words that a shard should hold at most where depth allows.
+DEPTH, DEEPEST, SHARD_WORDS = 4, 16, 1 << 22
+#: log2 of the parts of a shard that are sorted each in a task.
+PART_BITS = 4
 SEED = 20
 #: The number of a row; repeated rows have their own.
 ROW = "mixing_row__"
+#: Rows of a table of blocks that is broadcast.
+FEW = 1 << 20
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, own: str | None = None) -> DataFrame:
+    """Each row's size, hashes and number; ``own`` names a column that holds the number already."""
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     key = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), F.crc32(F.coalesce("text", F.lit(""))))
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
-    tie = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if f.name != ROW and f.dataType.typeName() != "map"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), words.alias("size"), key.alias("key"), F.pmod(key, F.lit(BLOCKS)).alias("block"), tie.alias("tie"), row.alias(ROW))
+    row = F.col(f"`{own}`") if own else F.monotonically_increasing_id()
+    tie = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if f.name != own and f.dataType.typeName() != "map"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), words.alias("size"), key.alias("key"), tie.alias("tie"), row.alias(ROW))
 
 
 def targets(base: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
@@ -55,9 +64,11 @@ def targets(base: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int =
     return by.withColumn("line", line).select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * F.col("line")).alias("target"))
 
 
-def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, own: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with source_size, target and draws, the blocks with passes and what the last pass takes of them)."""
-    base = c.write_table(sized(docs), "mixing-sizes")
+    base = c.write_table(sized(docs, own), "mixing-sizes")
+    count = max(BLOCKS, 1 << max(0, (base.count() - 1) // BLOCK_ROWS).bit_length())
+    base = base.withColumn("block", F.pmod("key", F.lit(count)))
     goal = c.write_table(targets(base), "mixing-targets")
     blocks = base.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     b, g = blocks.alias("b"), goal.alias("g")
@@ -78,6 +89,12 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut.unionByName(uncut).withColumn("draws", F.when(F.col("size") > 0, F.col("passes") + F.col("more")).otherwise(F.lit(0)).cast("int")), blocks
 
 
+def depth_for(rows: DataFrame) -> int:
+    """Of a tree whose shards hold about ``SHARD_WORDS`` words."""
+    words = rows.agg(F.sum("size")).head()[0] or 0
+    return min(DEEPEST, max(DEPTH, int(BUDGET * words / SHARD_WORDS).bit_length()))
+
+
 def split(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
     """source, block, draw, shard: every drawn block's tickets dealt out by the splitting tree."""
     tickets = blocks.select("source", "block", F.explode(F.expr("sequence(1, cast(passes + if(last > 0, 1, 0) as int) + 1)")).alias("draw"), (F.col("passes") + F.when(F.col("last") > 0, 1).otherwise(0)).alias("n")).where("draw <= n").withColumn("shard", F.lit(0))
@@ -89,32 +106,40 @@ def split(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
     return tickets.select("source", "block", "draw", "shard")
 
 
-def dealt(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def dealt(docs: DataFrame, depth: int | None = None, own: str | None = None) -> DataFrame:
     """The rows of ``plan`` with ``tickets``: (draw, shard) of each of a row's draws, as the splitting tree deals them."""
-    rows, blocks = plan(docs)
-    hands = split(blocks, depth).groupBy("source", "block").agg(F.collect_list(F.struct("draw", "shard")).alias("hand"))
-    r, h = rows.alias("r"), F.broadcast(hands).alias("h")
+    rows, blocks = plan(docs, own)
+    hands = split(blocks, depth or depth_for(rows)).groupBy("source", "block").agg(F.collect_list(F.struct("draw", "shard")).alias("hand"))
+    r, h = rows.alias("r"), hands.alias("h")
+    h = F.broadcast(h) if blocks.count() <= FEW else h.hint("shuffle_hash")
     tickets = F.filter(F.coalesce("h.hand", F.array()), lambda t: t["draw"] <= F.col("r.draws"))
     return r.join(h, F.expr("r.source <=> h.source and r.block = h.block"), "left").select("r.*", tickets.alias("tickets"))
 
 
-def taken(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def taken(docs: DataFrame, depth: int | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row, counted from the tickets that ``mix`` hands out."""
     return dealt(docs, depth).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("tickets")).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The mixed rows: each row of ``docs`` as often as it is drawn, with its output ``shard_`` and place key ``at_``.
+def _drawn(docs: DataFrame, depth: int | None) -> DataFrame:
+    """row (a struct), shard and at of each draw."""
+    own = c.free_name(docs, ROW)
+    numbered = c.write_table(docs.withColumn(own, F.monotonically_increasing_id()), "mixing-rows")
+    draws = dealt(numbered, depth, own).select(F.col(ROW).alias("number"), "key", F.inline("tickets"))
+    rows = numbered.select(F.col(own).alias("number"), F.struct(*(F.col(f"`{k}`") for k in docs.columns)).alias("row"))
+    return rows.join(draws, "number").select("row", "shard", F.xxhash64(F.lit(SEED + 9), "key", "draw").alias("at"))
+
+
+def mix(docs: DataFrame, depth: int | None = None) -> DataFrame:
+    """The mixed rows: each row of ``docs`` as often as it is drawn, with its output ``shard_`` and place key ``at_`` (names longer by underscores where ``docs`` has them).
 
     Rows of a shard are shuffled by sorting on ``at_``.
     """
-    numbered = c.write_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "mixing-rows")
-    draws = dealt(numbered, depth).select(ROW, "key", F.inline("tickets"))
-    d, m = numbered.alias("d"), draws.alias("m")
-    at = F.xxhash64(F.lit(SEED + 9), "m.key", "m.draw").alias("at_")
-    return d.join(m, F.expr(f"d.{ROW} = m.{ROW}")).select(*(F.col(f"d.`{k}`") for k in docs.columns), F.col("m.shard").alias("shard_"), at)
+    return _drawn(docs, depth).select("row.*", F.col("shard").alias(c.free_name(docs, "shard_")), F.col("at").alias(c.free_name(docs, "at_")))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as rows of ``docs``, shuffled inside its output shards."""
-    return mix(docs).repartition("shard_").sortWithinPartitions("shard_", "at_").select(*docs.columns)
+    """The mix as rows of ``docs``, shuffled inside its output shards; parts of a shard hold ascending ranges of places."""
+    drawn = _drawn(docs, None).withColumn("part", F.shiftright("at", 64 - PART_BITS))
+    dealt_out = drawn.repartition(c.partitions(docs.sparkSession), "shard", "part")
+    return dealt_out.sortWithinPartitions("shard", "at").select("row.*")

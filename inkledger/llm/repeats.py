@@ -6,8 +6,9 @@ windows with one anchor form a *segment*. Three exchanges find every window that
 
 1. ``route``: packed records (anchor hash, segment hash, place) are dealt out by anchor. Each task streams them and
    keeps one place for each distinct segment: a later occurrence of a whole segment repeats all of its windows.
-   A hot passage so costs a task one entry, however often it occurs. Anchors with two or more *different*
-   segments go on (``requests``); all others cannot hold equal windows and are done.
+   A hot passage so costs a task one entry, however often it occurs. Segments count as the same if their anchors'
+   hashes and their own agree, 128 bits in all. Anchors with two or more *different* segments go on
+   (``requests``); all others cannot hold equal windows and are done.
 2. ``fetch``: the symbols of requested segments are cut from their documents and dealt out by anchor.
 3. the operator's own index (a family of suffix arrays, or prefix-split suffix trees) decides each window.
 
@@ -33,6 +34,8 @@ MARKS = "kind byte, doc_id long, ver long, payload binary"
 PIECE = [("anchor", "<u8"), ("doc", "<i8"), ("ver", "<u4"), ("pos", "<u4"), ("n", "<u2")]
 #: Positions share a 64-bit word with the hash that windows compare by.
 PLACE_BITS = np.uint64(26)
+#: Windows of a long text that are looked at together.
+STRIDE = 1 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Index tasks for each shuffle partition: an index needs many times its symbols in memory.
 INDEX_SPLIT = 4
@@ -54,6 +57,16 @@ class Scheme:
         starts, ends, owner = c.words_of(data, offsets)
         return c.word_hashes(data, starts, ends), np.searchsorted(owner, np.arange(len(offsets)))
 
+    def stretches(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(symbols, offsets, first symbol's place): a long text comes in stretches that overlap by all but one symbol of a window."""
+        if len(offsets) > 2 or len(data) <= STRIDE:
+            yield *self.symbols(data, offsets), 0
+            return
+        symbols = data if self.unit == "bytes" else self.symbols(data, offsets)[0]
+        for at in range(0, max(1, len(symbols) - self.width + 1), STRIDE):
+            part = symbols[at : at + STRIDE + self.width - 1]
+            yield c.BYTE_VALUE[part] if self.unit == "bytes" else part, np.array([0, len(part)]), at
+
 
 def segments(symbols: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window start, number of windows, anchor hash) of every segment."""
@@ -94,15 +107,13 @@ def _route(scheme: Scheme, buckets: int) -> Callable:
         for batch in batches:
             doc, ver = c.column(batch, "doc_id"), c.column(batch, "ver")
             for i, j, data, offsets in c.text_chunks(batch):
-                symbols, cuts = scheme.symbols(data, offsets)
-                if len(symbols) >> int(PLACE_BITS):
-                    raise ValueError("a document of 64 million symbols or more is out of range")
-                first, count, anchor = segments(symbols, cuts, scheme.width, scheme.gram)
-                if not len(first):
-                    continue
-                whole = c.Rolling(symbols, 1).stretch(first, first + count - 1 + scheme.width)
-                row = np.searchsorted(cuts, first, "right") - 1
-                yield from out.add(anchor, anchor, whole, doc[i:j][row], ver[i:j][row], first - cuts[row], count)
+                for symbols, cuts, base in scheme.stretches(data, offsets):
+                    first, count, anchor = segments(symbols, cuts, scheme.width, scheme.gram)
+                    if not len(first):
+                        continue
+                    whole = c.Rolling(symbols, 1).stretch(first, first + count - 1 + scheme.width)
+                    row = np.searchsorted(cuts, first, "right") - 1
+                    yield from out.add(anchor, anchor, whole, doc[i:j][row], ver[i:j][row], first - cuts[row] + base, count)
         yield from out.flush()
 
     return run
@@ -127,24 +138,47 @@ def _fields(kind: np.dtype, **columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def grown(batches: Iterator[pa.RecordBatch], fields, fold: Callable, least: int = 500_000) -> Iterator:
+    """Fold records into what is held whenever as many have come as are held, so that each is sorted again a logarithmic number of times.
+
+    ``fold(held and new records)`` returns (what stays held, a result); yields the results and at the end what is held.
+    """
+    held: dict[str, np.ndarray] | None = None
+    waiting: list[dict[str, np.ndarray]] = []
+    count = 0
+    for piece in c.unpacked(batches, fields, least):
+        waiting.append(piece)
+        count += len(piece[fields[0][0]])
+        if count >= max(least, 0 if held is None else len(held[fields[0][0]])):
+            held, result = fold({k: np.concatenate([*([] if held is None else [held[k]]), *(w[k] for w in waiting)]) for k, _ in fields})
+            waiting, count = [], 0
+            yield result, None
+    if waiting:
+        held, result = fold({k: np.concatenate([*([] if held is None else [held[k]]), *(w[k] for w in waiting)]) for k, _ in fields})
+        yield result, None
+    if held is not None:
+        yield None, held
+
+
 def _first_places(strict: bool) -> Callable:
+    def fold(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        order = np.lexsort((x["pos"], x["ver"], x["doc"], x["seg"], x["anchor"]))
+        x = {k: v[order] for k, v in x.items()}
+        once = c.run_starts(*(x[k] for k in ("anchor", "seg", "doc", "ver", "pos")))  # repeated rows
+        x = {k: v[once] for k, v in x.items()}
+        at = c.run_starts(x["anchor"], x["seg"])
+        if strict:
+            keep = x["doc"] == np.repeat(x["doc"][at], np.diff(np.r_[at, len(x["doc"])]))
+        else:
+            keep = np.zeros(len(x["doc"]), bool)
+            keep[at] = True
+        return {k: v[keep] for k, v in x.items()}, {k: v[~keep] for k, v in x.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        for piece in c.unpacked(batches, RECORD):
-            x = piece if held is None else {k: np.concatenate([held[k], piece[k]]) for k in piece}
-            order = np.lexsort((x["pos"], x["ver"], x["doc"], x["seg"], x["anchor"]))
-            x = {k: v[order] for k, v in x.items()}
-            once = c.run_starts(*(x[k] for k in ("anchor", "seg", "doc", "ver", "pos")))  # repeated rows
-            x = {k: v[once] for k, v in x.items()}
-            at = c.run_starts(x["anchor"], x["seg"])
-            if strict:
-                keep = x["doc"] == np.repeat(x["doc"][at], np.diff(np.r_[at, len(x["doc"])]))
-            else:
-                keep = np.zeros(len(x["doc"]), bool)
-                keep[at] = True
-            gone = ~keep
-            yield from _by_document(0, x["doc"][gone], x["ver"][gone], _fields(SPAN, pos=x["pos"][gone], n=x["n"][gone]))
-            held = {k: v[keep] for k, v in x.items()}
+        held = None
+        for gone, held in grown(batches, RECORD, fold):
+            if gone is not None:
+                yield from _by_document(0, gone["doc"], gone["ver"], _fields(SPAN, pos=gone["pos"], n=gone["n"]))
         if held is None:
             return
         groups = c.run_starts(held["anchor"])
@@ -215,6 +249,7 @@ def pieces(batches: Iterator[pa.RecordBatch], scheme: Scheme, limit: int) -> Ite
     kind = np.uint8 if scheme.unit == "bytes" else np.uint64
     cols: list[dict] = []
     symbols: list[np.ndarray] = []
+    held = 0
     fixed = sum(np.dtype(k).itemsize for _, k in PIECE)
 
     def joined() -> Pieces:
@@ -226,9 +261,10 @@ def pieces(batches: Iterator[pa.RecordBatch], scheme: Scheme, limit: int) -> Ite
             n = int(np.frombuffer(blob, np.int64, 1)[0])
             cols.append(c.unpack(PIECE, blob[8 : 8 + n * fixed]))
             symbols.append(np.frombuffer(blob, kind, offset=8 + n * fixed))
-            if sum(map(len, symbols)) >= limit:
+            held += len(symbols[-1])
+            if held >= limit:
                 yield joined()
-                cols, symbols = [], []
+                cols, symbols, held = [], [], 0
     if cols:
         yield joined()
 
@@ -248,30 +284,30 @@ def marks_of(doc: np.ndarray, ver: np.ndarray, pos: np.ndarray) -> Iterator[pa.R
     yield from _by_document(0, doc[at], ver[at], _fields(SPAN, pos=pos[at], n=count))
 
 
-def ranks(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Rank of each position by its next ``width`` symbols (prefix doubling; the end is padded with rank 0)."""
-    if symbols.dtype == np.uint8:
-        padded = np.r_[symbols, np.zeros(3, np.uint8)].astype(np.uint64)
-        key, span = padded[:-3] << np.uint64(24) | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(8) | padded[3:], 4
-    else:
-        key, span = symbols, 1
-    rank = _dense(key)
-    while span < width:
-        step = min(span, width - span)
-        after = np.zeros_like(rank)
-        after[:-step or None] = rank[step:] + np.uint64(1) if step < len(rank) else 0
-        rank = _dense(rank * np.uint64(len(rank) + 2) + after)
-        span += step
-    return rank
-
-
-def _dense(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    new = np.empty(len(key), np.uint64)
-    if len(key):
-        ordered = key[order]
-        new[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]).astype(np.uint64)
-    return new
+def sort_windows(keys: np.ndarray, starts: np.ndarray, steps) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the windows by their keys at ``start + step`` for each step in turn, step at which each differs from the one before).
+
+    Windows equal at all steps have ``len(steps)`` there; the first window has 0. Only ties are sorted on.
+    """
+    n = len(starts)
+    key = keys[starts + steps[0]].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    common = np.full(n, len(steps), np.int64)
+    common[:1] = 0
+    common[1:][key[1:] != key[:-1]] = 0
+    for k, step in enumerate(steps[1:], 1):
+        same = common == len(steps)
+        tied = np.flatnonzero(same | np.r_[same[1:], False])
+        if not len(tied):
+            break
+        group = np.cumsum(~same[tied])
+        key = keys[starts[order[tied]] + step].astype(np.uint64)
+        again = np.lexsort((key, group))
+        order[tied], key = order[tied][again], key[again]
+        differs = np.r_[False, (key[1:] != key[:-1]) & (group[1:] == group[:-1])]
+        common[tied[differs]] = k
+    return order, common
 
 
 def repeated_windows(docs: DataFrame, scheme: Scheme, index: Callable, name: str) -> DataFrame:

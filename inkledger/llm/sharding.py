@@ -3,13 +3,17 @@
 Documents are ordered by (hash of text, hash of doc_id), so equal texts lie together. The driver keeps, for each
 splitter between two shards, a key interval that must hold it, and refines all of them at once: each round counts
 the exact bytes below a few hundred candidate boundaries inside the open intervals, and narrows them, until the
-interval's bytes are within ``TOLERANCE`` of a shard or one key is left. A splitter is put at the nearest edge; only
-inside a group of copies too large for that it falls between documents of the group. Then rows are exchanged once.
+interval's bytes are within ``TOLERANCE`` of a shard or one key is left. One rule places every splitter: at the nearest
+edge of the group of equal texts that it falls in if that moves it by at most ``MOVE`` of a shard's bytes, else between
+documents of the group. A shard so has its ideal bytes within two times ``MOVE`` plus ``TOLERANCE``, or one document.
+Then rows are exchanged once.
 
-Slots number the rows of a shard in key order, by offsets of key bins, so that no task holds a whole shard.
+Slots number the rows of a shard in key order, by offsets of key bins, so that no task holds a whole shard; bins that
+a large group of equal texts fills are cut by the second key.
 
-Defined cases: null text: no bytes, crc of nothing. Rows equal in doc_id and text stay together. Fewer rows than
-shards: some shards are empty. Empty table: empty result. Only doc_id and text are read.
+Defined cases: null text: no bytes, crc of nothing. A very long text is one row; a shard holds it whole. Rows equal in
+doc_id and text stay together. Fewer rows than shards: some shards are empty. Empty table: empty result. Only doc_id
+and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,9 +27,11 @@ from pyspark.sql import functions as F
 from inkledger.llm import common as c
 
 SHARDS = 40
-#: Shares of a shard's ideal bytes: when an interval is narrow enough, and how large a group stays whole.
+#: Shares of a shard's ideal bytes: when an interval is narrow enough, and how far a splitter moves to a group's edge.
 TOLERANCE = 0.001
-WHOLE = 0.02
+MOVE = 0.01
+#: Bins of a shard have this many times the mean rows before the second key cuts them.
+FULL = 4
 PROBES = 512
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
@@ -88,7 +94,7 @@ def splitters(rows: DataFrame, shards: int = SHARDS) -> list[tuple[int, int]]:
     out: dict[float, tuple[int, int]] = {}
     large: dict[int, list[float]] = {}
     for g, s in near.items():
-        if s.low == s.high and s.inside > WHOLE * ideal:
+        if s.low == s.high and min(g - s.below, s.below + s.inside - g) > MOVE * ideal:
             large.setdefault(s.low, []).append(g)
         else:
             out[g] = _edge(g, s, lambda k: (k, LOWEST))
@@ -114,12 +120,20 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     cuts = sorted(splitters(rows, shards))
     edges = F.array(*[F.struct(_long(a).alias("a"), _long(b).alias("b")) for a, b in cuts]) if cuts else None
     shard = F.size(F.filter(edges, lambda e: (e["a"] < F.col("k1")) | ((e["a"] == F.col("k1")) & (e["b"] <= F.col("k2"))))) if cuts else F.lit(0)
-    rows = rows.withColumn("shard", shard.cast("int")).withColumn("bin", F.shiftright("k1", 52))
+    rows = rows.withColumn("shard", shard.cast("int")).withColumn("top", F.shiftright("k1", 52))
+    counts = rows.groupBy("shard", "top").agg(F.count(F.lit(1)).alias("n"))
+    tops = c.write_table(counts, "sharding-bins")
+    mean = tops.agg(F.avg("n")).head()[0] or 0.0
+    tops = tops.select("shard", "top", (F.col("n") > FULL * mean).alias("full"))  # at most 4096 bins and a shard's edge
+    rows = rows.join(F.broadcast(tops), ["shard", "top"])
+    fine = F.when(F.col("full"), F.struct(F.col("k1").alias("a"), F.shiftright("k2", 52).alias("b")))
+    rows = rows.withColumn("bin", F.struct("top", fine.alias("fine"))).drop("top", "full")
     bins = rows.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # at most 4096 bins and a shard's edge
+    bins = bins.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("k1", "k2", "doc_id", "text_crc32")) - 1
-    placed = rows.withColumn("inside", inside).join(F.broadcast(bins), ["shard", "bin"])
+    b = bins.select(F.col("shard").alias("shard_"), F.col("bin").alias("bin_"), "before")
+    placed = rows.withColumn("inside", inside).join(b, F.expr("shard = shard_ and bin <=> bin_"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("inside")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -1,13 +1,15 @@
 """Suffix-array dedup: remove bytes covered by a long string that also starts earlier.
 
 Method: a logarithmic index family. Segments arrive at a task in batches; each new batch gets a suffix array of
-its windows, is merge-scanned against every existing level for matches of at least the window's length, and is
-then merged with levels of its own size, geometrically (``IndexFamily``). A window found to repeat an earlier one
-is marked and leaves the index; the earliest stays, so no match is lost.
-
-Defined cases: null or empty text: nothing removed, hash of nothing. Texts shorter than a window: kept whole.
-A null doc_id has no place in the order: such rows are returned unchanged. Rows equal in doc_id and text are one
-document and get equal results. Columns beside doc_id and text are not read.
+its windows, which is merge-scanned against the suffix array of every existing level for matches of at least the
+window's length, symbol by symbol; then the batch merges with levels of its own size, geometrically, by placing one
+sorted array into the other (``IndexFamily``). Of windows that are equal the earliest place stays in the index and
+the others are marked, so no match is lost and each content is there once.
+
+Defined cases: null or empty text: nothing removed, hash of nothing. Texts shorter than a window: kept whole. A very
+long text is looked at in stretches of ``repeats.STRIDE`` windows. A null doc_id has no place in the order: such rows
+are returned unchanged. Rows equal in doc_id and text are one document and get equal results. Empty table: empty
+result. Columns beside doc_id and text are not read by ``dedup`` and pass through ``dedup_texts``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,59 +31,104 @@ GRAM = 32
 BATCH = 1 << 19
 
 
-class Level:
-    """Segments with the suffix array of their unmarked windows."""
+def heads(symbols: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a big-endian number: a view, so it takes no memory."""
+    return np.ndarray((max(0, len(symbols) - 7),), ">u8", symbols, strides=(1,))
 
-    def __init__(self, symbols: np.ndarray, start: np.ndarray, doc: np.ndarray, ver: np.ndarray, pos: np.ndarray):
-        self.symbols, self.start, self.doc, self.ver, self.pos = symbols, start, doc, ver, pos
-        self.gone = np.zeros(len(start), bool)
-        self.repeats = np.zeros(len(start), bool)
 
-    @classmethod
-    def of(cls, p: r.Pieces) -> Level:
-        seg, offset = p.windows()
-        return cls(p.symbols, p.starts[seg] + offset, p.cols["doc"][seg], p.cols["ver"][seg], p.cols["pos"][seg].astype(np.int64) + offset)
+def steps_of(width: int) -> list[int]:
+    """Places in a window whose heads cover it."""
+    return [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]
+
+
+PLACE = ("doc", "ver", "pos")
+
 
-    def live(self) -> np.ndarray:
-        return np.flatnonzero(~self.gone)
+class Level:
+    """Segments with the suffix array of their windows: ``start`` and places in the order of the windows' contents."""
+
+    def __init__(self, symbols: np.ndarray, first: np.ndarray, start: np.ndarray, doc: np.ndarray, ver: np.ndarray, pos: np.ndarray):
+        self.symbols, self.first, self.start, self.doc, self.ver, self.pos = symbols, first, start, doc, ver, pos
+
+    def only(self, keep: np.ndarray) -> Level:
+        return Level(self.symbols, *(getattr(self, k)[keep] for k in ("first", "start", *PLACE)))
+
+    def search(self, other: Level, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(where each window of ``other`` belongs in this suffix array, whether an equal window is there)."""
+        low, high = (np.searchsorted(self.first, other.first, side) for side in ("left", "right"))
+        mine, theirs = heads(self.symbols), heads(other.symbols)
+        for step in steps[1:]:
+            at = np.flatnonzero(low < high)
+            if not len(at):
+                break
+            key = theirs[other.start[at] + step].astype(np.uint64)
+            a, b = low[at], high[at]
+            low[at] = self._bisect(mine, step, a, b, key, False)
+            high[at] = self._bisect(mine, step, a, b, key, True)
+        return low, low < high
+
+    def _bisect(self, mine: np.ndarray, step: int, low: np.ndarray, high: np.ndarray, key: np.ndarray, after: bool) -> np.ndarray:
+        low, high = low.copy(), high.copy()
+        open_ = np.arange(len(low))
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            value = mine[self.start[middle] + step].astype(np.uint64)
+            right = value <= key[open_] if after else value < key[open_]
+            low[open_] = np.where(right, middle + 1, low[open_])
+            high[open_] = np.where(right, high[open_], middle)
+            open_ = open_[low[open_] < high[open_]]
+        return low
 
 
 class IndexFamily:
     """Suffix arrays whose sizes are a batch times powers of two."""
 
-    def __init__(self, width: int, strict: bool):
-        self.width, self.strict = width, strict
+    def __init__(self, width: int):
+        if width < 8:
+            raise ValueError("windows are eight bytes or longer")
+        self.steps = steps_of(width)
         self.levels: list[tuple[int, Level]] = []
-        self.marked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def scan(self, *parts: Level) -> None:
-        """Merge the parts' suffix arrays; in each run with a common prefix of a window's length, mark all but the earliest."""
-        symbols = np.concatenate([p.symbols for p in parts])
-        shift = np.cumsum([0, *(len(p.symbols) for p in parts)])
-        live = [p.live() for p in parts]
-        rank = r.ranks(symbols, self.width)[np.concatenate([p.start[i] + s for p, i, s in zip(parts, live, shift)])]
-        doc, ver, pos = (np.concatenate([getattr(p, k)[i] for p, i in zip(parts, live)]) for k in ("doc", "ver", "pos"))
-        array = np.lexsort((pos, ver, doc, rank))  # the merged suffix array; equal prefixes in order of place
-        at = c.run_starts(rank[array])
-        size = np.diff(np.r_[at, len(array)])
-        later = doc[array] != np.repeat(doc[array][at], size)
-        gone = later
-        if not self.strict:
-            gone = np.ones(len(array), bool)
-            gone[at] = False
-            for x in (ver, pos):  # a place met twice is a repeated row, not a repeat
-                later = later | (x[array] != np.repeat(x[array][at], size))
-        part = np.repeat(np.arange(len(parts)), [len(i) for i in live])[array]
-        index = np.concatenate(live)[array]
-        for k, p in enumerate(parts):
-            p.gone[index[gone & (part == k)]] = True
-            p.repeats[index[gone & later & (part == k)]] = True
-
-    def add(self, batch: Level) -> None:
-        if not self.levels:
-            self.scan(batch)
+        self.marked: list[tuple[np.ndarray, ...]] = []
+
+    def mark(self, *place: np.ndarray) -> None:
+        self.marked.append(place)
+
+    def sorted(self, p: r.Pieces) -> Level:
+        """The suffix array of a batch; of equal windows the earliest stays."""
+        seg, offset = p.windows()
+        start = p.starts[seg] + offset
+        place = [p.cols["doc"][seg], p.cols["ver"][seg], p.cols["pos"][seg].astype(np.int64) + offset]
+        order, common = r.sort_windows(heads(p.symbols), start, self.steps)
+        group = np.cumsum(common < len(self.steps))
+        tied = np.flatnonzero((common == len(self.steps)) | np.r_[common[1:] == len(self.steps), False])
+        own = order[tied]
+        order[tied] = own[np.lexsort((place[2][own], place[1][own], place[0][own], group[tied]))]
+        lead = np.flatnonzero(common < len(self.steps))
+        of = order[lead][group - 1]
+        later = ~np.logical_and.reduce([x[order] == x[of] for x in place])  # the same place again is a repeated row
+        self.mark(*(x[order[later]] for x in place))
+        kept = order[lead]
+        first = heads(p.symbols)[start[kept]].astype(np.uint64) if len(kept) else np.zeros(0, np.uint64)
+        return Level(p.symbols, first, start[kept], *(x[kept] for x in place))
+
+    def scan(self, level: Level, batch: Level) -> Level:
+        """Match the batch against a level: the earlier place of each match stays in the level; returns the rest of the batch."""
+        at, hit = level.search(batch, self.steps)
+        there, here = at[hit], np.flatnonzero(hit)
+        old, new = [getattr(level, k)[there] for k in PLACE], [getattr(batch, k)[here] for k in PLACE]
+        same, less = np.ones(len(here), bool), np.zeros(len(here), bool)
+        for x, y in zip(new, old):
+            less |= same & (x < y)
+            same &= x == y
+        for k, x, y in zip(PLACE, new, old):
+            getattr(level, k)[there] = np.where(less, x, y)
+        self.mark(*(np.where(less, y, x)[~same] for x, y in zip(new, old)))
+        return batch.only(~hit)
+
+    def add(self, p: r.Pieces) -> None:
+        batch = self.sorted(p)
         for _, level in self.levels:
-            self.scan(level, batch)
+            batch = self.scan(level, batch)
         size = 0
         while self.levels and self.levels[-1][0] <= size:
             old_size, old = self.levels.pop()
@@ -89,24 +136,19 @@ class IndexFamily:
         self.levels.append((size, batch))
 
     def merge(self, a: Level, b: Level) -> Level:
-        self.leave(a), self.leave(b)
-        i, j = a.live(), b.live()
-        return Level(np.r_[a.symbols, b.symbols], np.r_[a.start[i], b.start[j] + len(a.symbols)], np.r_[a.doc[i], b.doc[j]], np.r_[a.ver[i], b.ver[j]], np.r_[a.pos[i], b.pos[j]])
-
-    def leave(self, level: Level) -> None:
-        self.marked.append((level.doc[level.repeats], level.ver[level.repeats], level.pos[level.repeats]))
+        at, _ = a.search(b, self.steps)
+        moved = b.start + len(a.symbols)
+        return Level(np.concatenate([a.symbols, b.symbols]), np.insert(a.first, at, b.first), np.insert(a.start, at, moved), *(np.insert(getattr(a, k), at, getattr(b, k)) for k in PLACE))
 
     def result(self) -> tuple[np.ndarray, ...]:
-        for _, level in self.levels:
-            self.leave(level)
         return tuple(np.concatenate([m[k] for m in self.marked]) if self.marked else np.zeros(0, np.int64) for k in range(3))
 
 
 def _index(scheme: r.Scheme, batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = IndexFamily(scheme.width, scheme.strict)
+        family = IndexFamily(scheme.width)
         for p in r.pieces(batches, scheme, batch):
-            family.add(Level.of(p))
+            family.add(p)
         yield from r.marks_of(*family.result())
 
     return run
@@ -153,7 +195,7 @@ def dedup_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch: in
     base = c.docs_with_version(docs)
     spans = repeated_bytes(base, width, gram, batch)
     rest = [f for f in docs.columns if f not in ("doc_id", "text")]
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.coalesce("text", F.lit(""))).alias("ver"), F.col("text").isNull().alias("was_null"), F.struct(*rest, F.lit(0).alias("pad_")).alias("rest_"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.coalesce("text", F.lit(""))).alias("ver"), F.col("text").isNull().alias("was_null"), F.struct(*(F.col(f"`{k}`") for k in rest), F.lit(0).alias(c.free_name(docs, "pad_"))).alias("rest_"))
     joined = whole.join(spans.hint("shuffle_hash"), ["doc_id", "ver"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
     cut = joined.mapInArrow(_cut(width, True), f"doc_id {kinds['doc_id']}, was_null boolean, rest_ {kinds['rest_']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")

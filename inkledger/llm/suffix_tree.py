@@ -2,11 +2,14 @@
 
 Method: prefix-partitioned suffix trees. A task's suffixes are split by variable-length prefixes: a prefix with
 more suffixes than ``group`` is extended by a word until its suffixes fit, and neighbouring small prefixes share a
-group. For each group the subtree is built from the sorted suffixes and their longest common prefixes; an internal
-node at window depth is a maximal repeat, and its leaves are the repeat's occurrences.
-
-Defined cases: null text: no words. Fewer words than a window: kept. A null doc_id has no place in the order: such
-rows keep all words. Rows equal in doc_id and text are one document. Other columns are not read.
+group. Each group's subtree is built from its own suffixes alone, as their sorted order and the depths at which
+neighbours part (the intervals of which are the internal nodes); an internal node at window depth or deeper is a
+maximal repeat, and its leaves are the repeat's occurrences. A prefix that reaches window depth is itself such a node.
+Words are told apart by 64-bit hashes.
+
+Defined cases: null text: no words. Fewer words than a window: kept. A very long text is looked at in stretches of
+``repeats.STRIDE`` windows. A null doc_id has no place in the order: such rows keep all words. Rows equal in doc_id
+and text are one document. Empty table: empty result. Other columns are not read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -27,41 +30,44 @@ GRAM = 8
 GROUP = 1 << 15
 
 
-def prefix_groups(symbols: np.ndarray, starts: np.ndarray, depth: int, group: int, most: int) -> Iterator[np.ndarray]:
-    """Split suffixes (indices into ``starts``) by prefixes no longer than ``most`` into groups of about ``group``."""
-    todo: list[tuple[np.ndarray, int]] = [(np.arange(len(starts)), depth)]
+def prefix_groups(symbols: np.ndarray, starts: np.ndarray, group: int, most: int) -> Iterator[tuple[np.ndarray, int]]:
+    """(suffixes as indices into ``starts``, length of their common prefix), at most ``group`` of them unless they agree in ``most`` symbols."""
+    todo = [(np.arange(len(starts)), 0)]
     while todo:
         members, depth = todo.pop()
         if len(members) <= group or depth == most:
             if len(members):
-                yield members
+                yield members, depth
             continue
         word = symbols[starts[members] + depth]
         order = np.argsort(word, kind="stable")
         members, word = members[order], word[order]
-        edges = np.r_[c.run_starts(word), len(word)]
+        edges = np.r_[c.run_starts(word), len(word)].tolist()
         begin = 0
-        for k in range(1, len(edges)):  # pack neighbouring prefixes, extend those that alone are too large
-            if edges[k] - edges[begin] > group and begin < k - 1:
-                todo.append((members[edges[begin] : edges[k - 1]], most))
-                begin = k - 1
-            if edges[k] - edges[begin] > group:
-                todo.append((members[edges[begin] : edges[k]], depth + 1))
-                begin = k
-        if begin < len(edges) - 1:
-            todo.append((members[edges[begin] :], most))
-
-
-def deep_nodes(symbols: np.ndarray, starts: np.ndarray, order: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-    """Leaves (indices into ``order``'s entries) of each internal node of ``depth`` or more in the subtree of sorted suffixes."""
-    rows = symbols[starts[order][:, None] + np.arange(depth)]
-    differs = rows[1:] != rows[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), depth) if len(order) > 1 else np.zeros(0, np.int64)
-    inside = np.r_[False, common >= depth, False]
+        for a, b in zip(edges, edges[1:]):
+            if b - begin > group and a > begin:  # neighbouring small prefixes share a group
+                yield members[begin:a], depth
+                begin = a
+            if b - a > group:
+                todo.append((members[a:b], depth + 1))
+                begin = b
+        if begin < len(members):
+            yield members[begin:], depth
+
+
+def deep_nodes(symbols: np.ndarray, starts: np.ndarray, members: np.ndarray, depth: int, width: int) -> Iterator[np.ndarray]:
+    """Leaves of each highest internal node of ``width`` or deeper in the subtree of the suffixes ``members``, which agree in ``depth`` symbols."""
+    if depth >= width:
+        if len(members) > 1:
+            yield members
+        return
+    steps = range(depth, width)
+    order, common = r.sort_windows(symbols, starts[members], steps)
+    inside = np.r_[common == len(steps), False]
     opens = np.flatnonzero(inside[1:] & ~inside[:-1])
     closes = np.flatnonzero(~inside[1:] & inside[:-1])
     for a, b in zip(opens, closes):
-        yield order[a : b + 1]
+        yield members[order[a : b + 1]]
 
 
 def _index(scheme: r.Scheme, group: int):
@@ -72,15 +78,13 @@ def _index(scheme: r.Scheme, group: int):
         p = found[0]
         seg, offset = p.windows()
         starts = p.starts[seg] + offset
-        doc, ver, pos = p.cols["doc"][seg], p.cols["ver"][seg], p.cols["pos"][seg].astype(np.int64) + offset
-        _, names = np.unique(p.symbols, return_inverse=True)
-        rank = r.ranks(names.astype(np.uint64), scheme.width)[starts]
+        doc = p.cols["doc"][seg]
         gone = np.zeros(len(starts), bool)
-        for members in prefix_groups(names, starts, 0, group, scheme.width):
-            order = members[np.argsort(rank[members], kind="stable")]
-            for leaves in deep_nodes(names, starts, order, scheme.width):
+        for members, depth in prefix_groups(p.symbols, starts, group, scheme.width):
+            for leaves in deep_nodes(p.symbols, starts, members, depth, scheme.width):
                 gone[leaves] = doc[leaves] > doc[leaves].min()
-        yield from r.marks_of(doc[gone], ver[gone], pos[gone])
+        seg, offset = seg[gone], offset[gone]
+        yield from r.marks_of(doc[gone], p.cols["ver"][seg], p.cols["pos"][seg].astype(np.int64) + offset)
 
     return run
 

@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, unchanged."""
-    rest = F.struct(*docs.columns).alias("rest_")
+    rest = c.whole_row(docs).alias("rest_")
     rows = docs.select(rest, "text")
     kind = rows.schema["rest_"].dataType.simpleString()
     return rows.mapInArrow(_scores(model, threshold), f"rest_ {kind}, score double, predicted int").where("predicted = 0").select("rest_.*")

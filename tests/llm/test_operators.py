@@ -218,11 +218,11 @@ def test_op4_threshold_algorithm(spark):
     vectors += [(400, vectors[50][1]), (401, vectors[50][1]), (450, [0.0] * 8), (500, None), (550, [1.0, None]), (600, [float("nan")] * 8), (650, [float("inf")] * 8), (None, [1.0] * 8), (700, [0.5])]
     vectors += [vectors[100]]
     frame = spark.createDataFrame([(*v, "x") for v in vectors], "vec_id long, embedding array<double>, score string")
-    fine = {i: np.r_[np.floor(256 * np.array(v)), np.zeros(8 - len(v))] for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    fine = [(i, np.r_[np.floor(256 * np.array(v)), np.zeros(8 - len(v))]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in fine:
+    for own, (q, x) in enumerate(fine):  # rows that share an id answer, and are found, each on their own
         if q % 50 == 0:
-            best = sorted((-int(fine[q] @ v), i) for i, v in fine.items() if i != q)[:5]
+            best = sorted((-int(x @ v), i) for k, (i, v) in enumerate(fine) if k != own)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     for cell, many in ((8192, 2048), (40, 3)):
         got = topk.top_k(frame, F.col("vec_id") % 50 == 0, cell=cell, queries=many)
@@ -232,6 +232,33 @@ def test_op4_threshold_algorithm(spark):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1.0, 1e6, 3e9, 1e17])
+def test_op4_exact_whatever_the_size(size):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 16)) * size
+    x[250:] = x[200:250]  # ties
+    v = topk.whole(x.ravel()).reshape(x.shape)
+    lists = topk.SortedLists(np.arange(300), np.arange(300), v)
+    query, at, score = lists.top(np.arange(0, 300, 7), v[::7], 5)
+    plain = [[int(y) for y in row] for row in np.floor(256 * x).tolist()]
+    want = []
+    for q in range(0, 300, 7):
+        best = sorted((-sum(a * b for a, b in zip(plain[q], plain[i])), i) for i in range(300) if i != q)[:5]
+        want += [(q // 7, i, -s) for s, i in best]
+    assert sorted(zip(query.tolist(), at.tolist(), map(int, score.tolist()))) == sorted(want)
+
+
+def test_op4_stops_early_where_few_directions_decide():
+    rng = np.random.default_rng(5)
+    v = topk.whole((rng.normal(size=(20_000, 32)) * np.r_[30, 9, np.full(30, 0.05)]).ravel()).reshape(-1, 32)
+    lists = topk.SortedLists(np.arange(len(v)), np.arange(len(v)), v)
+    query, at, score = lists.top(np.arange(64), v[:64], 5)
+    assert lists.read < 0.6 * lists.pairs
+    plain = v[:64] @ v.T
+    plain[np.arange(64), np.arange(64)] = np.iinfo(np.int64).min
+    assert (np.sort(plain, axis=1)[:, -5:][:, ::-1].ravel() == score[np.argsort(query, kind="stable")]).all()
+
+
 def test_op5_folding_and_exceptions():
     match = toxicity.Matcher({toxicity.fold(t): 1.0 for t in toxicity.TERMS})
     for bad in ("you idiot", "1D10T!", "ѕtυpid", "lóser.", "L0SER", "ｍｏｒｏｎ", "id​iot"):
@@ -241,17 +268,15 @@ def test_op5_folding_and_exceptions():
 
 
 def test_op5_held_out(spark, docs, empty):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = toxicity.fit(texts, labels)
+    assert toxicity.fit(texts.repartition(3), labels.repartition(5)) == model
     got = {r.doc_id: r for r in toxicity.score(texts, model).collect()}
     held = [(got[r.doc_id].predicted, r.toxic) for r in labels.collect() if r.toxic is not None and got[r.doc_id].held_out]
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k in got)
     hit = sum(p == t == 1 for p, t in held)
-    insult = re.compile(r"idiot|moron|stupid|loser|pathetic|trash|scum|clown|worthless|disgusting", re.I)
-    plain = {r.doc_id for r in texts.collect() if insult.search(r.text)}  # about a third of the toxic marks here have no insult in the text
-    able = sum(r.toxic == 1 and got[r.doc_id].held_out and r.doc_id in plain for r in labels.collect())
-    assert hit >= 0.95 * able > 0 and hit >= 0.95 * sum(p for p, _ in held)
+    assert hit >= 0.9 * sum(t for _, t in held) > 0 and hit >= 0.9 * sum(p for p, _ in held)
     odd = toxicity.score(docs, model)
     assert odd.count() == docs.count() and odd.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.score(empty, toxicity.fit(empty, labels.limit(0))).count() == 0
@@ -312,7 +337,10 @@ def test_op7_tree_deals_every_ticket_once(docs):
     assert len(shares) == 4 and max(shares.values()) - min(shares.values()) <= 2
     plain = docs.where("doc_id is not null and doc_id <> 5007")
     drawn = Counter(r.doc_id for r in mixing.mixed_documents(plain).collect())
-    assert {r.doc_id: r.taken // r.size for r in mixing.taken(plain).collect() if r.taken} == dict(drawn) or True
+    copies = Counter()
+    for r in mixing.taken(plain).collect():
+        copies[r.doc_id] += r.taken // r.size if r.size else 0
+    assert +copies == drawn
     got = mixing.mix(plain)
     assert got.columns[: len(docs.columns)] == docs.columns
 
@@ -350,6 +378,37 @@ def test_op8_viterbi_and_round_trip(docs, rows, empty):
     assert pieces.encode(empty, path).count() == 0
 
 
+def plain_digest(text):
+    """Length step and quartiles, byte by byte."""
+    b, counts = text.encode(), [0] * 256
+    for i in range(len(b) - 3):
+        for (x, y, z), salt in (((0, 1, 2), 1), ((0, 1, 3), 3), ((0, 2, 3), 5)):
+            h = ((b[i + x] << 16 | b[i + y] << 8 | b[i + z]) + (salt << 24)) * 0x9E3779B1 % 2**32
+            counts[(h ^ h >> 15) * 0x85EBCA77 % 2**32 >> 24] += 1
+    if 0 < len(b) < 4:
+        counts[sum(x * y for x, y in zip(b, (1, 7, 31))) % 256] += 1
+    edges = [sorted(counts)[k] for k in (64, 128, 192)]
+    return round(math.log2(len(b) + 1) * 8), [sum(n > e for e in edges) for n in counts]
+
+
+def plain_likeness(a, b):
+    steps = sum({3: 4}.get(abs(x - y), abs(x - y)) for x, y in zip(a[1], b[1]))
+    return 1 - min(steps + max(0, abs(a[0] - b[0]) / 4 - 1), 256) / 256
+
+
+def test_op9_digest_by_hand():
+    texts = ["", "a", "xyz", "four", "the quick brown fox", "the quick brown fix", "é世" * 40, "word " * 300, "x" * 900, "AbC\0\n" * 7]
+    hand = [plain_digest(t) for t in texts]
+    digest = fingerprint._of(texts)
+    assert [(d[0], d[1:].tolist()) for d in digest] == hand
+    for t, (length, quartiles) in zip(fingerprint.texts_of(digest), hand):
+        raw = bytes.fromhex(t)
+        assert raw[0] == length and [raw[1 + k // 4] >> 2 * (k % 4) & 3 for k in range(256)] == quartiles
+        assert fingerprint.parse(t).tolist() == [length, *quartiles]
+    for i in range(len(texts)):
+        assert fingerprint.likeness(digest, np.roll(digest, i, axis=0)).tolist() == [plain_likeness(x, y) for x, y in zip(hand, hand[-i:] + hand[:-i])]
+
+
 def test_op9_neighbours_and_likeness(docs, rows, empty):
     ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1].encode()))
     want = Counter()
@@ -360,7 +419,7 @@ def test_op9_neighbours_and_likeness(docs, rows, empty):
         want[d, len(t), hashlib.sha256(new.encode()).hexdigest(), fingerprint.texts_of(x)[0], fingerprint.texts_of(y)[0], float(fingerprint.likeness(x, y)[0]), float(fingerprint.likeness(x, z)[0])] += 1
     got = fingerprint.fingerprints(docs, 7).collect()
     assert Counter(tuple(r) for r in got) == want
-    assert all((fingerprint.parse(r.fingerprint) == fingerprint.parse(r.fingerprint)).all() and 0 <= r.near_edited <= 1 for r in got)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert np.mean([r.near_edited > r.near_next for r in got if r.n_chars > 300]) > 0.9
     assert fingerprint.fingerprints(empty).count() == 0
 
@@ -380,6 +439,72 @@ def test_op10_bytes_slots_and_groups(spark, docs, rows, empty):
     assert sharding.assign(empty).count() == 0
 
 
+def test_op10_large_groups_are_numbered_in_parts(spark):
+    many = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    got = sharding.assign(many, 3).collect()
+    for shard in range(3):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    assert len(got) == 12_000
+
+
+def test_op2_levels_hold_suffix_arrays_and_merge():
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 4, 5000).astype(np.uint8)
+    family, seen, at = suffix_dedup.IndexFamily(20), {}, []
+    for batch in range(9):
+        n = rng.integers(30, 400, 6)
+        begin = rng.integers(0, 4000, 6)
+        symbols = np.concatenate([passage[b : b + k] for b, k in zip(begin, n)])
+        symbols[::97] = batch
+        doc = rng.integers(0, 50, 6)
+        pos = batch * 1000 + rng.integers(0, 100, 6) * 7
+        cols = {"anchor": n, "doc": doc, "ver": n * 0, "pos": pos, "n": n - 19}
+        family.add(suffix_dedup.r.Pieces(cols, symbols, 20))
+        ends = np.cumsum(n)
+        for k in range(6):
+            part = symbols[ends[k] - n[k] : ends[k]].tobytes()
+            at += [(part[i : i + 20], (int(doc[k]), 0, int(pos[k]) + i)) for i in range(len(part) - 19)]
+        sizes = [size for size, _ in family.levels]
+        assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
+        for _, level in family.levels:
+            windows = [level.symbols[s : s + 20].tobytes() for s in level.start]
+            assert windows == sorted(set(windows))
+    for window, place in at:
+        seen[window] = min(place, seen.get(window, place))
+    want = {place for window, place in at if place != seen[window]}
+    assert {tuple(map(int, x)) for x in zip(*family.result())} == want
+
+
+def test_op6_subtrees_are_bounded_by_the_group():
+    rng = np.random.default_rng(7)
+    symbols = np.r_[rng.integers(0, 3, 4000), np.zeros(300, np.int64)].astype(np.uint64)
+    starts = np.arange(len(symbols) - 11)
+    parts = list(suffix_tree.prefix_groups(symbols, starts, 50, 12))
+    assert sorted(np.concatenate([m for m, _ in parts]).tolist()) == starts.tolist()
+    assert all(len(m) <= 50 or d == 12 for m, d in parts)
+    found = {frozenset(x.tolist()) for m, d in parts for x in suffix_tree.deep_nodes(symbols, starts, m, d, 12)}
+    plain = defaultdict(set)
+    for i in starts.tolist():
+        plain[symbols[i : i + 12].tobytes()].add(i)
+    assert found == {frozenset(x) for x in plain.values() if len(x) > 1}
+
+
+def test_op2_and_op6_long_texts_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.r, "STRIDE", 300)
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in rng.integers(0, 900, 1500)]
+    text = " ".join(words)
+    data = np.frombuffer(text.encode(), np.uint8)
+    for scheme, n in ((suffix_dedup.r.Scheme("bytes", 100, 32, False), len(data)), (suffix_dedup.r.Scheme("words", 50, 8, True), len(words))):
+        whole = scheme.symbols(data, np.array([0, len(data)]))[0]
+        covered = np.zeros(n, int)
+        for symbols, cuts, base in scheme.stretches(data, np.array([0, len(data)])):
+            part = whole[base : base + len(symbols)]
+            assert (symbols == part).all() and cuts.tolist() == [0, len(symbols)]
+            covered[base : base + max(0, len(symbols) - scheme.width + 1)] += 1
+        assert (covered[: n - scheme.width + 1] == 1).all() and not covered[n - scheme.width + 1 :].any()
+
+
 def test_packer_round_trip():
     fields = [("a", "<u8"), ("b", "<u2")]
     packer = common.Packer(fields, 4, limit=10)
