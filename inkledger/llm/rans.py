@@ -341,7 +341,7 @@ def _encode(freq: np.ndarray, block_ids: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Tokenise ``docs`` and write ``path``/blocks and ``path``/table; ids must fit 16 bits."""
     spark = docs.sparkSession
-    size = 1 << 16
+    size, before = 1 << 16, c.tables_written()
     coded = c.write_table(c.docs_with_version(docs).mapInArrow(_tokenise(tokenizer_path, end_id, size), "doc_id long, ver long, ids binary, counts binary"), "token-ids")
     ids = coded.where("ids is not null").drop("counts")
     counted = coded.select("counts").where("counts is not null").mapInArrow(_added(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
@@ -352,6 +352,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark.createDataFrame([(BITS, freq.astype("<u4").tobytes())], "bits int, freq binary").write.parquet(f"{path}/table")
     ordered = ids.repartitionByRange(c.partitions(spark), F.asc_nulls_first("doc_id"), "ver").sortWithinPartitions(F.asc_nulls_first("doc_id"), "ver")
     ordered.mapInArrow(_encode(freq, block_ids), "part int, block long, n_tokens long, payload binary").write.parquet(f"{path}/blocks")
+    c.delete_tables(spark, before)
 
 
 def _decode(freq: np.ndarray, with_ids: bool):
