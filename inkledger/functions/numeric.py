@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,12 +85,80 @@ def difficulty(quality: Column, blur: Column, contrast: Column, is_faint: Column
     return F.when(easy, "easy").when(hard, "hard").otherwise("medium")
 
 
-def answer_regions(width: Column, height: Column, n: int, padding: int = 0) -> Column:
-    """Boxes of a two-column answer sheet, 25 rows a column."""
+@dataclass(frozen=True)
+class Layout:
+    """Geometry of a two-column answer sheet, as fractions of the page's width and height."""
+
+    left: tuple[float, float]
+    right: tuple[float, float]
+    first_line: float
+    spacing: float
+    above: float
+    below: float
+    rows: int = 25
+
+
+def answer_regions(width: Column, height: Column, n: int, layout: Layout, padding: int = 0) -> Column:
+    """array of struct(number, left, top, right, bottom): a box around each answer's underline, padded and clamped to the page."""
+
     def box(k: Column) -> Column:
-        col, row = F.floor((k - 1) / 25), (k - 1) % 25
-        left, top = F.floor(col * width / 2) - padding, F.floor(row * height / 25) - padding
-        right, bottom = F.floor((col + 1) * width / 2) + padding, F.floor((row + 1) * height / 25) + padding
-        return F.struct(k.alias("number"), F.greatest(left, F.lit(0)).alias("left"), F.greatest(top, F.lit(0)).alias("top"), F.least(right, width).alias("right"), F.least(bottom, height).alias("bottom"))
+        first = k <= layout.rows
+        low, high = (F.when(first, F.lit(a)).otherwise(F.lit(b)) for a, b in zip(layout.left, layout.right))
+        line = F.lit(layout.first_line) + F.when(first, k - 1).otherwise(k - 1 - layout.rows) * F.lit(layout.spacing)
+        cut = lambda size, share: (size * share).cast("long")
+        left, right = cut(width, low) - padding, cut(width, high) + padding
+        top, bottom = cut(height, line - layout.above) - padding, cut(height, line + layout.below) + padding
+        none = F.lit(0).cast("long")
+        return F.struct(k.alias("number"), F.greatest(left, none).alias("left"), F.greatest(top, none).alias("top"), F.least(right, width.cast("long")).alias("right"), F.least(bottom, height.cast("long")).alias("bottom"))
 
     return F.transform(F.sequence(F.lit(1), F.lit(n)), box)
+
+
+def vote_weight(content: Column, provider: Column) -> Column:
+    """A provider's weight for a type of content, by default 1 and for unknown types those of ``default``."""
+    table = F.create_map(*[F.lit(x) for kind, own in WEIGHTS.items() for p, w in own.items() for x in (f"{kind}/{p}", w)])
+    kinds = F.array(*map(F.lit, WEIGHTS))
+    kind = F.when(F.array_contains(kinds, content), content).otherwise(F.lit("default"))
+    return F.coalesce(F.try_element_at(table, F.concat(kind, F.lit("/"), provider)), F.lit(1.0))
+
+
+def few_shot_limit(setting: Column, default: int = 3) -> Column:
+    """The setting as a whole number from 0 on, else the default."""
+    number = F.when(F.rlike(setting, F.lit(r"^\s*\+?\d+\s*$")), F.trim(setting).try_cast("int"))
+    return F.coalesce(number, F.lit(default))
+
+
+def enhancement(quality: Column, is_faint: Column, issues: Column) -> Column:
+    """struct(strategy, denoise, sharpen, sharpen_factor, contrast, contrast_factor, cutoff, brighten) for a page's faults."""
+    has = lambda k: F.array_contains(issues, k)
+
+    def plan(denoise=False, sharpen=1.0, contrast=1.0, cutoff=2, brighten=False, strategy="adaptive") -> Column:
+        factor = contrast if isinstance(contrast, Column) else F.lit(contrast)
+        return F.struct(F.lit(strategy).alias("strategy"), F.lit(denoise).alias("denoise"), F.lit(sharpen > 1).alias("sharpen"), F.lit(sharpen).alias("sharpen_factor"), (factor > 1).alias("contrast"), factor.alias("contrast_factor"), F.lit(cutoff).alias("cutoff"), F.lit(brighten).alias("brighten"))
+
+    out = F.when(is_faint | has("faint_ink"), plan(contrast=2.0, cutoff=3, brighten=True))
+    out = out.when(quality == "good", plan(strategy="llm"))
+    out = out.when(has("blurry") & ~has("low_contrast"), plan(denoise=True, sharpen=2.5))
+    out = out.when(has("low_contrast") & ~has("blurry"), plan(contrast=1.5))
+    out = out.when(has("too_dark"), plan(contrast=1.3, brighten=True)).when(has("too_bright"), plan(contrast=1.5, cutoff=3))
+    return out.otherwise(plan(denoise=True, sharpen=2.0, contrast=F.when(quality == "fair", 1.5).otherwise(2.0), brighten=True))
+
+
+def uncertain_strips(text: Column, most: int = 3) -> Column:
+    """Which of up to ``most`` strips of a page hold lines with uncertain words, ascending."""
+    lines = F.split(text, "\n")
+    strips = F.least(F.lit(most), F.size(lines))
+    unsure = F.transform(lines, lambda x, i: F.when(F.contains(x, F.lit("[?]")) | F.contains(x, F.lit("???")) | F.rlike(x, F.lit(r"(?i)\[illegible[^\]]*\]")), F.least(F.floor(i / (F.size(lines) / strips)), strips - 1).cast("int")))
+    return F.array_sort(F.array_distinct(F.array_compact(unsure)))
+
+
+def byte_batches(sizes: Column, most: int) -> Column:
+    """The batch number of each of an ordered list of sizes: a new batch begins where the sum would pass ``most``."""
+    start = F.struct(F.array().cast("array<int>").alias("numbers"), F.lit(0).cast("long").alias("held"), F.lit(0).alias("batch"))
+
+    def step(acc: Column, size: Column) -> Column:
+        full = (acc["held"] > 0) & (acc["held"] + size > most)
+        batch = acc["batch"] + full.cast("int")
+        return F.struct(F.array_append(acc["numbers"], batch).alias("numbers"), F.when(full, size).otherwise(acc["held"] + size).cast("long").alias("held"), batch.alias("batch"))
+
+    return F.aggregate(sizes, start, step, lambda acc: acc["numbers"])

@@ -116,8 +116,13 @@ def uncertainty(text: Column) -> Column:
     return F.regexp_count(text, F.lit(UNCERTAIN))
 
 
-def letters(text: Column) -> Column:
-    return F.char_length(F.regexp_replace(text, r"[^\p{L}]", ""))
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def is_letter_or_two(text: Column) -> Column:
+    """Whether the whole text is one or two letters."""
+    return F.rlike(strip(text), F.lit(r"^\p{L}{1,2}$"))
 
 
 def single_confidence(text: Column) -> Column:
@@ -128,15 +133,15 @@ def single_confidence(text: Column) -> Column:
     conf = conf - F.when(n < 3, 0.15).otherwise(0.0) - F.when((n <= 5) & (marks == 0), 0.10).otherwise(0.0)
     unique = F.size(F.array_distinct(F.transform(t, F.lower)))
     conf = conf - F.when((n > 5) & (unique / F.greatest(n, F.lit(1)) < 0.15), 0.2).otherwise(0.0)
-    conf = F.when(letters(text) <= 2, F.least(conf, F.lit(0.45))).otherwise(conf)
-    return F.when(F.trim(text) == "", 0.0).otherwise(F.round(F.least(F.lit(0.70), F.greatest(F.lit(0.0), conf)), 3))
+    conf = F.when(is_letter_or_two(text), F.least(conf, F.lit(0.45))).otherwise(conf)
+    return F.when(strip(text) == "", 0.0).otherwise(F.round(F.least(F.lit(0.70), F.greatest(F.lit(0.0), conf)), 3))
 
 
 def confidence_level(text: Column, confidence: Column) -> Column:
     n, marks = F.size(tokens(text)), uncertainty(text)
-    low = (confidence < 0.5) | (marks >= 3) | ((n < 5) & ~F.startswith(F.trim(text), F.lit("["))) | (letters(text) <= 2)
+    low = (confidence < 0.5) | (marks >= 3) | ((n < 5) & ~F.startswith(strip(text), F.lit("["))) | is_letter_or_two(text)
     low = low | (marks / F.greatest(n, F.lit(1)) > 0.1) | F.contains(F.lower(text), F.lit("[illegible")) | F.contains(F.lower(text), F.lit("page faint"))
-    return F.when(low, "low").otherwise("high")
+    return F.when(low, "LOW").otherwise("HIGH")
 
 
 def read_confidence(text: Column) -> Column:
@@ -176,11 +181,23 @@ def strip_markdown(text: Column) -> Column:
 
 
 def drop_repeated_lines(text: Column, most: int = 2) -> Column:
-    """Keep the first ``most`` occurrences of each non-blank line, by trimmed lower case."""
-    lines = F.split(text, "\n")
-    keys = F.transform(lines, lambda x: F.lower(F.trim(x)))
-    kept = F.filter(F.transform(lines, lambda x, i: F.when((F.element_at(keys, i + 1) == "") | (F.size(F.filter(F.slice(keys, 1, i + 1), lambda k: k == F.element_at(keys, i + 1))) <= most), x)), lambda x: x.isNotNull())
-    return F.array_join(kept, "\n")
+    """Keep the first ``most`` occurrences of each non-blank line, by trimmed lower case, in one pass over the lines."""
+
+    def kept(t: str) -> str:
+        seen: dict[str, int] = {}
+        lines = []
+        for line in t.split("\n"):
+            key = line.strip().lower()
+            seen[key] = seen.get(key, 0) + 1
+            if not key or seen[key] <= most:
+                lines.append(line)
+        return "\n".join(lines)
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(kept, na_action="ignore")
+
+    return run(text)
 
 
 def alternatives(text: Column) -> Column:
@@ -218,6 +235,13 @@ def term_accuracy(hyp: Column, ref: Column, single: list[str], several: list[str
     return F.struct(F.when(total == 0, -1.0).otherwise(correct / F.nullif(total, F.lit(0))).alias("accuracy"), correct.alias("correct"), total.alias("total"), missed.alias("missed"))
 
 
+def deletions(word: Column) -> Column:
+    """A word and every form with one character less: two words one edit apart share one of these."""
+    n = F.char_length(word)
+    less = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
+    return F.array_distinct(F.array_append(less, word))
+
+
 def one_edit(a: Column, b: Column) -> Column:
     """Insertion, deletion, replacement or swap of neighbours, or equal."""
     n = F.char_length(a)
@@ -241,7 +265,7 @@ def bare(word: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, "áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
+    return F.translate(text, "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
 
 
 def inference_pieces(text: Column, most: int = 240) -> Column:

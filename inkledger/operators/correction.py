@@ -1,19 +1,71 @@
-"""Conservative dictionary correction. Vocabularies are parameters; small ones are literals, so nothing shuffles."""
+"""Conservative dictionary correction by domain. Vocabularies are small and travel with the function, so nothing shuffles."""
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.operators.voting import LOOKALIKES
-
-#: Single and multi-word biology terms.
-TERMS = ("mitosis meiosis membrane atp dna rna enzyme protein glucose photosynthesis respiration ribosome chromosome gene allele phenotype genotype nucleus cytoplasm organelle mitochondria chloroplast golgi lysosome vacuole cellulose phospholipid osmosis diffusion homeostasis transcription translation codon anticodon plasmid vector pcr elisa electrophoresis centrifuge pipette incubation absorbance od600 concentration dilution buffer agar colony streak inoculate autoclave sterile aseptic hypothesis control variable dependent independent replicate lysine leucine alanine glycine proline serine threonine catalase amylase lipase protease kinase synthase polymerase").split()
-PHRASES = ("endoplasmic reticulum", "golgi apparatus", "cell membrane", "cell wall", "krebs cycle", "citric acid cycle", "electron transport chain", "atp synthase", "dna polymerase", "rna polymerase", "amino acid", "nucleic acid", "fatty acid", "stem cell", "base pair", "restriction enzyme", "gel electrophoresis", "serial dilution", "aseptic technique", "negative control", "positive control", "dependent variable", "independent variable", "standard deviation")
-SKIP = re.compile(r"^\d|^\[|^[A-Z]{1,4}$")
+from inkledger.operators.voting import LOOKALIKES, pair_name
+
+# The correction vocabularies, single words and two-word phrases.
+BIOLOGY = tuple("""
+mitosis meiosis mitochondria chloroplast photosynthesis respiration glycolysis ribosome chromosome chromatid
+centromere telomere prophase metaphase anaphase telophase interphase cytokinesis deoxyribose nucleotide adenine
+thymine guanine cytosine uracil transcription translation replication polymerase helicase ligase primase topoisomerase
+nucleosome histone chromatin plasmid prokaryote eukaryote organelle cytoplasm nucleus vacuole lysosome peroxisome
+endoplasmic reticulum golgi apparatus membrane phospholipid bilayer osmosis diffusion concentration gradient enzyme
+substrate catalysis inhibitor allosteric denaturation protein peptide amino acid carbohydrate glucose fructose
+sucrose lactose starch cellulose lipid fatty glycerol absorption digestion circulation excretion
+homeostasis population ecosystem biodiversity evolution natural selection mutation allele genotype phenotype
+dominant recessive heterozygous homozygous gamete zygote embryo placenta differentiation stem cell apoptosis
+receptor hormone neurotransmitter synapse axon dendrite antibody antigen lymphocyte phagocyte pathogen bacteria
+virus fungus protist kingdom species taxonomy phylogeny
+""".split())
+CHEMISTRY = tuple("""
+hydrogen oxygen nitrogen carbon sulfur phosphorus sodium potassium calcium magnesium chlorine fluorine
+molecule compound element isotope electron proton neutron orbital valence covalent ionic metallic
+electronegativity oxidation reduction titration molarity molality solution solvent solute precipitation equilibrium
+catalyst activation enthalpy entropy gibbs exothermic endothermic reaction reactant product stoichiometry
+mole avogadro bohr quantum spectrum wavelength absorbance transmittance spectrophotometer chromatography
+electrophoresis centrifuge distillation filtration crystallization sublimation evaporation condensation
+""".split())
+GENERAL = tuple("""
+approximately therefore however although because similar different compare contrast describe explain
+analyze evaluate calculate determine identify define significant negligible proportional inversely directly
+increase decrease constant variable hypothesis experiment observation conclusion evidence data result average
+standard deviation percentage measurement temperature pressure volume mass weight density velocity
+acceleration frequency amplitude wavelength intensity
+""".split())
+BIOLOGY_PHRASES = tuple("""
+natural selection, stem cell, amino acid, amino acids, fatty acid, fatty acids, nucleic acid, nucleic acids,
+cell membrane, cell wall, cell cycle, cell division, active transport, passive transport, facilitated diffusion,
+endoplasmic reticulum, golgi apparatus, krebs cycle, citric acid, electron transport, light reactions, dark reactions,
+calvin cycle, genetic code, messenger rna, transfer rna, ribosomal rna, double helix, base pair, base pairs,
+punnett square, phenotypic ratio, genotypic ratio, food chain, food web, trophic level, biotic factor, biotic factors,
+abiotic factor, abiotic factors, carrying capacity, limiting factor, limiting factors, white blood, red blood,
+blood cell, blood cells, immune system, nervous system, digestive system, respiratory system, circulatory system
+""".replace("\n", " ").strip().split(", "))
+CHEMISTRY_PHRASES = tuple("""
+periodic table, atomic number, atomic mass, atomic weight, mass number, ionic bond, ionic bonds, covalent bond,
+covalent bonds, hydrogen bond, hydrogen bonds, chemical equation, balanced equation, limiting reagent,
+limiting reactant, activation energy, reaction rate, equilibrium constant, specific heat, heat capacity,
+boiling point, melting point, freezing point, phase change, phase transition, ideal gas, partial pressure,
+vapor pressure, electron configuration, oxidation state, oxidation number, redox reaction, acid base, strong acid,
+weak acid, strong base, weak base
+""".replace("\n", " ").strip().split(", "))
+#: Words and phrases by domain; an unknown domain has the general words.
+DOMAINS = {
+    "biology": (BIOLOGY + GENERAL, BIOLOGY_PHRASES),
+    "chemistry": (CHEMISTRY + GENERAL, CHEMISTRY_PHRASES),
+    "general": (GENERAL, ()),
+    "science": (BIOLOGY + CHEMISTRY + GENERAL, BIOLOGY_PHRASES + CHEMISTRY_PHRASES),
+}
+#: A digit or bracket in front, or an abbreviation.
+SKIP = re.compile(r"\d|\[|[A-Z]{1,4}$")
 
 
 def near(a: str, b: str) -> bool:
@@ -39,116 +91,151 @@ class Vocabulary:
     def _keys(w: str) -> set[str]:
         return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
 
-    def around(self, w: str) -> list[str]:
-        """Words one edit away; none if ``w`` is a word."""
-        if w in self.words:
-            return []
+    def near(self, w: str) -> list[str]:
+        """Words at most one edit away."""
         found = set().union(*(self.keys.get(k, ()) for k in self._keys(w)))
         return sorted(x for x in found if near(w, x))
 
+    def around(self, w: str) -> list[str]:
+        """Words one edit away; none if ``w`` is a word."""
+        return [] if w in self.words else self.near(w)
+
 
-def _parts(word: str) -> tuple[str, str, str]:
-    core = word.strip(".,;:!?")
-    while core and not core[0].isalpha():
-        core = core[1:]
-    while core and not core[-1].isalpha():
-        core = core[:-1]
-    at = word.find(core) if core else len(word)
-    return word[:at], core, word[at + len(core) :]
+def _parts(word: str, inside=str.isalpha) -> tuple[str, str, str]:
+    """(before, core, after): the core begins and ends with a character that counts as inside."""
+    places = [k for k, ch in enumerate(word.rstrip(".,;:!?")) if inside(ch)]
+    if not places:
+        return word, "", ""
+    return word[: places[0]], word[places[0] : places[-1] + 1], word[places[-1] + 1 :]
 
 
 def _cased(word: str, like: str) -> str:
-    return word.upper() if like.isupper() and len(like) > 1 else word.capitalize() if like[:1].isupper() else word
-
-
-def snap_phrases(text: str, phrases: list[str], words: set[str]) -> str:
-    """Left to right, a pair of words becomes the one two-word phrase that both are near to."""
-    pairs = [tuple(p.split()) for p in phrases if len(p.split()) == 2]
-    known = words | {w for p in pairs for w in p}
-    tokens, k = text.split(), 0
-    while k + 1 < len(tokens):
-        (a0, a, a1), (b0, b, b1) = _parts(tokens[k]), _parts(tokens[k + 1])
-        low = (a.lower(), b.lower())
-        step = 1
-        if min(len(a), len(b)) >= 3 and not (low[0] in known and low[1] in known):
-            fits = [p for p in pairs if near(low[0], p[0]) and near(low[1], p[1])]
-            if len(fits) == 1:
-                tokens[k], tokens[k + 1] = a0 + _cased(fits[0][0], a) + a1, b0 + _cased(fits[0][1], b) + b1
-                step = 2
-        k += step
-    return " ".join(tokens)
-
-
-def fix_terms(text: str, vocabulary: Vocabulary, phrases: list[str]) -> str:
-    out = []
-    for word in snap_phrases(text, phrases, vocabulary.words).split():
-        before, core, after = _parts(word)
-        low = core.lower()
-        if len(core) >= 4 and not SKIP.search(word) and not word[:1].isdigit():
-            found = vocabulary.around(low)
-            if len(found) == 1 and (len(low) >= 6 or len(found[0]) > len(low)):
-                word = before + _cased(found[0], core) + after
-        out.append(word)
-    return " ".join(out)
+    return word.upper() if like.isupper() else word.capitalize() if like[:1].isupper() else word
+
+
+class Corrector:
+    """Term and look-alike correction with one domain's vocabulary."""
+
+    def __init__(self, domain: str = "biology"):
+        words, phrases = DOMAINS.get(domain, DOMAINS["general"])
+        self.vocabulary = Vocabulary(words)
+        self.pairs = [tuple(p.split()) for p in phrases]
+        self.found = lru_cache(1 << 16)(self._found)
+        self.swapped = lru_cache(1 << 16)(self._swapped)
+        self.firsts = Vocabulary({a for a, _ in self.pairs})
+
+    def phrase(self, left: str, right: str) -> tuple[str, str] | None:
+        """The only phrase that both cores are near to, if they are not it already."""
+        if min(len(left), len(right)) < 3 or SKIP.match(left) or SKIP.match(right):
+            return None
+        low = left.lower(), right.lower()
+        if low[0] in self.vocabulary.words and low[1] in self.vocabulary.words:
+            return None
+        heads = {low[0], *self.firsts.near(low[0])}
+        fits = [p for p in self.pairs if p[0] in heads and near(low[1], p[1])]
+        return fits[0] if len(fits) == 1 and fits[0] != low else None
+
+    def _swapped(self, core: str) -> tuple[tuple[str, str], ...]:
+        """(known word, pair) of each swap of a look-alike pair that gives one."""
+        return tuple((w, pair) for w, pair in swaps(core).items() if w != core and w.lower() in self.vocabulary.words)
+
+    def _found(self, core: str) -> str | None:
+        """The only word one edit away; for short cores only one that adds a letter."""
+        if len(core) < 4 or SKIP.match(core):
+            return None
+        found = self.vocabulary.around(core.lower())
+        return found[0] if len(found) == 1 and (len(core) >= 6 or len(found[0]) > len(core)) else None
+
+    def terms(self, text: str) -> str:
+        """Phrases from left to right, then the words that no phrase rewrote."""
+        tokens, k = text.split(), 0
+        while k < len(tokens):
+            before, core, after = _parts(tokens[k])
+            then = _parts(tokens[k + 1]) if k + 1 < len(tokens) else ("", "", "")
+            pair = self.phrase(core, then[1])
+            if pair:
+                tokens[k] = before + _cased(pair[0], core) + after
+                tokens[k + 1] = then[0] + _cased(pair[1], then[1]) + then[2]
+                k += 2
+                continue
+            found = self.found(core)
+            if found:
+                tokens[k] = before + _cased(found, core) + after
+            k += 1
+        return " ".join(tokens)
+
+    def lookalikes(self, text: str) -> tuple[str, list[dict]]:
+        """Words that exactly one swap of a look-alike pair turns into a known word, with their audit trail."""
+        tokens, audit = text.split(), []
+        for k, token in enumerate(tokens):
+            before, core, after = _parts(token, str.isalnum)
+            if len(core) < 3 or SKIP.match(core) or core.lower() in self.vocabulary.words:
+                continue
+            found = self.swapped(core)
+            if len(found) == 1:
+                (word, pair), = found
+                word = word[:1].upper() + word[1:] if core[:1].isupper() else word
+                tokens[k] = before + word + after
+                audit.append({"original": token, "corrected": tokens[k], "pair": pair})
+        return " ".join(tokens), audit
 
 
 def swaps(word: str) -> dict[str, str]:
-    """Every word that one swap of a look-alike pair makes, with the pair."""
+    """Every word that one swap of a look-alike pair makes, with the pair's name."""
     out: dict[str, str] = {}
-    for a, b in LOOKALIKES:
-        for x, y in ((a, b), (b, a)):
-            at = word.find(x)
-            while at >= 0:
-                out.setdefault(word[:at] + y + word[at + len(x) :], f"{x}→{y}")
-                at = word.find(x, at + 1)
+    for other, canonical in LOOKALIKES:
+        for x, y in ((other, canonical), (canonical, other)):
+            for m in re.finditer(f"(?={re.escape(x)})", word):
+                out.setdefault(word[: m.start()] + y + word[m.start() + len(x) :], pair_name(other, canonical))
     return out
 
 
-def fix_lookalikes(text: str, words: set[str]) -> tuple[str, list[dict]]:
-    audit = []
-
-    def fixed(m: re.Match) -> str:
-        word = m[0]
-        if len(word) < 3 or word.lower() in words:
-            return word
-        found = {c.lower(): p for c, p in swaps(word).items() if c.lower() in words}
-        if len(found) != 1:
-            return word
-        (term, pair), = found.items()
-        audit.append({"original": word, "corrected": _cased(term, word), "pair": pair})
-        return audit[-1]["corrected"]
-
-    return re.sub(r"[A-Za-z0-9]+", fixed, text), audit
-
-
-def correct_terms(column: Column, words=tuple(TERMS), phrases=PHRASES) -> Column:
+def correct_terms(column: Column, domain: str = "biology") -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        v = Vocabulary(words)
-        return s.map(lambda t: fix_terms(t, v, list(phrases)) if t else t)
+        own = Corrector(domain)
+        return s.map(lambda t: own.terms(t) if t else t)
 
     return run(column)
 
 
-def correct_lookalikes(column: Column, words=tuple(TERMS)) -> Column:
+def correct_lookalikes(column: Column, domain: str = "biology") -> Column:
     """struct(text, corrections)."""
 
     @F.pandas_udf("text string, corrections array<struct<original:string,corrected:string,pair:string>>")
     def run(s: pd.Series) -> pd.DataFrame:
-        known = set(words)
-        return pd.DataFrame([fix_lookalikes(t or "", known) for t in s], columns=["text", "corrections"])
+        own = Corrector(domain)
+        return pd.DataFrame([own.lookalikes(t or "") for t in s], columns=["text", "corrections"])
 
     return run(column)
 
 
-def correct(column: Column, words=tuple(TERMS), phrases=PHRASES, lookalikes: bool = True, model=None, fidelity: float = 0.35) -> Column:
-    """Terms, then look-alikes, then an optional model's text where it stays within ``fidelity`` of the input."""
+def correct(column: Column, domain: str = "biology", lookalikes: bool = True, model=None, fidelity: float = 0.35) -> Column:
+    """Terms, then look-alikes, then an optional model's text: only where those changed something, and within ``fidelity`` of their text."""
     from inkledger.functions.text import change_ratio
 
-    out = correct_terms(column, words, phrases)
+    out = correct_terms(column, domain)
     if lookalikes:
-        out = correct_lookalikes(out, words)["text"]
+        out = correct_lookalikes(out, domain)["text"]
     if model is not None:
         better = model(out)
-        out = F.when((out != column) & (change_ratio(column, better) <= fidelity), better).otherwise(out)
+        out = F.when((out != column) & (change_ratio(out, better) <= fidelity), better).otherwise(out)
     return out
+
+
+def evaluate(pairs: DataFrame, domain: str = "biology", model=None, fidelity: float = 0.35) -> DataFrame:
+    """One row: mean character error of the input, after terms, after the model, after both, and gated; how often the gate and fidelity held the model back.
+
+    ``pairs`` has corrupted and clean.
+    """
+    from inkledger.functions.text import change_ratio, plain_error
+
+    rows = pairs.select("corrupted", "clean", correct_terms(F.col("corrupted"), domain).alias("heuristic"))
+    heuristic, corrupted, clean = F.col("heuristic"), F.col("corrupted"), F.col("clean")
+    rows = rows.withColumn("trained", model(corrupted) if model else corrupted).withColumn("both", model(heuristic) if model else heuristic)
+    changed = heuristic != corrupted
+    far = change_ratio(heuristic, F.col("both")) > fidelity
+    rows = rows.withColumn("skipped", ~changed & F.lit(model is not None)).withColumn("refused", changed & far & F.lit(model is not None))
+    rows = rows.withColumn("gated", F.when(F.col("skipped") | F.col("refused"), heuristic).otherwise(F.col("both")))
+    means = [F.coalesce(F.avg(plain_error(F.col(k), clean)), F.lit(0.0)).alias(f"cer_{k}") for k in ("corrupted", "heuristic", "trained", "both", "gated")]
+    return rows.agg(F.count(F.lit(1)).alias("n"), *means, F.count_if("refused").alias("refused"), F.count_if("skipped").alias("skipped"))

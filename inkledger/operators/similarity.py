@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkledger.functions import numeric, text
+from inkledger.functions import numeric
+
+
+#: Numbers in all profiles that are broadcast together.
+FEW = 1 << 21
 
 
 def similar_texts(df: DataFrame, key: str, body: str, threshold: float = 0.85, n: int = 3) -> DataFrame:
@@ -14,8 +20,8 @@ def similar_texts(df: DataFrame, key: str, body: str, threshold: float = 0.85, n
     Only the rarest grams of each set are joined on: a pair that is similar enough shares one of the first
     size - ceil(threshold * size) + 1 grams in a common order from rare to frequent. Candidates are then compared on whole sets.
     """
-    sets = df.select(F.col(key).alias("k"), text.ngrams(text.tokens(F.lower(F.col(body))), n).alias("grams")).where(F.size("grams") > 0)
-    sets = sets.select("k", F.transform("grams", lambda g: F.xxhash64(g)).alias("grams"), F.size("grams").alias("size"))
+    sets = df.select(F.col(key).alias("k"), _grams(n)(F.col(body)).alias("grams")).where(F.size("grams") > 0)
+    sets = sets.select("k", "grams", F.size("grams").alias("size"))
     rows = sets.select("k", "size", F.explode("grams").alias("g"))
     seen = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     order = Window.partitionBy("k").orderBy("df", "g")
@@ -27,9 +33,25 @@ def similar_texts(df: DataFrame, key: str, body: str, threshold: float = 0.85, n
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = (F.col("a.size") >= F.col("b.size") * threshold - 1e-9) & (F.col("b.size") >= F.col("a.size") * threshold - 1e-9)
     pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k")) & fits).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    left, right = sets.select(F.col("k").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("k").alias("b"), F.col("grams").alias("gb"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", F.round(text.jaccard(F.col("ga"), F.col("gb")), 4).alias("score"), text.jaccard(F.col("ga"), F.col("gb")).alias("exact"))
-    return scored.where(F.col("exact") >= threshold).drop("exact")
+    left, right = sets.select(F.col("k").alias("a"), F.col("grams").alias("ga"), F.col("size").alias("na")), sets.select(F.col("k").alias("b"), F.col("grams").alias("gb"), F.col("size").alias("nb"))
+    scored = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("c"))
+    exact = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
+    return scored.where(exact >= threshold).select("a", "b", F.round(exact, 4).alias("score"))
+
+
+def _grams(n: int):
+    """Distinct hashes of a text's lower-case word n-grams: Arrow batches, once over the words, where column functions copy every gram."""
+
+    @F.pandas_udf("array<long>")
+    def grams(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            words = (t or "").lower().split()
+            found = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if len(words) >= n else [" ".join(words)] if words else []
+            out.append(pd.util.hash_array(np.array(sorted(set(found)), object), categorize=False).view(np.int64) if found else np.zeros(0, np.int64))
+        return pd.Series(out)
+
+    return grams
 
 
 def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
@@ -42,10 +64,20 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
 def nearest_profile(vectors: DataFrame, key: str, vector: str, profiles: DataFrame, group: str, threshold: float = 0.85) -> DataFrame:
     """(key, group or null, score): the most similar profile of the same width, null below ``threshold``.
 
-    Profiles are one row a writer; they are joined by width, and broadcast only while Spark's own size limit allows.
+    Few profiles (at most ``FEW`` numbers in all, checked) go to every task; more are dealt out in blocks, and each
+    vector meets every block, so that no task holds them all.
     """
     v = vectors.select(key, F.col(vector).alias("v"), F.size(vector).alias("width"))
     p = profiles.select(group, F.col("centroid").alias("c"), F.size("centroid").alias("width"))
-    scored = v.join(p, "width").select(key, group, numeric.cosine(F.col("v"), F.col("c")).alias("score"))
-    best = scored.groupBy(key).agg(F.max_by(F.struct(group, "score"), F.struct("score", F.negate(F.col(group)))).alias("best"))
-    return best.select(key, F.when(F.col("best.score") >= threshold, F.col(f"best.{group}")).alias(group), F.col("best.score").alias("score"))
+    numbers = p.agg(F.coalesce(F.sum("width"), F.lit(0)).alias("n")).head()["n"]
+    if numbers <= FEW:
+        scored = v.join(F.broadcast(p), "width")
+    else:
+        blocks = -(-numbers // FEW)
+        p = p.withColumn("block_", F.pmod(F.xxhash64(group), F.lit(blocks)))
+        v = v.withColumn("block_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("part_", F.pmod(F.xxhash64(key), F.lit(blocks)))
+        p = p.withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        scored = v.join(p, ["width", "block_", "part_"])
+    scored = scored.select(key, group, numeric.cosine(F.col("v"), F.col("c")).alias("score"))
+    best = scored.groupBy(key).agg(F.max(F.struct("score", F.negate(F.col(group)).alias("less"), F.col(group).alias("own"))).alias("best"))
+    return best.select(key, F.when(F.col("best.score") >= threshold, F.col("best.own")).alias(group), F.col("best.score").alias("score"))

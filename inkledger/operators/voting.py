@@ -82,41 +82,37 @@ def error_taxonomy(hyp: Column, ref: Column) -> Column:
     return classify(text.normalise(hyp), text.normalise(ref))
 
 
-def _explained(a: str, b: str) -> list[tuple[str, str]] | None:
-    """The look-alike pairs that turn ``a`` into ``b``, as (canonical, other); None if anything else differs."""
-    reach: dict[tuple[int, int], list[tuple[str, str]]] = {(0, 0): []}
-    for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            path = reach.get((i, j))
-            if path is None:
-                continue
-            if i < len(a) and j < len(b) and a[i] == b[j]:
-                reach.setdefault((i + 1, j + 1), path)
-            for other, canonical in LOOKALIKES:
-                for x, y in ((other, canonical), (canonical, other)):
-                    if a.startswith(x, i) and b.startswith(y, j):
-                        reach.setdefault((i + len(x), j + len(y)), [*path, (canonical, other)])
-    return reach.get((len(a), len(b)))
+def pair_name(other: str, canonical: str) -> str:
+    """The key of a look-alike pair in writers' profiles and audit trails."""
+    return f"{other}\u2194{canonical}"
+
+
+PAIRS = {order: (other, canonical) for other, canonical in reversed(LOOKALIKES) for order in ((canonical, other), (other, canonical))}
 
 
 def resolve_characters(candidates: list[str], weights: list[float] | None = None, habits: dict[str, str] | None = None) -> str | None:
-    """The canonical reading of two words that differ only by look-alikes; a writer's habits decide first."""
+    """The reading of two words that differ only by look-alikes: the writer's habit for a pair, else its canonical form.
+
+    Only the differing stretches decide. None for three or more words, or if anything else differs.
+    """
     words = list(dict.fromkeys(candidates))
-    if len(words) == 1:
-        return words[0]
     if len(words) != 2:
-        return None
-    pairs = _explained(*words)
-    if not pairs:
-        return None
-    habits = habits or {}
-
-    def fit(word: str) -> tuple[int, int]:
-        chosen = sum((p := habits.get(f"{o}/{c}", habits.get(f"{c}/{o}"))) is not None and p in word for c, o in pairs)
-        return chosen, sum(c in word for c, o in pairs) - sum(o in word for c, o in pairs)
-
-    best = sorted(words, key=fit, reverse=True)
-    return best[0] if fit(best[0]) != fit(best[1]) else None
+        return words[0] if len(words) == 1 else None
+    left, right = words
+    out = ""
+    for tag, i, j, m, n in SequenceMatcher(None, left, right).get_opcodes():
+        x, y = left[i:j], right[m:n]
+        stretch = [(x, y)] if (x, y) in PAIRS or tag == "equal" else list(zip(x, y)) if len(x) == len(y) else [(x, y)]
+        for p, q in stretch:
+            if p == q:
+                out += p
+                continue
+            pair = PAIRS.get((p, q))
+            if pair is None:
+                return None
+            habit = (habits or {}).get(pair_name(*pair))
+            out += habit if habit in pair else pair[1]
+    return out
 
 
 def vote_words(texts: list[str], weights: list[float], habits: dict[str, str] | None = None) -> dict:
@@ -157,18 +153,17 @@ def vote_words(texts: list[str], weights: list[float], habits: dict[str, str] |
     return {"text": lines, "confidence": min(VOTE_CAP, agreed / counted) if counted else 0.0, "disagreements": apart[:20]}
 
 
-READING = "sample_id long, provider string, text string, weight double"
-
-
-def consensus(readings: DataFrame) -> DataFrame:
-    """sample_id, text, confidence, level, disagreements from (sample_id, provider, text, confidence, weight).
+def consensus(readings: DataFrame, habits: DataFrame | None = None) -> DataFrame:
+    """sample_id, text, confidence, level, disagreements, strategy from (sample_id, provider, text, confidence, weight).
 
-    With three or more readings, one that agrees with none (best agreement under 0.6) loses its vote; with four or
-    more, one under 0.2 with all is left out, never below two. Weights scale with confidence.
+    Empty readings do not vote; a sample with none gives an empty text. With three or more readings, one that agrees
+    with none (best agreement under 0.6) loses its vote; with four or more, one under 0.2 with all is left out, never
+    below two. Weights scale with confidence. ``habits`` has sample_id and habits (map of look-alike pair to form).
     """
-    own = readings.where(F.col("text").isNotNull())
+    samples = readings.select("sample_id").distinct()
+    own = readings.where(F.coalesce("text", F.lit("")) != "")
     conf = F.when(F.coalesce("confidence", F.lit(0.0)) > 0, F.col("confidence")).otherwise(text.single_confidence(F.col("text")) / 0.70)
-    own = own.select("sample_id", "provider", "text", F.col("weight").alias("static"), F.least(conf, F.lit(1.0)).alias("conf"))
+    own = own.select("sample_id", "provider", "text", F.col("weight").alias("static"), conf.alias("conf"))
     a, b = own.alias("a"), own.alias("b")
     pairs = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.provider") < F.col("b.provider")))
     pairs = pairs.select(F.col("a.sample_id").alias("sample_id"), F.col("a.provider").alias("x"), F.col("b.provider").alias("y"), agreement(F.col("a.text"), F.col("b.text")).alias("agree"))
@@ -176,41 +171,33 @@ def consensus(readings: DataFrame) -> DataFrame:
     best = each.groupBy("sample_id", "provider").agg(F.max("agree").alias("best"))
     n = F.count(F.lit(1)).over(Window.partitionBy("sample_id"))
     rows = own.join(best, ["sample_id", "provider"], "left").withColumn("n", n)
-    outlier = (F.col("n") >= 4) & (F.col("best") < 0.20)
-    stays = F.count_if(~outlier).over(Window.partitionBy("sample_id"))
-    rows = rows.withColumn("stays", stays).where(~F.coalesce(outlier, F.lit(False)) | (F.col("stays") < 2))
-    weight = F.when((F.col("n") >= 3) & (F.col("best") < 0.60), 0.0).otherwise(F.col("static") * (0.4 + 0.6 * F.col("conf")))
-    bag = F.array_sort(F.collect_list(F.struct("provider", "text", weight.alias("weight"), "conf")))
+    apart = F.coalesce((F.col("n") >= 4) & (F.col("best") < 0.20), F.lit(False))
+    rows = rows.withColumn("stays", F.count_if(~apart).over(Window.partitionBy("sample_id")))
+    out = apart & (F.col("stays") >= 2)
+    silent = (F.col("n") >= 3) & (F.col("best") < 0.60)
+    weight = F.when(silent, 0.0).otherwise(F.col("static") * (0.4 + 0.6 * F.col("conf")))
+    quoted = F.concat(F.lit("'"), F.col("provider"), F.lit("'"))
+    note = F.concat(F.when(apart, F.array(F.concat(quoted, F.lit(" excluded as outlier (agreement < 20% with all others)")))).otherwise(F.array()), F.when(silent & ~out, F.array(F.concat(quoted, F.lit(" zero-weighted: potential hallucination (agreement < 60%)")))).otherwise(F.array()))
+    bag = F.array_sort(F.collect_list(F.struct("provider", "text", weight.alias("weight"), out.alias("out"), note.alias("note"))))
     grouped = rows.groupBy("sample_id").agg(bag.alias("bag"))
+    if habits is None:
+        grouped = grouped.withColumn("habits", F.lit(None).cast("map<string,string>"))
+    else:
+        grouped = grouped.join(habits.select("sample_id", "habits"), "sample_id", "left")
+    voters = F.filter("bag", lambda r: ~r["out"])
 
     @F.pandas_udf("text string, confidence double, disagreements array<string>")
-    def vote(texts: pd.Series, weights: pd.Series) -> pd.DataFrame:
-        out = [vote_words(list(t), list(w)) if len(t) > 1 else {"text": t[0], "confidence": None, "disagreements": []} for t, w in zip(texts, weights)]
-        return pd.DataFrame(out, columns=["text", "confidence", "disagreements"])
+    def vote(texts: pd.Series, weights: pd.Series, known: pd.Series) -> pd.DataFrame:
+        done = [vote_words(list(t), list(w), dict(h) if h is not None else None) if len(t) > 1 else {"text": t[0], "confidence": None, "disagreements": []} for t, w, h in zip(texts, weights, known)]
+        return pd.DataFrame(done, columns=["text", "confidence", "disagreements"])
 
-    voted = grouped.select("sample_id", "bag", vote(F.col("bag.text"), F.col("bag.weight")).alias("v"))
+    voted = grouped.select("sample_id", F.flatten("bag.note").alias("notes"), vote(F.transform(voters, lambda r: r["text"]), F.transform(voters, lambda r: r["weight"]), F.col("habits")).alias("v"))
+    alone = F.col("v.confidence").isNull()
     conf = F.coalesce(F.col("v.confidence"), text.single_confidence(F.col("v.text")))
-    return voted.select("sample_id", F.col("v.text").alias("text"), conf.alias("confidence"), text.confidence_level(F.col("v.text"), conf).alias("level"), F.col("v.disagreements").alias("disagreements"))
-
-
-def best_of(readings: DataFrame, order: list[str]) -> DataFrame:
-    """The first reading without an error in order of preference."""
-    place = F.array_position(F.array(*map(F.lit, order)), F.col("provider"))
-    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.when(place == 0, len(order) + 1).otherwise(place), "provider"))
-    return readings.where("error is null or error = ''").withColumn("rank_", rank).where("rank_ = 1").drop("rank_")
-
-
-def cascade(readings: DataFrame, order: list[str], threshold: float = 0.8) -> DataFrame:
-    """The first reading, in order, that is confident enough or agrees with the one before; else the last."""
-    place = F.array_position(F.array(*map(F.lit, order)), F.col("provider"))
-    step = Window.partitionBy("sample_id").orderBy("step", "provider")
-    rows = readings.where("error is null or error = ''").withColumn("step", place).where("step > 0")
-    rows = rows.withColumn("agree", agreement(F.coalesce(F.lag("text").over(step), F.lit("\u0000")), F.col("text")))
-    good = ((F.col("confidence") >= threshold) | (F.col("agree") >= threshold)).cast("int")
-    last = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("step"), F.desc("provider")))
-    rows = rows.withColumn("good", good).withColumn("last", last)
-    first = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("good"), F.when(F.col("good") == 1, F.col("step")).otherwise(-F.col("step"))))
-    return rows.withColumn("pick", first).where("pick = 1").drop("pick", "good", "last", "agree", "step")
+    level = text.confidence_level(F.col("v.text"), conf)
+    voted = voted.select("sample_id", F.col("v.text").alias("text"), F.round(conf, 3).alias("confidence"), level.alias("level"), F.concat("v.disagreements", "notes").alias("disagreements"), F.when(alone, "vote_partial").otherwise("vote").alias("strategy"))
+    nothing = F.array().cast("array<string>")
+    return samples.join(voted, "sample_id", "left").select("sample_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("level", F.lit("LOW")).alias("level"), F.coalesce("disagreements", nothing).alias("disagreements"), F.coalesce("strategy", F.lit("vote")).alias("strategy"))
 
 
 def lessons_from(model: Column, corrected: Column) -> Column:

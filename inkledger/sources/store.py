@@ -101,3 +101,138 @@ def parse_iam_lines(lines: DataFrame, forms: DataFrame | None = None) -> DataFra
 
 def read_forms(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("form")).where("form <> ''").distinct()
+
+
+def record_corrections(samples: DataFrame, truths: DataFrame, corrections: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables after ``incoming`` (image_hash, image_path, writer, original, corrected, confidence, source): a sample for each new hash, a truth for each new text of a sample, and always a correction."""
+    def numbered(new: DataFrame, old: DataFrame, *order: str) -> DataFrame:
+        top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top_"))
+        return new.crossJoin(F.broadcast(top)).withColumn("id", F.col("top_") + F.row_number().over(Window.orderBy(*order))).drop("top_")  # one row
+
+    first = incoming.groupBy("image_hash").agg(F.min_by("image_path", "image_path").alias("image_path"), F.min("writer").alias("student"))
+    samples = samples.unionByName(numbered(first.join(samples.select("image_hash"), "image_hash", "left_anti"), samples, "image_hash"), allowMissingColumns=True)
+    placed = incoming.join(samples.select("image_hash", F.col("id").alias("sample_id")), "image_hash")
+    fresh = placed.groupBy("sample_id", F.col("corrected").alias("text")).agg(F.min("source").alias("source"))
+    fresh = fresh.join(truths.select("sample_id", "text"), ["sample_id", "text"], "left_anti")
+    truths = truths.unionByName(numbered(fresh, truths, "sample_id", "text"), allowMissingColumns=True)
+    last = truths.groupBy("sample_id", "text").agg(F.max("id").alias("ground_truth_id"))
+    said = placed.join(last, (placed["sample_id"] == last["sample_id"]) & (placed["corrected"] == last["text"])).select(placed["sample_id"], "ground_truth_id", F.col("original").alias("original_text"), "confidence", "source")
+    corrections = corrections.unionByName(numbered(said, corrections, "sample_id", "ground_truth_id", "original_text"), allowMissingColumns=True)
+    return samples, truths, corrections
+
+
+def append(table: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rows added at the end: truths, outputs, metrics, runs and lessons grow by whole rows."""
+    return table.unionByName(incoming, allowMissingColumns=True)
+
+
+def insert_samples(samples: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Appended samples; a hash that is there already, or comes twice, is an error."""
+    twice = samples.select("image_hash").unionAll(incoming.select("image_hash")).groupBy("image_hash").count().where("count > 1")
+    if not twice.isEmpty():
+        raise ValueError(f"a sample with hash {twice.head()['image_hash']} is there already")
+    return append(samples, incoming)
+
+
+def without_key(table: DataFrame, column: str, value) -> DataFrame:
+    """The table after one key's rows are cleared."""
+    return table.where(~F.col(column).eqNullSafe(F.lit(value)))
+
+
+def baseline(runs: DataFrame) -> DataFrame:
+    """The pinned run, if any."""
+    return runs.where("is_baseline").agg(F.max("id").alias("id")).where("id is not null")
+
+
+def latest_run(runs: DataFrame) -> DataFrame:
+    return runs.agg(F.max("id").alias("id")).where("id is not null")
+
+
+def list_runs(runs: DataFrame) -> DataFrame:
+    return runs.orderBy(F.desc("id"))
+
+
+def lookup(table: DataFrame, column: str, value) -> DataFrame:
+    """The row of a key, or none; the filter reaches the scan."""
+    return table.where(F.col(column) == F.lit(value)).limit(1)
+
+
+def cache_get(cache: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the results of the asked keys, the cache with their hits counted)."""
+    asked = keys.groupBy("cache_key").agg(F.count(F.lit(1)).alias("asked_"))
+    found = cache.join(asked.select("cache_key"), "cache_key", "left_semi")
+    after = cache.join(asked, "cache_key", "left").withColumn("hit_count", F.coalesce("hit_count", F.lit(0)) + F.coalesce("asked_", F.lit(0))).drop("asked_")
+    return found, after
+
+
+def cache_stats(cache: DataFrame) -> DataFrame:
+    return cache.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("hits"))
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Writer profiles from JSON files; damaged files and those without a writer are skipped."""
+    habits = "writer_id string, crosses_sevens boolean, open_four boolean, a_style string, connects_letters boolean, zero_vs_oh string, confusion_resolutions map<string,string>"
+    return spark.read.schema(habits).option("multiLine", "true").option("pathGlobFilter", "*.json").option("mode", "DROPMALFORMED").json(path).where("writer_id is not null")
+
+
+def read_words(spark: SparkSession, path: str, most: int = 5000) -> DataFrame:
+    """The first ``most`` plain lower-case words of 3 to 12 letters of a word list, one a line."""
+    words = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).withColumn("word", F.trim("value"))
+    return words.where(F.rlike("word", F.lit("^[a-z]{3,12}$"))).orderBy("at").limit(most).select("word")
+
+
+def training_pairs(outputs: DataFrame, truths: DataFrame, providers: list[str] | None = None, strategies: list[str] | None = None, least: int = 10) -> DataFrame:
+    """Distinct (corrupted, clean) pairs of outputs without an error and every truth of their sample; equal and short texts go."""
+    rows = outputs.where("error is null")
+    for column, wanted in (("provider", providers), ("strategy", strategies)):
+        rows = rows.where(F.col(column).isin(wanted)) if wanted else rows
+    rows = rows.select("sample_id", F.col("output_text").alias("corrupted")).where(F.char_length("corrupted") >= least)
+    good = truths.select("sample_id", F.col("text").alias("clean")).where(F.char_length("clean") >= least)
+    return rows.join(good, "sample_id").where("corrupted <> clean").select("corrupted", "clean").distinct()
+
+
+def lesson_patterns(lessons: DataFrame) -> DataFrame:
+    """How many lessons state a misreading with its correction."""
+    return lessons.agg(F.count_if(F.rlike("text", F.lit(r"Model read '[^']+' but correct reading is '[^']+'"))).alias("n"))
+
+
+def errors_for_lessons(results: DataFrame, truths: DataFrame, least: float = 0.0) -> DataFrame:
+    """(sample_id, output_text, truth): outputs without an error and above ``least`` whose latest truth a person gave."""
+    last = latest(truths, "sample_id", F.desc("id")).where(F.col("source").isin("manual", "corrected_output"))
+    fit = results.where("error is null or error = ''").where(F.col("cer") > least)
+    return fit.join(last.select("sample_id", F.col("text").alias("truth")), "sample_id").select("sample_id", "output_text", "truth")
+
+
+def split_of(key: Column, seed: int = 42, validation: float = 0.05, test: float = 0.05) -> Column:
+    """train, val or test by a hash of the key and seed: the same for every run, without an exchange."""
+    share = F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 2**32
+    return F.when(share < validation, "val").when(share < validation + test, "test").otherwise("train")
+
+
+def model_versions(providers: Column, models: dict[str, str]) -> Column:
+    """``provider/model`` of each provider, joined by commas."""
+    names = F.create_map(*[F.lit(x) for pair in models.items() for x in pair])
+    return F.array_join(F.transform(providers, lambda p: F.concat(p, F.lit("/"), F.coalesce(F.try_element_at(names, p), F.lit("unknown")))), ",")
+
+
+def token_sums(usage: Column) -> Column:
+    """input and output tokens over a map of provider to struct(input, output)."""
+    values = F.map_values(usage)
+    add = lambda k: F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x[k], F.lit(0)))
+    return F.struct(add("input").alias("input"), add("output").alias("output"))
+
+
+def token_confidence(logprobs: Column) -> Column:
+    """Mean probability of the tokens, 0 without any."""
+    return F.when(F.size(logprobs) > 0, F.aggregate(logprobs, F.lit(0.0), lambda a, x: a + F.exp(x)) / F.size(logprobs)).otherwise(0.0)
+
+
+def ingest_outcomes(files: DataFrame, samples: DataFrame, truths: DataFrame) -> DataFrame:
+    """files (path, image_hash, answer) with their outcome: skipped_existing_gt, skipped_dup, skipped_user (a known image without an answer), annotated or newly_added."""
+    known = samples.select("image_hash", F.col("id").alias("sample_id"))
+    done = truths.select("sample_id").distinct().withColumn("has_truth", F.lit(True))
+    n = F.row_number().over(Window.partitionBy("image_hash").orderBy("path"))
+    rows = files.withColumn("n", n).join(known, "image_hash", "left").join(done, "sample_id", "left")
+    empty = F.trim(F.coalesce("answer", F.lit(""))) == ""
+    outcome = F.when(F.col("has_truth"), "skipped_existing_gt").when(F.col("n") > 1, "skipped_dup").when(F.col("sample_id").isNotNull() & empty, "skipped_user").when(empty, "newly_added").otherwise("annotated")
+    return rows.select("path", "image_hash", outcome.alias("outcome"))

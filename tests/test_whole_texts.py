@@ -72,7 +72,7 @@ def test_turns_and_corrections_of_whole_texts(spark, tmp_path):
     assert [(r.pos, r.word_a, r.word_b) for r in run("word_diff")] == [(120, "left", "right")]
     assert run("agreement_ratio")[0].ratio == pytest.approx(SequenceMatcher(None, (long + "left").split(), (long + "right").split()).ratio())
     assert run("term_correction")[0].t.split()[-4:] == ["mitochondria", "rnembrane", "[?alt:", "p/q]"]
-    assert run("lookalike_correction")[0].text.endswith("mitochondra membrane [?alt: p/q]") and run("lookalike_correction")[0].n == 3
+    assert run("lookalike_correction")[0].text.endswith("mitochondra membrane [?alt: p/q]") and run("lookalike_correction")[0].n == 2  # a word that begins with a digit stays
     assert run("alt_markers")[0].options == "[[p, q], [a, b], [c, d]]"
 
 
