@@ -228,19 +228,29 @@ class Cell:
 
     def __init__(self, size: np.ndarray, value: np.ndarray, num: int, den: int):
         self.size, self.num, self.den = size, num, den
-        _, token, seen = np.unique(value, return_inverse=True, return_counts=True)
-        rank = np.empty(len(seen), np.int64)
-        rank[np.argsort(seen, kind="stable")] = np.arange(len(seen))
-        token = rank[token]
-        owner = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((token, owner))
-        self.token = token[order]  # each set's shingles, rarest first
         self.ends = np.cumsum(size)
         self.begins = self.ends - size
-        place = np.arange(len(token)) - self.begins[owner]
-        order = np.lexsort((place, self.token))
+        order = np.argsort(value)
+        new = np.empty(len(value), bool)
+        new[:1] = True
+        ordered = value[order]
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        del ordered
+        seen = np.diff(np.r_[np.flatnonzero(new), len(value)])
+        rank = np.empty(len(seen), np.int32)
+        rank[np.argsort(seen, kind="stable")] = np.arange(len(seen), dtype=np.int32)
+        token = np.empty(len(value), np.int32)
+        token[order] = rank[np.cumsum(new, dtype=np.int32) - 1]
+        del order, new
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        key = owner.astype(np.int64) << 32 | token
+        key.sort()
+        self.token = (key & 0xFFFFFFFF).astype(np.int32)  # each set's shingles, rarest first
+        del key, token
+        place = (np.arange(len(owner)) - self.begins[owner]).astype(np.int32)
+        order = np.argsort(self.token.astype(np.int64) << 32 | place)
         self.list_set, self.list_place = owner[order], place[order]
-        self.list_at = np.searchsorted(self.token[order], np.arange(len(seen) + 1))
+        self.list_at = np.r_[0, np.cumsum(seen[np.argsort(seen, kind="stable")])]
         self.prefix = size - (size * num + den - 1) // den + 1
 
     def of(self, k: int) -> np.ndarray:
@@ -330,6 +340,7 @@ def _join(num: int, den: int):
         if not cols:
             return
         x, value = {k: np.concatenate([y[k] for y in cols]) for k, _ in SET}, np.concatenate(values)
+        cols.clear(), values.clear()
         size, floors = x["size"].astype(np.int64), [0, *levels(num, den).tolist()]
         begin = np.cumsum(size) - size
         order = np.lexsort((x["lo"], x["hi"], x["j"], x["i"], x["root"]))

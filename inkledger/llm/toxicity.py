@@ -137,24 +137,35 @@ def is_held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+#: Entries of a task's counts before they are handed on.
+COUNTED = 100_000
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and clean texts hold each word, and repeat each stem."""
     counts = {True: Counter(), False: Counter()}
+
+    def handed_on() -> pa.RecordBatch:
+        terms = [*(counts[True] | counts[False])]
+        columns = [pa.array([x for x, _ in terms], pa.string()), pa.array([x for _, x in terms], pa.bool_())]
+        columns += [pa.array([counts[side][x] for x in terms], pa.int64()) for side in (True, False)]
+        counts[True].clear(), counts[False].clear()
+        return pa.RecordBatch.from_arrays(columns, names=["term", "stem", "t", "c"])
+
     for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = ["".join(ch for ch in w if ch.isalnum()) for w in fold(text or "").split()]
-            counts[label].update((w, False) for w in set(words) if len(w) >= 3)
-            heads = Counter(words)
-            stems = Counter()
+        for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+            words = ["".join(ch for ch in w if ch.isalnum()) for w in fold(text.as_py() or "").split()]
+            heads, stems = Counter(words), Counter()
+            counts[label].update((w, False) for w in heads if len(w) >= 3)
             for w, n in heads.items():
                 for k in STEM_SIZES:
                     if len(w) >= k:
                         stems[w[:k]] += n
             floor = max(2, RATE * len(words))
             counts[label].update((x, True) for x, n in stems.items() if n >= floor)
-    terms = [*(counts[True] | counts[False])]
-    columns = [pa.array([x for x, _ in terms], pa.string()), pa.array([x for _, x in terms], pa.bool_())]
-    yield pa.RecordBatch.from_arrays([*columns, *(pa.array([counts[side][x] for x in terms], pa.int64()) for side in (True, False))], names=["term", "stem", "t", "c"])
+            if len(counts[True]) + len(counts[False]) > COUNTED:
+                yield handed_on()
+    yield handed_on()
 
 
 def _densities(weights: dict[str, float], stems: dict[str, float]):
