@@ -36,6 +36,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores where the files alone would keep few of them busy; for work that costs far more than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(2 * cores)
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events")
     return e.select("event_id", F.col("event_type").alias("provider"), F.col("user_id").alias("sample_id"), (F.col("event_id") % 4).alias("run_id"), (F.col("value") / 500).alias("cer"), "ts", F.get_json_object("props", "$.k").cast("long").alias("tokens"))
@@ -46,7 +52,7 @@ MEANS = f"(SELECT run_id, provider, round(avg(cer), 9) AS mean FROM {RESULTS} GR
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("ref"), F.translate("text", "aeo", "oca").alias("hyp"))
+    return _spread(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("text").alias("ref"), F.translate("text", "aeo", "oca").alias("hyp"))
 
 
 PAIRS = "(SELECT doc_id, text AS ref, translate(text, 'aeo', 'oca') AS hyp FROM documents)"
@@ -365,13 +371,13 @@ def within_one_edit(spark, sf_dir):
 @query()
 def term_correction(spark, sf_dir):
     t = F.concat(F.lit("The mitochondra and natural enzymne "), "text")
-    return _t(spark, sf_dir, "documents").select("doc_id", correction.correct_terms(t).alias("t"))
+    return _spread(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", correction.correct_terms(t).alias("t"))
 
 
 @query()
 def lookalike_correction(spark, sf_dir):
     t = F.concat(F.lit("the rnembrane and 0smosis "), "text")
-    return _t(spark, sf_dir, "documents").select("doc_id", correction.correct_lookalikes(t).alias("c")).select("doc_id", "c.text", F.size("c.corrections").alias("n"))
+    return _spread(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", correction.correct_lookalikes(t).alias("c")).select("doc_id", "c.text", F.size("c.corrections").alias("n"))
 
 
 @query(r"""
@@ -381,7 +387,7 @@ e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
 SELECT a, b, round(c / (na + nb - c), 4) AS score FROM p WHERE c / (na + nb - c) >= 0.85""")
 def text_similarity_pairs(spark, sf_dir):
-    return similarity.similar_texts(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return similarity.similar_texts(_spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 # ---- vectors, votes, routing -------------------------------------------------------------------------------------
