@@ -275,7 +275,7 @@ def normalize_text(spark, sf_dir):
     return _marked(spark, sf_dir).select("doc_id", text.normalise(text.nfc(F.col("t"))).alias("t"))
 
 
-@query()  # DuckDB's edit distance takes minutes on whole texts; tests compare with a plain version
+@query()  # DuckDB's edit distance is quadratic in whole texts; tests compare with a plain version
 def cer_pairs(spark, sf_dir):
     e = text.char_error(F.col("hyp"), F.col("ref"))
     return _pairs(spark, sf_dir).select("doc_id", e["edits"].alias("edits"), e["ref_size"].alias("ref_size"), F.round(e["rate"], 9).alias("rate"))
