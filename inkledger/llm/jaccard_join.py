@@ -10,7 +10,8 @@ Method, in three steps:
 2. *Exact join inside clusters* (``join_cell``): inverted lists of the rarest shingles, ordered by position and cut
    off where the position leaves too few shingles for a link; and a set that is highly similar to the set before it
    derives all of its overlaps from that set's computed overlaps, reading only the lists of shingles that differ.
-   Clusters larger than ``BLOCK`` sets are joined block by block.
+   Clusters of more than ``BLOCK`` sets or ``MASS`` shingles are joined block by block, so that a cell's memory is
+   bounded however long the texts are; only a single set larger than that is a block of its own.
 3. Components of the links.
 
 Defined cases: null or empty text: the set is empty and links with nothing. Fewer words than a shingle: the whole
@@ -36,6 +37,8 @@ from inkledger.llm.repeats import grown, ragged
 SIG = [("sig", "<u8"), ("node", "<u8")]
 SET = [("root", "<i8"), ("scheme", "<u4"), ("i", "<u4"), ("j", "<u4"), ("hi", "<u8"), ("lo", "<u8"), ("copies", "<i8"), ("part", "<u4"), ("size", "<u4")]
 BLOCK = 2048
+#: Shingles of a block, and cell tasks for each shuffle partition: a cell needs about ten times its shingles in memory.
+MASS, CELL_SPLIT = 1 << 19, 4
 #: Counters of shingle frequencies, and the slices in which tasks add them up.
 COUNTER_BITS, SLICES = 22, 64
 
@@ -365,33 +368,33 @@ def describe(docs: DataFrame, q: int, num: int, den: int) -> DataFrame:
     return c.write_table(sets, "jaccard-sets")
 
 
-def link_groups(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def link_groups(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, block: int = BLOCK, mass: int = MASS) -> tuple[DataFrame, DataFrame]:
     """(node, root) of linked sets' groups, and (node, links): how many documents with another set it links with."""
     buckets = c.partitions(docs.sparkSession)
     lists = c.exchange(docs.mapInArrow(_sign(q, num, den, buckets, rarity(docs, q)), c.PACKED), buckets)
     near = c.write_table(lists.mapInArrow(_leaders, "a long, b long").distinct(), "jaccard-near")
     clusters = components(near, "jaccard-clusters")
-    one = sets.where("n_shingles > 0").groupBy("hi", "lo", "level", "node", "node_up").agg(F.min(F.struct("doc_id", "ver")).alias("one"), F.count(F.lit(1)).alias("copies"))
+    one = sets.where("n_shingles > 0").groupBy("hi", "lo", "level", "node", "node_up").agg(F.min(F.struct("doc_id", "ver")).alias("one"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("size"))
     up = F.struct((F.col("level") + 1).alias("scheme"), F.col("node_up").alias("node"))
     spots = F.array_compact(F.array(F.struct(F.col("level").alias("scheme"), "node"), F.when(F.col("node_up").isNotNull(), up)))
-    spread = one.select("hi", "lo", "one", "copies", F.inline(spots))
-    member = spread.join(clusters, "node").select("root", "scheme", "hi", "copies", "one.doc_id", "one.ver")
+    spread = one.select("hi", "lo", "one", "copies", "size", F.inline(spots))
+    member = spread.join(clusters, "node").select("root", "scheme", "hi", "copies", "size", "one.doc_id", "one.ver")
     member = c.write_table(member, "jaccard-members")
-    width = member.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    width = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / mass)).alias("parts"))
     member = member.join(width, "root").select("doc_id", "ver", "root", "scheme", "copies", "parts", F.pmod("hi", "parts").alias("part"))
     d, m = docs.alias("d"), member.alias("m").hint("shuffle_hash")
     texts = d.join(m, F.expr("d.doc_id <=> m.doc_id and d.ver = m.ver")).select("d.text", "m.root", "m.scheme", "m.copies", "m.parts", "m.part")
-    cells = c.exchange(texts.mapInArrow(_ship(q, buckets), c.PACKED), buckets)
+    cells = c.exchange(texts.mapInArrow(_ship(q, buckets * CELL_SPLIT), c.PACKED), buckets * CELL_SPLIT)
     linked = c.write_table(cells.mapInArrow(_join(num, den), "a long, b long, links long"), "jaccard-links")
     groups = components(linked, "jaccard-groups")
     return groups, linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 
 
-def labelled(docs: DataFrame, q: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
+def labelled(docs: DataFrame, q: int, num: int, den: int, block: int = BLOCK, mass: int = MASS) -> DataFrame:
     """The columns of ``jaccard_groups`` and ``class``, which names a row's group; null for an empty set."""
     base = c.docs_with_version(docs)
     sets = describe(base, q, num, den)
-    groups, links = link_groups(base, sets, q, num, den, block)
+    groups, links = link_groups(base, sets, q, num, den, block, mass)
     about = groups.join(links, "node", "full").select(F.col("node").alias("lo"), F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     one = sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     one = one.join(about, "lo", "left").withColumn("class", F.coalesce("root", "lo"))
@@ -402,9 +405,9 @@ def labelled(docs: DataFrame, q: int, num: int, den: int, block: int = BLOCK) ->
     return sets.join(label, ["hi", "lo"], "left").select("doc_id", "ver", "n_shingles", F.when(full, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(full, F.col("near")).otherwise(F.lit(0)).cast("long").alias("n_links"), "class")
 
 
-def jaccard_groups(docs: DataFrame, q: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
+def jaccard_groups(docs: DataFrame, q: int = 4, num: int = 85, den: int = 100, block: int = BLOCK, mass: int = MASS) -> DataFrame:
     """doc_id, ver, n_shingles, component_id, n_links of every row; sets link at intersection * den >= num * union."""
-    return labelled(docs, q, num, den, block).drop("class")
+    return labelled(docs, q, num, den, block, mass).drop("class")
 
 
 def keep_one(docs: DataFrame, q: int = 5, num: int = 80, den: int = 100) -> DataFrame:

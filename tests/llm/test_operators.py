@@ -152,6 +152,7 @@ def jaccard(rows, q, num, den):
 @pytest.mark.parametrize("q,num,den,block", [(4, 85, 100, 4096), (2, 50, 100, 3)])
 def test_op3_groups(docs, rows, q, num, den, block):
     checked(jaccard_join.jaccard_groups(docs, q, num, den, block), jaccard(rows, q, num, den), rows, ("n_shingles", "component_id", "n_links"))
+    checked(jaccard_join.jaccard_groups(docs, q, num, den, block, 60), jaccard(rows, q, num, den), rows, ("n_shingles", "component_id", "n_links"))  # blocks by shingles
 
 
 def test_op3_empty_and_keep_one(docs, rows, empty):
