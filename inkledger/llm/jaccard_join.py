@@ -38,7 +38,7 @@ SIG = [("sig", "<u8"), ("node", "<u8")]
 SET = [("root", "<i8"), ("scheme", "<u4"), ("i", "<u4"), ("j", "<u4"), ("hi", "<u8"), ("lo", "<u8"), ("copies", "<i8"), ("part", "<u4"), ("size", "<u4")]
 BLOCK = 2048
 #: Shingles of a block, and cell tasks for each shuffle partition: a cell needs about ten times its shingles in memory.
-MASS, CELL_SPLIT = 1 << 19, 4
+MASS, CELL_SPLIT = 1 << 20, 4
 #: Counters of shingle frequencies, and the slices in which tasks add them up.
 COUNTER_BITS, SLICES = 22, 64
 
