@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkledger.catalogue import _t, query
-from inkledger.functions import numeric, pixels, synthesis, text
+from inkledger.functions import numeric, pixels, prompts, synthesis, text
 from inkledger.operators import correction, strategies
 from inkledger.plans import reports
 from inkledger.sources import store
@@ -332,3 +332,52 @@ def benchmark_run(spark, sf_dir):
     r = _readings(spark, sf_dir)
     outputs, metrics = strategies.run(r, r.where("provider = 'gemini'").select("sample_id", "text"), ["vote", "best_of", "cascade"], ["gemini", "openai"])
     return outputs.drop("output_text").join(metrics, ["run_id", "sample_id", "provider", "strategy"], "left")
+
+
+# ---- prompts ----------------------------------------------------------------------------------------------------------
+
+_SHORT, _READING = prompts.compact_table([("0/O", "digits stand among digits"), ("rn/m", "read the whole word")]), "=== READING PROTOCOL ===\n1. Map layout first"
+
+
+def _sql_section(column: str, header: str) -> tuple[str, str, str]:
+    at = f"instr({column}, '{header}')"
+    rest = f"substr({column}, {at} + {len(header)})"
+    return at, rest, f"instr({rest}, chr(10) || '===')"
+
+
+def _sql_replaced(column: str, header: str, instead: str) -> str:
+    at, rest, end = _sql_section(column, header)
+    instead = instead.replace("'", "''")
+    return f"CASE WHEN {at} > 0 THEN substr({column}, 1, {at} - 1) || '{instead}' || CASE WHEN {end} > 0 THEN substr({rest}, {end}) ELSE '' END ELSE {column} END"
+
+
+def _sql_last(column: str, header: str) -> str:
+    at, rest, end = _sql_section(column, header)
+    return f"CASE WHEN {at} > 0 AND {end} > 0 THEN substr({column}, 1, {at} - 1) || substr({rest}, {end}) || chr(10) || chr(10) || '{header}' || substr({rest}, 1, {end} - 1) ELSE {column} END"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, text, CASE conv_id % 3 WHEN 0 THEN 'gemini' WHEN 1 THEN 'openai' ELSE 'claude' END AS provider,
+  text || chr(10) || '{prompts.FIDELITY_HEADER} ===' || chr(10) || role || chr(10) || '{prompts.READING_HEADER}' || chr(10) || text || chr(10) || CASE WHEN turn % 2 = 0 THEN '{prompts.TABLE_HEADER}' || chr(10) || role ELSE '' END AS system FROM conversations),
+b AS (SELECT *, {_sql_replaced("system", prompts.TABLE_HEADER, _SHORT)} AS short FROM a), c AS (SELECT *, {_sql_replaced("short", prompts.READING_HEADER, _READING)} AS compact FROM b)
+SELECT conv_id, turn, provider, CASE provider WHEN 'gemini' THEN short WHEN 'openai' THEN {_sql_last("compact", prompts.FIDELITY_HEADER)} ELSE system END AS system, CASE WHEN provider = 'openai' THEN '{prompts.LITERAL_TASK}' ELSE '' END || text AS prompt FROM c""")
+def provider_prompts(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    provider = F.when(F.col("conv_id") % 3 == 0, "gemini").when(F.col("conv_id") % 3 == 1, "openai").otherwise("claude")
+    table = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(prompts.TABLE_HEADER + "\n"), "role")).otherwise(F.lit(""))
+    system = F.concat("text", F.lit(f"\n{prompts.FIDELITY_HEADER} ===\n"), "role", F.lit(f"\n{prompts.READING_HEADER}\n"), "text", F.lit("\n"), table)
+    rows = c.select("conv_id", "turn", provider.alias("provider"), system.alias("system"), "text")
+    own = F.col("provider")
+    return rows.select("conv_id", "turn", "provider", prompts.adapt_system(F.col("system"), own, _SHORT, _READING).alias("system"), prompts.adapt_user(F.col("text"), own).alias("prompt"))
+
+
+@query("""WITH s AS (SELECT doc_id, source, '/in.d/' || source || CASE doc_id % 6 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' WHEN 2 THEN '.tar.webp' WHEN 3 THEN '' WHEN 4 THEN '.gif' ELSE '.pdf' END AS path,
+  CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' 7 ' WHEN 2 THEN '-1' WHEN 3 THEN lang ELSE '0' END AS setting, CASE doc_id % 4 WHEN 0 THEN 'claude' WHEN 1 THEN 'gemini' WHEN 2 THEN 'openai' END AS provider FROM documents)
+SELECT doc_id, CASE WHEN try_cast(trim(setting) AS BIGINT) >= 0 THEN try_cast(trim(setting) AS BIGINT) ELSE 3 END AS k, coalesce(provider IN ('claude', 'gemini'), false) AS shown,
+  coalesce(map {'jpg': 'image/jpeg', 'jpeg': 'image/jpeg', 'png': 'image/png', 'gif': 'image/gif', 'webp': 'image/webp'}[lower(regexp_extract(path, '[^/.][^/]*\\.([^./]*)$', 1))], 'image/jpeg') AS media FROM s""")
+def example_settings(spark, sf_dir):
+    n = F.col("doc_id")
+    ends = F.when(n % 6 == 0, ".JPG").when(n % 6 == 1, ".png").when(n % 6 == 2, ".tar.webp").when(n % 6 == 3, "").when(n % 6 == 4, ".gif").otherwise(".pdf")
+    setting = F.when(n % 5 == 1, " 7 ").when(n % 5 == 2, "-1").when(n % 5 == 3, F.col("lang")).when(n % 5 == 4, "0")
+    provider = F.when(n % 4 == 0, "claude").when(n % 4 == 1, "gemini").when(n % 4 == 2, "openai")
+    path = F.concat(F.lit("/in.d/"), "source", ends)
+    return _t(spark, sf_dir, "documents").select("doc_id", prompts.example_count(setting).alias("k"), prompts.shows_examples(provider).alias("shown"), prompts.media_type(path).alias("media"))
