@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from inkledger.llm import common as c
 
 MARK = "▁"
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
 GROUP = 1 << 15
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,6 +165,7 @@ def _encode(path: str):
                 flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 back = [hashlib.sha256(model.decode(np.frombuffer(x, np.int32).tolist()).encode()).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at : at + len(ids)], pa.array(n, pa.int64()), flat, pa.array(back, pa.string())], names=["doc_id", "n_ids", "ids", "decoded_sha256"])
+        model.words = {}  # a worker serves later tasks, of other operators too
 
     return run
 
