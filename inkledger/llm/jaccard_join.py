@@ -122,7 +122,7 @@ def rarity(docs: DataFrame, q: int) -> np.ndarray:
     Shingles that share a counter share its level. The levels only order shingles, and every common order gives all
     links, so a coarse count costs candidates and never a link.
     """
-    sums = c.exchange(docs.mapInArrow(_count(q), c.PACKED), min(SLICES, c.partitions(docs.sparkSession))).mapInArrow(_levels_of, c.PACKED)
+    sums = c.exchange(docs.mapInArrow(c.tidy(_count(q)), c.PACKED), min(SLICES, c.partitions(docs.sparkSession))).mapInArrow(c.tidy(_levels_of), c.PACKED)
     out = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), np.uint8)
     for k, blob in sums.collect():
         out[k] = np.frombuffer(blob, np.uint8)
@@ -364,15 +364,15 @@ def _join(num: int, den: int):
 
 def describe(docs: DataFrame, q: int, num: int, den: int) -> DataFrame:
     """doc_id, ver, n_shingles, the set's name (hi, lo) and its nodes in its size schemes, as a table."""
-    sets = docs.mapInArrow(_describe(q, num, den), "doc_id long, ver long, n_shingles long, hi long, lo long, level int, node long, node_up long")
+    sets = docs.mapInArrow(c.tidy(_describe(q, num, den)), "doc_id long, ver long, n_shingles long, hi long, lo long, level int, node long, node_up long")
     return c.write_table(sets, "jaccard-sets")
 
 
 def link_groups(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, block: int = BLOCK, mass: int = MASS) -> tuple[DataFrame, DataFrame]:
     """(node, root) of linked sets' groups, and (node, links): how many documents with another set it links with."""
     buckets = c.partitions(docs.sparkSession)
-    lists = c.exchange(docs.mapInArrow(_sign(q, num, den, buckets, rarity(docs, q)), c.PACKED), buckets)
-    near = c.write_table(lists.mapInArrow(_leaders, "a long, b long").distinct(), "jaccard-near")
+    lists = c.exchange(docs.mapInArrow(c.tidy(_sign(q, num, den, buckets, rarity(docs, q))), c.PACKED), buckets)
+    near = c.write_table(lists.mapInArrow(c.tidy(_leaders), "a long, b long").distinct(), "jaccard-near")
     clusters = components(near, "jaccard-clusters")
     one = sets.where("n_shingles > 0").groupBy("hi", "lo", "level", "node", "node_up").agg(F.min(F.struct("doc_id", "ver")).alias("one"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("size"))
     up = F.struct((F.col("level") + 1).alias("scheme"), F.col("node_up").alias("node"))
@@ -384,8 +384,8 @@ def link_groups(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, bl
     member = member.join(width, "root").select("doc_id", "ver", "root", "scheme", "copies", "parts", F.pmod("hi", "parts").alias("part"))
     d, m = docs.alias("d"), member.alias("m").hint("shuffle_hash")
     texts = d.join(m, F.expr("d.doc_id <=> m.doc_id and d.ver = m.ver")).select("d.text", "m.root", "m.scheme", "m.copies", "m.parts", "m.part")
-    cells = c.exchange(texts.mapInArrow(_ship(q, buckets * CELL_SPLIT), c.PACKED), buckets * CELL_SPLIT)
-    linked = c.write_table(cells.mapInArrow(_join(num, den), "a long, b long, links long"), "jaccard-links")
+    cells = c.exchange(texts.mapInArrow(c.tidy(_ship(q, buckets * CELL_SPLIT)), c.PACKED), buckets * CELL_SPLIT)
+    linked = c.write_table(cells.mapInArrow(c.tidy(_join(num, den)), "a long, b long, links long"), "jaccard-links")
     groups = components(linked, "jaccard-groups")
     return groups, linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 

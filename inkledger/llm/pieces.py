@@ -173,7 +173,7 @@ def _encode(path: str):
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_ids, ids, decoded_sha256 (of the text that the ids decode to) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_encode(path), "doc_id long, n_ids long, ids array<int>, decoded_sha256 string")
+    return rows.mapInArrow(c.tidy(_encode(path)), "doc_id long, n_ids long, ids array<int>, decoded_sha256 string")
 
 
 def _decode(path: str):
@@ -188,4 +188,4 @@ def _decode(path: str):
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """doc_id, text of every row with doc_id and ids."""
-    return coded.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, text string")
+    return coded.select("doc_id", "ids").mapInArrow(c.tidy(_decode(path)), "doc_id long, text string")

@@ -316,12 +316,12 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, index: Callable, name: str
     ``docs`` has doc_id, ver and text, without null ids. ``index`` is a ``mapInArrow`` function from packed pieces to ``MARKS``.
     """
     buckets = c.partitions(docs.sparkSession)
-    routed = c.exchange(docs.mapInArrow(_route(scheme, buckets), c.PACKED), buckets)
-    first = c.write_table(routed.mapInArrow(_first_places(scheme.strict), MARKS), f"{name}-first")
+    routed = c.exchange(docs.mapInArrow(c.tidy(_route(scheme, buckets)), c.PACKED), buckets)
+    first = c.write_table(routed.mapInArrow(c.tidy(_first_places(scheme.strict)), MARKS), f"{name}-first")
     asked = first.where("kind = 1").groupBy("doc_id", "ver").agg(F.collect_list("payload").alias("asked"))
     groups = buckets * INDEX_SPLIT
-    cut = docs.join(asked.hint("shuffle_hash"), ["doc_id", "ver"]).mapInArrow(_fetch(scheme, groups), c.PACKED)
-    decided = c.write_table(c.exchange(cut, groups).mapInArrow(index, MARKS), f"{name}-decided")
+    cut = docs.join(asked.hint("shuffle_hash"), ["doc_id", "ver"]).mapInArrow(c.tidy(_fetch(scheme, groups)), c.PACKED)
+    decided = c.write_table(c.exchange(cut, groups).mapInArrow(c.tidy(index), MARKS), f"{name}-decided")
     spans = first.where("kind = 0").unionByName(decided)
     return spans.groupBy("doc_id", "ver").agg(F.collect_list("payload").alias("spans"))
 

@@ -187,7 +187,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch: int = BA
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``."""
     base = c.docs_with_version(docs)
     spans = repeated_bytes(base, width, gram, batch)
-    return base.join(spans.hint("shuffle_hash"), ["doc_id", "ver"], "left").mapInArrow(_cut(width, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return base.join(spans.hint("shuffle_hash"), ["doc_id", "ver"], "left").mapInArrow(c.tidy(_cut(width, False)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch: int = BATCH) -> DataFrame:
@@ -198,6 +198,6 @@ def dedup_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch: in
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.coalesce("text", F.lit(""))).alias("ver"), F.col("text").isNull().alias("was_null"), F.struct(*(F.col(f"`{k}`") for k in rest), F.lit(0).alias(c.free_name(docs, "pad_"))).alias("rest_"))
     joined = whole.join(spans.hint("shuffle_hash"), ["doc_id", "ver"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
-    cut = joined.mapInArrow(_cut(width, True), f"doc_id {kinds['doc_id']}, was_null boolean, rest_ {kinds['rest_']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = joined.mapInArrow(c.tidy(_cut(width, True)), f"doc_id {kinds['doc_id']}, was_null boolean, rest_ {kinds['rest_']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     text = F.when(~F.col("was_null"), F.col("kept")).alias("text")
     return cut.select(*(text if k == "text" else F.col("doc_id") if k == "doc_id" else F.col("rest_")[k].alias(k) for k in docs.columns))

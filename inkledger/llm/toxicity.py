@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     nt, nc = size.get(True, 0), size.get(False, 0)
     weights, stems = {fold(t): 1.0 for t in TERMS}, {}
     if nt and nc:
-        counts = known.mapInArrow(_words, "term string, stem boolean, t long, c long").groupBy("term", "stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where((F.col("t") >= LEAST) & (F.col("t") * nc > F.col("c") * nt * 4))
+        counts = known.mapInArrow(c.tidy(_words), "term string, stem boolean, t long, c long").groupBy("term", "stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where((F.col("t") >= LEAST) & (F.col("t") * nc > F.col("c") * nt * 4))
         share = (F.col("t") + F.col("c")) / (nt + nc)
         g2 = 2 * (F.col("t") * F.log((F.col("t") + 1e-9) / (share * nt)) + F.col("c") * F.log((F.col("c") + 1e-9) / (share * nc)))
         odds = F.log((F.col("t") + 0.5) / (nt + 1)) - F.log((F.col("c") + 0.5) / (nc + 1))
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 weights[r.term] = max(weights.get(r.term, 0.0), float(r.w))
         top = max(weights.values())
         weights.update({fold(t): max(weights[fold(t)], top / 2) for t in TERMS})
-    bins = known.mapInArrow(_densities(weights, stems), "toxic boolean, density double").where("density > 0").groupBy("toxic", F.floor(F.log("density") * 16).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    bins = known.mapInArrow(c.tidy(_densities(weights, stems)), "toxic boolean, density double").where("density > 0").groupBy("toxic", F.floor(F.log("density") * 16).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
     best, scale = 0.0, SCALE
     for cut in sorted({r.bin for r in bins}):
         tp, fp = (sum(r.n for r in bins if r.toxic == side and r.bin >= cut) for side in (True, False))
@@ -235,7 +235,7 @@ def _scores(model: Model, threshold: float):
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(_scores(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(c.tidy(_scores(model, threshold)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -243,4 +243,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     rest = c.whole_row(docs).alias("rest_")
     rows = docs.select(rest, "text")
     kind = rows.schema["rest_"].dataType.simpleString()
-    return rows.mapInArrow(_scores(model, threshold), f"rest_ {kind}, score double, predicted int").where("predicted = 0").select("rest_.*")
+    return rows.mapInArrow(c.tidy(_scores(model, threshold)), f"rest_ {kind}, score double, predicted int").where("predicted = 0").select("rest_.*")
