@@ -1,4 +1,4 @@
-"""Training-data operators: ten stand-alone operators over documents and embeddings.
+"""Training-data operators: thirteen stand-alone operators over documents and embeddings.
 
 Nothing else in the library imports this subpackage.
 """

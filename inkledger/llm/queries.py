@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkledger.llm import common as c
-from inkledger.llm import fingerprint, jaccard_join, mixing, pieces, rans, sharding, suffix_dedup, suffix_tree, topk, toxicity
+from inkledger.llm import context_mixing, filter_audit, fingerprint, jaccard_join, merkle, mixing, pieces, rans, sharding, suffix_dedup, suffix_tree, topk, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -58,7 +58,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(c.read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rans, op2_suffix_dedup, op3_jaccard_join, op4_top_k, op5_toxicity, op6_suffix_tree, op7_mixing, op8_sentencepiece, op9_fingerprint, op10_sharding)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(c.read(spark, sf_dir, "documents"), c.read(spark, sf_dir, "labels")).where("not whole").drop("whole")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(c.read(spark, sf_dir, "documents")).drop("source")
+
+
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(c.read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rans, op2_suffix_dedup, op3_jaccard_join, op4_top_k, op5_toxicity, op6_suffix_tree, op7_mixing, op8_sentencepiece, op9_fingerprint, op10_sharding, op11_filter_audit, op12_merkle, op13_context_mixing)}
 
 ORACLE = {
     "op4_top_k": """
@@ -70,4 +82,6 @@ ORACLE = {
           FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.own <> v.own)
         SELECT query_id, rank, vec_id, score FROM (
           SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5""",
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
