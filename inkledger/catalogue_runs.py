@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkledger.catalogue import _t, query
-from inkledger.functions import numeric, pixels, prompts, synthesis, text
-from inkledger.operators import correction, strategies
+from inkledger.catalogue import RESULTS, _results, _spread, _t, query
+from inkledger.functions import misreading, numeric, pixels, prompts, text
+from inkledger.operators import correction, similarity, strategies
 from inkledger.plans import reports
 from inkledger.sources import store
 
@@ -185,12 +185,12 @@ def training_pairs(spark, sf_dir):
 
 @query()
 def corrupted_pairs(spark, sf_dir):
-    return synthesis.build_pairs(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return misreading.build_pairs(_t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query()
 def corrector_evaluation(spark, sf_dir):
-    return correction.evaluate(synthesis.build_pairs(_t(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn")), "key", "text", 9999))
+    return correction.evaluate(misreading.build_pairs(_t(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn")), "key", "text", 9999))
 
 
 @query("SELECT doc_id, CASE WHEN s < 0.05 THEN 'val' WHEN s < 0.1 THEN 'test' ELSE 'train' END AS part FROM (SELECT doc_id, ('0x' || substring(md5(doc_id::VARCHAR || '|42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS s FROM documents)")
@@ -381,3 +381,31 @@ def example_settings(spark, sf_dir):
     provider = F.when(n % 4 == 0, "claude").when(n % 4 == 1, "gemini").when(n % 4 == 2, "openai")
     path = F.concat(F.lit("/in.d/"), "source", ends)
     return _t(spark, sf_dir, "documents").select("doc_id", prompts.example_count(setting).alias("k"), prompts.shows_examples(provider).alias("shown"), prompts.media_type(path).alias("media"))
+
+
+@query(f"SELECT run_id, event_id, place, found, confidence, error_rate FROM (SELECT run_id, event_id, (event_id % 100) / 100.0::DOUBLE AS confidence, round(cer, 9) AS error_rate, count(*) OVER (PARTITION BY run_id) AS found, row_number() OVER (PARTITION BY run_id ORDER BY event_id)::INTEGER AS place FROM {RESULTS} WHERE (event_id % 100) / 100.0 > 0.7 AND cer > 0.1) WHERE place <= 5")
+def miscalibrated_outputs(spark, sf_dir):
+    sure = (F.col("event_id") % 100) / F.lit(100.0)
+    r = _results(spark, sf_dir).select("run_id", "event_id", sure.alias("confidence"), F.col("cer").alias("error_rate"))
+    out = reports.miscalibrated(r, ["run_id"], ["event_id"])
+    return out.select("run_id", "event_id", "place", "found", "confidence", F.round("error_rate", 9).alias("error_rate"))
+
+
+@query(f"""WITH w AS (SELECT vec_id, 'writer ' || label AS writer, embedding FROM embeddings WHERE vec_id % 3 <> 0), c AS (SELECT writer, list(x ORDER BY place) AS m FROM (SELECT writer, place, avg(x::DOUBLE) AS x FROM (SELECT writer, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS place FROM w) GROUP BY ALL) GROUP BY writer),
+s AS (SELECT vec_id, writer, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), m) AS s FROM embeddings, c)
+SELECT vec_id, CASE WHEN max(s) >= 0.85 THEN arg_max(writer, s) END AS writer, round(max(s), 5) AS score FROM s GROUP BY vec_id""")
+def identify_enrolled_writer(spark, sf_dir):
+    """Writers named by strings, enrolled from two thirds of the vectors, and the production threshold."""
+    e = _t(spark, sf_dir, "embeddings").withColumn("writer", F.concat(F.lit("writer "), "label"))
+    profiles = similarity.centroids(e.where(F.col("vec_id") % 3 != 0), "writer", "embedding")
+    out = similarity.nearest_profile(e, "vec_id", "embedding", profiles, "writer")
+    return out.select("vec_id", "writer", F.round("score", 5).alias("score"))
+
+
+@query(r"""
+WITH k AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS t FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(t) >= 3 THEN list_sort(list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] END AS g FROM k)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS class FROM g WHERE g IS NOT NULL""")
+def similar_text_classes(spark, sf_dir):
+    members, _ = similarity.similar_classes(_spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+    return members

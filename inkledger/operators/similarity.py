@@ -20,8 +20,32 @@ def similar_texts(df: DataFrame, key: str, body: str, threshold: float = 0.85, n
     Only the rarest grams of each set are joined on: a pair that is similar enough shares one of the first
     size - ceil(threshold * size) + 1 grams in a common order from rare to frequent. Candidates are then compared on whole sets.
     """
-    sets = df.select(F.col(key).alias("k"), _grams(n)(F.col(body)).alias("grams")).where(F.size("grams") > 0)
-    sets = sets.select("k", "grams", F.size("grams").alias("size"))
+    members = df.select(F.col(key).alias("k"), _grams(n)(F.col(body)).alias("grams")).where(F.size("grams") > 0)
+    return _all_pairs(members, similar_sets(members, threshold))
+
+
+def _all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of keys from those of classes: each with its own copies, and with those of linked classes."""
+    own = members.groupBy("grams").agg(F.min("k").alias("of"), F.collect_list("k").alias("keys")).select("of", "keys")
+    same = own.where(F.size("keys") > 1).select(F.explode("keys").alias("a"), "keys").select("a", F.explode("keys").alias("b"), F.lit(1.0).alias("score")).where("a < b")
+    left, right = own.select(F.col("of").alias("a"), F.col("keys").alias("ka")), own.select(F.col("of").alias("b"), F.col("keys").alias("kb"))
+    across = links.join(left, "a").join(right, "b").select(F.explode("ka").alias("x"), "kb", "score").select("x", F.explode("kb").alias("y"), "score")
+    return same.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score"))
+
+
+def similar_classes(df: DataFrame, key: str, body: str, threshold: float = 0.85, n: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(members: key, class; links: a, b, score between classes): texts of equal n-gram sets are one class, named by its least key.
+
+    The same links as ``similar_texts``, without writing every pair of copies out.
+    """
+    members = df.select(F.col(key).alias("k"), _grams(n)(F.col(body)).alias("grams")).where(F.size("grams") > 0)
+    of = members.groupBy("grams").agg(F.min("k").alias("class"))
+    return members.join(of, "grams").select(F.col("k").alias(key), "class"), similar_sets(members, threshold)
+
+
+def similar_sets(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, score), a < b, of the least keys of unequal sets; ``members`` has k and grams."""
+    sets = members.groupBy("grams").agg(F.min("k").alias("k")).select("k", "grams", F.size("grams").alias("size"))
     rows = sets.select("k", "size", F.explode("grams").alias("g"))
     seen = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     order = Window.partitionBy("k").orderBy("df", "g")
@@ -79,5 +103,7 @@ def nearest_profile(vectors: DataFrame, key: str, vector: str, profiles: DataFra
         p = p.withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         scored = v.join(p, ["width", "block_", "part_"])
     scored = scored.select(key, group, numeric.cosine(F.col("v"), F.col("c")).alias("score"))
-    best = scored.groupBy(key).agg(F.max(F.struct("score", F.negate(F.col(group)).alias("less"), F.col(group).alias("own"))).alias("best"))
-    return best.select(key, F.when(F.col("best.score") >= threshold, F.col("best.own")).alias(group), F.col("best.score").alias("score"))
+    # the least (-score, group) is the highest score, the first group on ties, whatever the groups' type
+    best = scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("less"), F.col(group).alias("own"))).alias("best"))
+    score = -F.col("best.less")
+    return best.select(key, F.when(score >= threshold, F.col("best.own")).alias(group), score.alias("score"))

@@ -1,7 +1,7 @@
 """Reading strategies over materialised readings: one row for each sample, provider and pass.
 
 Readings have sample_id, provider, text, confidence, weight and error. Every strategy returns sample_id, text,
-confidence, level and strategy. A provider that failed, or read nothing, takes no part.
+confidence, level and strategy. A provider that failed takes no part; one that read nothing only in a cascade.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ def _place(order: list[str] | tuple[str, ...]) -> Column:
     return F.when(at == 0, len(order) + 1).otherwise(at)
 
 
-def answered(readings: DataFrame) -> DataFrame:
-    return readings.where("error is null or error = ''").where(F.coalesce("text", F.lit("")) != "")
+def answered(readings: DataFrame, empty: bool = False) -> DataFrame:
+    """Readings without an error; empty ones only if asked for."""
+    fine = readings.where("error is null or error = ''").withColumn("text", F.coalesce("text", F.lit("")))
+    return fine if empty else fine.where("text <> ''")
 
 
 def _result(rows: DataFrame, reading: Column, confidence: Column, strategy: Column) -> DataFrame:
@@ -41,9 +43,12 @@ def best_of(readings: DataFrame, order: list[str]) -> DataFrame:
 
 
 def cascade(readings: DataFrame, order: list[str] | tuple[str, ...] = CASCADE, threshold: float = 0.8) -> DataFrame:
-    """The first answer if it is confident enough alone, else the first that agrees with the one before, else the last."""
+    """The first answer if it is confident enough alone, else the first that agrees with the one before, else the last.
+
+    An empty answer stays in the chain: the one after it may stand by agreement only.
+    """
     by = Window.partitionBy("sample_id").orderBy(_place(order), "provider")
-    rows = answered(readings).select("sample_id", "provider", "text", F.row_number().over(by).alias("n"), F.lag("text").over(by).alias("before"))
+    rows = answered(readings, empty=True).select("sample_id", "provider", "text", F.row_number().over(by).alias("n"), F.lag("text").over(by).alias("before"))
     agree = F.when(F.col("n") > 1, voting.agreement(F.coalesce("before", F.lit("")), F.col("text")))
     rows = rows.withColumn("agree", agree).withColumn("alone", text.single_confidence(F.col("text")))
     good = F.when(F.col("n") == 1, F.col("alone") >= threshold).otherwise(F.col("agree") >= threshold)

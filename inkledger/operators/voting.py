@@ -116,7 +116,10 @@ def resolve_characters(candidates: list[str], weights: list[float] | None = None
 
 
 def vote_words(texts: list[str], weights: list[float], habits: dict[str, str] | None = None) -> dict:
-    """text, confidence and disagreements of a weighted vote, word by word, along the heaviest reading."""
+    """text, confidence and disagreements of a weighted vote, word by word, along the heaviest reading.
+
+    Of a replaced stretch, the shorter side's last word stands for what it lacks: every place of the anchor gets a vote.
+    """
     anchor_at = max(range(len(texts)), key=lambda k: (weights[k], -k))
     anchor = line_words(texts[anchor_at])
     votes: list[dict[str, float]] = [{} for _ in anchor]
@@ -127,30 +130,40 @@ def vote_words(texts: list[str], weights: list[float], habits: dict[str, str] |
                 for p in range(i, j):
                     votes[p][anchor[p]] = votes[p].get(anchor[p], 0.0) + weights[k]
             elif tag == "replace":
-                for q in range(m, n):
-                    p = min(i + q - m, j - 1)
-                    votes[p][words[q]] = votes[p].get(words[q], 0.0) + weights[k]
+                for step in range(max(j - i, n - m)):
+                    p, word = min(i + step, j - 1), words[min(m + step, n - 1)]
+                    votes[p][word] = votes[p].get(word, 0.0) + weights[k]
     out, agreed, counted, apart = [], 0, 0, []
     for p, own in enumerate(votes):
         if set(own) <= {"\n"}:
             out.append("\n")
             continue
         counted += 1
-        best = max(own, key=lambda w: own[w])
+        best, *others = sorted(own, key=lambda w: -own[w])
         if len(own) == 1:
             agreed += 1
             out.append(best)
             continue
-        apart.append(f"Position {p}: " + " vs ".join(own))
-        real = [w for w in own if w != "\n"]
+        real = [w for w in (best, *others) if w != "\n"]
         if own[best] > 0.5 * sum(own.values()):
             out.append(best)
+            if "\n" not in (best, others[0]):
+                apart.append(f"'{others[0]}' vs '{best}' (majority)")
         elif (fixed := resolve_characters(real, None, habits)) is not None:
             out.append(fixed)
         else:
-            out.append(f"{best} [?alt: {'/'.join(real)}]")
-    lines = " ".join(out).replace(" \n ", "\n").replace("\n ", "\n").replace(" \n", "\n")
-    return {"text": lines, "confidence": min(VOTE_CAP, agreed / counted) if counted else 0.0, "disagreements": apart[:20]}
+            out.append(best)
+            runners = "/".join([w for w in others if w != "\n"][:2])
+            if runners and best != "\n":
+                out.append(f"[?alt: {runners}]")
+                apart.append(f"'{best}' vs '{runners}' (no majority)")
+    lines: list[list[str]] = [[]]
+    for word in out:
+        if word == "\n":
+            lines.append([])
+        else:
+            lines[-1].append(word)
+    return {"text": "\n".join(map(" ".join, lines)).strip(), "confidence": min(VOTE_CAP, agreed / counted) if counted else 0.0, "disagreements": apart[:20]}
 
 
 def consensus(readings: DataFrame, habits: DataFrame | None = None) -> DataFrame:

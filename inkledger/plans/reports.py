@@ -73,6 +73,14 @@ def confidence_bucket(confidence: Column) -> Column:
     return F.when(confidence < 0.3, "0.0-0.3").when(confidence < 0.5, "0.3-0.5").when(confidence < 0.7, "0.5-0.7").when(confidence < 0.9, "0.7-0.9").otherwise("0.9-1.0")
 
 
+def miscalibrated(results: DataFrame, by: list[str], order: list[str], sure: float = 0.7, wrong: float = 0.1, most: int = 5) -> DataFrame:
+    """The first ``most`` outputs of each group that were sure and wrong, with ``found``, the number of all of them."""
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    rows = results.where((F.col("confidence") > sure) & (F.col("error_rate") > wrong))
+    rows = rows.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy(*by))).withColumn("place", n)
+    return rows.where(F.col("place") <= most)
+
+
 def hardest(results: DataFrame, key: str, value: str, k: int = 3) -> DataFrame:
     """The ``k`` keys with the highest mean."""
     return results.groupBy(key).agg(F.avg(value).alias("mean")).orderBy(F.desc("mean"), key).limit(k)

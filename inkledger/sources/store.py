@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkledger.sources.settle import settled
+
 SCHEMAS = {
     "samples": "id long, image_path string, image_hash string, student string, category string, source_dir string, notes string, page_number int, created_at timestamp",
     "ground_truths": "id long, sample_id long, text string, source string, author string, created_at timestamp",
@@ -103,11 +105,29 @@ def read_forms(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("form")).where("form <> ''").distinct()
 
 
+def top_id(table: DataFrame) -> int:
+    return table.agg(F.coalesce(F.max("id"), F.lit(0))).head()[0]
+
+
+def with_ids(new: DataFrame, top: int, *order: str) -> DataFrame:
+    """``new`` with ids from ``top`` + 1 on, gapless and ascending by ``order``.
+
+    Rows go to ranges of the order; each range gets a block of ids as long as its count, after the blocks before it. No
+    task sorts more than a range, and only the ranges' counts are added up. The ranges are settled first, so that a lost
+    executor cannot deal rows out anew between counting and numbering.
+    """
+    parts = max(1, int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = settled(new.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("range_", F.spark_partition_id()).withColumn("place_", place), "ids")
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    blocks = ranges.groupBy("range_").agg(F.count(F.lit(1)).alias("n_")).select("range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("from_"))
+    return ranges.join(F.broadcast(blocks), "range_").withColumn("id", F.lit(top + 1) + F.col("from_") + F.col("place_")).drop("range_", "place_", "from_")
+
+
 def record_corrections(samples: DataFrame, truths: DataFrame, corrections: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables after ``incoming`` (image_hash, image_path, writer, original, corrected, confidence, source): a sample for each new hash, a truth for each new text of a sample, and always a correction."""
     def numbered(new: DataFrame, old: DataFrame, *order: str) -> DataFrame:
-        top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top_"))
-        return new.crossJoin(F.broadcast(top)).withColumn("id", F.col("top_") + F.row_number().over(Window.orderBy(*order))).drop("top_")  # one row
+        return with_ids(new, top_id(old), *order)
 
     first = incoming.groupBy("image_hash").agg(F.min_by("image_path", "image_path").alias("image_path"), F.min("writer").alias("student"))
     samples = samples.unionByName(numbered(first.join(samples.select("image_hash"), "image_hash", "left_anti"), samples, "image_hash"), allowMissingColumns=True)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkledger import catalogue, catalogue_runs  # noqa: F401  (registers its queries)
-from inkledger.functions import numeric, pixels, synthesis, text
+from inkledger.functions import misreading, numeric, pixels, text
 from inkledger.operators import correction, similarity, stats, strategies, voting
 from inkledger.plans import reports
 from inkledger.sources import store
@@ -66,7 +66,15 @@ def test_resolve_characters(words, want):
 def test_vote_words():
     assert voting.vote_words(["the cat sat", "the cat sat", "the dog sat"], [1.0, 1.0, 1.0])["text"] == "the cat sat"
     tie = voting.vote_words(["red sky", "big sky"], [1.0, 1.0])
-    assert "[?alt: red/big]" in tie["text"] and tie["confidence"] == 0.5
+    assert tie == {"text": "red [?alt: big] sky", "confidence": 0.5, "disagreements": ["'red' vs 'big' (no majority)"]}
+    # a shorter replacement votes at every place of the stretch
+    short = voting.vote_words(["a b c", "x", "a b c"], [1.0, 1.0, 0.1])
+    assert short["confidence"] == 0.0 and short["disagreements"] == ["'x' vs 'a' (majority)", "'x' vs 'b' (majority)", "'x' vs 'c' (majority)"]
+    three = voting.vote_words(["cat", "dog", "cow", "pig"], [1.0, 1.0, 1.0, 1.0])
+    assert three["text"] == "cat [?alt: dog/cow]"
+    longer = voting.vote_words(["a b", "a x y z", "a x y z"], [1.5, 1.0, 1.0])
+    assert longer["text"] == "a b [?alt: x/y]"
+    assert voting.vote_words(["one\ntwo\n", "one\ntwo"], [1.0, 1.0])["text"] == "one\ntwo"
 
 
 def test_consensus_drops_the_odd_one(spark):
@@ -160,12 +168,12 @@ def test_corrector_evaluation(spark):
 
 def test_synthesis(spark):
     clean = spark.createDataFrame([(k, f"The résumé of cell number {k} shows mitochondria, osmosis and more.") for k in range(200)] + [(900, ""), (901, "ab"), (902, None)], "k long, t string")
-    got = {r.k: r for r in synthesis.build_pairs(clean, "k", "t").collect()}
-    assert got == {r.k: r for r in synthesis.build_pairs(clean.repartition(5), "k", "t").collect()}
+    got = {r.k: r for r in misreading.build_pairs(clean, "k", "t").collect()}
+    assert got == {r.k: r for r in misreading.build_pairs(clean.repartition(5), "k", "t").collect()}
     assert all(r.corrupted != r.clean for k, r in got.items() if k < 200) and got[900].corrupted == "" and got[902].corrupted is None
     share = sum(text.distance(r.corrupted, r.clean) for k, r in got.items() if k < 200) / sum(len(r.clean) for k, r in got.items() if k < 200)
     assert 0.01 < share < 0.15
-    other = {r.k: r.corrupted for r in synthesis.build_pairs(clean, "k", "t", 7).collect()}
+    other = {r.k: r.corrupted for r in misreading.build_pairs(clean, "k", "t", 7).collect()}
     assert sum(other[k] != got[k].corrupted for k in range(200)) > 150
 
 
