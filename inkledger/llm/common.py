@@ -206,15 +206,23 @@ BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD64
 
 
 #: Bytes whose words are hashed together.
-HASH_BYTES = 1 << 22
+HASH_BYTES = 1 << 19
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each (non-empty) word: the sum of its bytes, each scrambled together with its place in the word.
+
+    Powers of a base modulo 2^64 would not do: long words of a regular build agree under all of them.
+    """
     out, at = np.zeros(len(starts), np.uint64), 0
-    while at < len(starts):  # some megabytes of a long text at a time, cut between words
+    while at < len(starts):  # some bytes of a long text at a time, cut between words
         end = max(at + 1, int(np.searchsorted(ends, starts[at] + HASH_BYTES, "right")))
-        low, high = starts[at], ends[end - 1]
-        out[at:end] = mix(Rolling(BYTE_VALUE[data[low:high]]).stretch(starts[at:end] - low, ends[at:end] - low) ^ (ends[at:end] - starts[at:end]).astype(np.uint64))
+        size = ends[at:end] - starts[at:end]
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
+        value = BYTE_VALUE[data[np.repeat(starts[at:end], size) + place]]
+        value += place.astype(np.uint64) * np.uint64(_ODD[0])
+        out[at:end] = mix(np.add.reduceat(mix(value), first) ^ size.astype(np.uint64))
         at = end
     return out
 

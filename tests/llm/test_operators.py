@@ -528,3 +528,34 @@ def test_word_tokenizer_equals_library():
     texts = ["", " ", "\n", "a ", "a\n", *("".join(draw.choice(bits) for _ in range(draw.randint(1, 14))) for _ in range(3000))]
     want = [np.array(x.ids, "<u2").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
     assert own.encode(texts) == want
+
+
+# ---- words of a regular build that sums of powers cannot tell apart ------------------------------------------------------
+
+
+def thue_morse(size, letters="ab"):
+    return "".join(letters[bin(k).count("1") & 1] for k in range(size))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_long_regular_words_are_told_apart(spark, size):
+    from inkledger.llm import jaccard_join, suffix_dedup, suffix_tree
+
+    one, other = thue_morse(size), thue_morse(size, "ba")
+    data = np.frombuffer(f"{one} {other}".encode(), np.uint8)
+    starts, ends, _ = common.words_of(data, np.array([0, len(data)]))
+    assert len(set(common.word_hashes(data, starts, ends).tolist())) == 2
+    tail = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, one), (2, other), (3, f"{one} {tail}"), (4, f"{other} {tail}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+    assert {r.doc_id: r.n_removed for r in suffix_tree.dedup(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 60}
+    first, want = {}, {}
+    for k, (_, t) in enumerate(rows):
+        b, gone = t.encode(), bytearray(len(t))
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in first:
+                gone[i : i + 100] = b"\1" * 100
+            first.setdefault(b[i : i + 100], k)
+        want[rows[k][0]] = sum(gone)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup(docs).collect()} == want
