@@ -333,31 +333,37 @@ def _join(num: int, den: int):
     fixed = sum(np.dtype(k).itemsize for _, k in SET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols, values = [], []
+        # a task's blobs stay as they came; only the cell at hand is put together
+        blobs, cols = [], []
         for batch in batches:
             for blob in batch.column("payload"):
                 blob = blob.as_py()
                 n = int(np.frombuffer(blob, np.int64, 1)[0])
-                cols.append(c.unpack(SET, blob[8 : 8 + n * fixed]))
-                values.append(np.frombuffer(blob, np.uint64, offset=8 + n * fixed))
+                own = c.unpack(SET, blob[8 : 8 + n * fixed])
+                size = own["size"].astype(np.int64)
+                cols.append(own | {"blob": np.full(n, len(blobs)), "at": 8 + n * fixed + 8 * (np.cumsum(size) - size)})
+                blobs.append(blob)
         if not cols:
             return
-        x, value = {k: np.concatenate([y[k] for y in cols]) for k, _ in SET}, np.concatenate(values)
-        cols.clear(), values.clear()
+        x = {k: np.concatenate([y[k] for y in cols]) for k in cols[0]}
+        cols.clear()
         size, floors = x["size"].astype(np.int64), [0, *levels(num, den).tolist()]
-        begin = np.cumsum(size) - size
         order = np.lexsort((x["lo"], x["hi"], x["j"], x["i"], x["root"]))
         order = order[c.run_starts(*(x[k][order] for k in ("root", "i", "j", "hi", "lo")))]
         edges = np.r_[c.run_starts(*(x[k][order] for k in ("root", "i", "j"))), len(order)]
-        a, b, count = [], [], []
+        a, b, count, ready = [], [], [], 0
         for s, e in zip(edges, edges[1:]):
             own = order[s:e]
             i, j = int(x["i"][own[0]]), int(x["j"][own[0]])
             side = None if i == j else x["part"][own] == j
-            label, links = join_cell(size[own], value[ragged(begin[own], size[own])], x["copies"][own], side, num, den, floors[x["scheme"][own[0]]])
+            value = np.concatenate([np.frombuffer(blobs[x["blob"][k]], np.uint64, size[k], x["at"][k]) for k in own])
+            label, links = join_cell(size[own], value, x["copies"][own], side, num, den, floors[x["scheme"][own[0]]])
             node = x["lo"][own].view(np.int64)
             a.append(node), b.append(node[label]), count.append(links)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in (a, b, count)], names=["a", "b", "links"])
+            ready += len(own)
+            if ready > c.CHUNK_BYTES or e == len(order):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in (a, b, count)], names=["a", "b", "links"])
+                a, b, count, ready = [], [], [], 0
 
     return run
 
