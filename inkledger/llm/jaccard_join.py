@@ -38,7 +38,9 @@ SIG = [("sig", "<u8"), ("node", "<u8")]
 SET = [("root", "<i8"), ("scheme", "<u4"), ("i", "<u4"), ("j", "<u4"), ("hi", "<u8"), ("lo", "<u8"), ("copies", "<i8"), ("part", "<u4"), ("size", "<u4")]
 BLOCK = 2048
 #: Shingles of a block, and cell tasks for each shuffle partition: a cell needs about ten times its shingles in memory.
-MASS, CELL_SPLIT = 1 << 20, 4
+MASS, CELL_SPLIT = 1 << 21, 4
+#: Bytes of text whose sets are shipped together: near copies among them compress.
+SHIP_BYTES = 1 << 22
 #: Counters of shingle frequencies, and the slices in which tasks add them up.
 COUNTER_BITS, SLICES = 22, 64
 
@@ -206,7 +208,7 @@ def _ship(q: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             root, scheme, parts, part, copies = (c.column(batch, k) for k in ("root", "scheme", "parts", "part", "copies"))
-            for b0, b1, data, offsets in c.text_chunks(batch):
+            for b0, b1, data, offsets in c.text_chunks(batch, limit=SHIP_BYTES):
                 row, value = shingle_sets(data, offsets, q)
                 size, hi, lo = names(row, value, b1 - b0)
                 at = np.searchsorted(row, np.arange(b1 - b0 + 1))
@@ -219,7 +221,7 @@ def _ship(q: int, buckets: int):
                 rep, i, j, bucket = rep[order], i[order], j[order], bucket[order].astype(np.int32)
                 cols = dict(root=root[b0:b1][rep], scheme=scheme[b0:b1][rep], i=i, j=j, hi=hi[rep], lo=lo[rep], copies=copies[b0:b1][rep], part=own[rep], size=size[rep])
                 edge = np.r_[c.run_starts(bucket), len(bucket)]
-                blobs = [np.int64(b - a).tobytes() + b"".join(cols[k][a:b].astype(kind).tobytes() for k, kind in SET) + value[ragged(at[rep[a:b]], size[rep[a:b]])].tobytes() for a, b in zip(edge, edge[1:])]
+                blobs = [np.int64(b - a).tobytes() + b"".join(cols[k][a:b].astype(kind).tobytes() for k, kind in SET) + pa.compress(value[ragged(at[rep[a:b]], size[rep[a:b]])].tobytes(), "zstd", asbytes=True) for a, b in zip(edge, edge[1:])]
                 if blobs:
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "payload"])
 
@@ -333,7 +335,7 @@ def _join(num: int, den: int):
     fixed = sum(np.dtype(k).itemsize for _, k in SET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a task's blobs stay as they came; only the cell at hand is put together
+        # only the cell at hand is put together; its sets lie in several blobs
         blobs, cols = [], []
         for batch in batches:
             for blob in batch.column("payload"):
@@ -341,8 +343,8 @@ def _join(num: int, den: int):
                 n = int(np.frombuffer(blob, np.int64, 1)[0])
                 own = c.unpack(SET, blob[8 : 8 + n * fixed])
                 size = own["size"].astype(np.int64)
-                cols.append(own | {"blob": np.full(n, len(blobs)), "at": 8 + n * fixed + 8 * (np.cumsum(size) - size)})
-                blobs.append(blob)
+                cols.append(own | {"blob": np.full(n, len(blobs)), "at": np.cumsum(size) - size})
+                blobs.append(np.frombuffer(pa.decompress(blob[8 + n * fixed :], 8 * int(size.sum()), "zstd"), np.uint64))
         if not cols:
             return
         x = {k: np.concatenate([y[k] for y in cols]) for k in cols[0]}
@@ -356,7 +358,7 @@ def _join(num: int, den: int):
             own = order[s:e]
             i, j = int(x["i"][own[0]]), int(x["j"][own[0]])
             side = None if i == j else x["part"][own] == j
-            value = np.concatenate([np.frombuffer(blobs[x["blob"][k]], np.uint64, size[k], x["at"][k]) for k in own])
+            value = np.concatenate([blobs[x["blob"][k]][x["at"][k] : x["at"][k] + size[k]] for k in own])
             label, links = join_cell(size[own], value, x["copies"][own], side, num, den, floors[x["scheme"][own[0]]])
             node = x["lo"][own].view(np.int64)
             a.append(node), b.append(node[label]), count.append(links)
