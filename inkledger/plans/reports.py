@@ -217,3 +217,23 @@ def flag_anomalies(submissions: DataFrame, key: str, body: str, typed: DataFrame
     both = pairs.select(F.col("a").alias(key), F.col("b").alias("other"), "score").unionAll(pairs.select(F.col("b").alias(key), F.col("a").alias("other"), "score"))
     near = both.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("other", "score"))).alias("others"))
     return near.join(typed.select(key, F.col("confidence").alias("typed_confidence")), key, "full_outer")
+
+
+def anomalies_with_reasons(submissions: DataFrame, key: str, name: str, body: str, typed: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(key, name, reasons, similar, typed_confidence) of submissions that are like others or look typed; ``typed``: key, is_typed, confidence.
+
+    ``similar`` holds (other, other_name, score), by other; the reasons state them in this order, then the typed text.
+    """
+    from inkledger.operators.similarity import similar_texts
+
+    pairs = similar_texts(submissions, key, body, threshold)
+    both = pairs.select(F.col("a").alias(key), F.col("b").alias("other"), "score").unionAll(pairs.select(F.col("b").alias(key), F.col("a").alias("other"), "score"))
+    names = submissions.select(F.col(key).alias("other"), F.col(name).alias("other_name"))
+    near = both.join(names, "other").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("other", "other_name", "score"))).alias("similar"))
+    sure = typed.where("is_typed").select(key, F.col("confidence").alias("typed_confidence"))
+    rows = near.join(sure, key, "full_outer").join(submissions.select(key, name), key)
+    percent = lambda x: F.concat(F.round(x * 100, 0).cast("long").cast("string"), F.lit("%"))
+    alike = F.transform(F.coalesce("similar", F.array()), lambda p: F.concat(F.lit("High text similarity ("), percent(p["score"]), F.lit(") with "), p["other_name"]))
+    marks = F.when(F.col("typed_confidence").isNotNull(), F.array(F.concat(F.lit("Possible typed/printed text (confidence: "), percent(F.col("typed_confidence")), F.lit(")")))).otherwise(F.array())
+    none = F.expr("filter(array(named_struct('other', cast(null as long), 'other_name', '', 'score', 0.0D)), x -> false)")
+    return rows.select(key, name, F.concat(alike, marks).alias("reasons"), F.coalesce("similar", none).alias("similar"), "typed_confidence")
