@@ -36,7 +36,7 @@ from inkledger.llm.repeats import grown, ragged
 
 SIG = [("sig", "<u8"), ("node", "<u8")]
 SET = [("root", "<i8"), ("scheme", "<u4"), ("i", "<u4"), ("j", "<u4"), ("hi", "<u8"), ("lo", "<u8"), ("copies", "<i8"), ("part", "<u4"), ("size", "<u4")]
-BLOCK = 2048
+BLOCK = 1 << 14
 #: Shingles of a block, and cell tasks for each shuffle partition: a cell needs about ten times its shingles in memory.
 MASS, CELL_SPLIT = 1 << 21, 4
 #: Bytes of text whose sets are shipped together: near copies among them compress.
@@ -257,6 +257,7 @@ class Cell:
         self.list_set, self.list_place = owner[order], place[order]
         self.list_at = np.r_[0, np.cumsum(seen[np.argsort(seen, kind="stable")])]
         self.prefix = size - (size * num + den - 1) // den + 1
+        self.mark = np.zeros(len(self.list_at), np.int8)
 
     def of(self, k: int) -> np.ndarray:
         return self.token[self.begins[k] : self.ends[k]]
@@ -287,10 +288,10 @@ class Cell:
         maybe = maybe[(self.size[maybe] * self.den >= self.num * self.size[k]) & (self.size[maybe] * self.num <= self.den * self.size[k]) & (maybe != k)]
         if not len(maybe):
             return maybe
-        mark = np.zeros(len(self.list_at), np.int64)
-        mark[own] = 1
-        inside = mark[self.token[ragged(self.begins[maybe], self.size[maybe])]]
-        overlap = np.add.reduceat(inside, np.cumsum(self.size[maybe]) - self.size[maybe])
+        self.mark[own] = 1
+        inside = self.mark[self.token[ragged(self.begins[maybe], self.size[maybe])]]
+        self.mark[own] = 0
+        overlap = np.add.reduceat(inside, np.cumsum(self.size[maybe]) - self.size[maybe], dtype=np.int64)
         return maybe[self.linked(k, maybe, overlap)]
 
     def answers(self) -> Iterator[tuple[int, np.ndarray]]:
