@@ -42,7 +42,7 @@ MASS, CELL_SPLIT = 1 << 21, 4
 #: Bytes of text whose sets are shipped together: near copies among them compress.
 SHIP_BYTES = 1 << 22
 #: Counters of shingle frequencies, and the slices in which tasks add them up.
-COUNTER_BITS, SLICES = 22, 64
+COUNTER_BITS, SLICES = 24, 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ def _levels_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rarity(docs: DataFrame, q: int) -> np.ndarray:
-    """How frequent the shingles of each counter are over all documents: 4 MB, whatever the input.
+    """How frequent the shingles of each counter are over all documents: 16 MB, whatever the input.
 
     Shingles that share a counter share its level. The levels only order shingles, and every common order gives all
     links, so a coarse count costs candidates and never a link.
