@@ -73,7 +73,7 @@ def test_vote_words():
     three = voting.vote_words(["cat", "dog", "cow", "pig"], [1.0, 1.0, 1.0, 1.0])
     assert three["text"] == "cat [?alt: dog/cow]"
     longer = voting.vote_words(["a b", "a x y z", "a x y z"], [1.5, 1.0, 1.0])
-    assert longer["text"] == "a b [?alt: x/y]"
+    assert longer["text"] == "a x [?alt: y/z]"  # x, y and z weigh 2.0 each at the last place, b 1.5
     assert voting.vote_words(["one\ntwo\n", "one\ntwo"], [1.0, 1.0])["text"] == "one\ntwo"
 
 
