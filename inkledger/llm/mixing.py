@@ -6,9 +6,9 @@ weight; the first that its share does not fill sets the level). A source's docum
 them or more, so that a block has about ``BLOCK_ROWS`` rows at most; each pass over a source draws blocks in a permuted order, the last one document by document, so that a source
 ends within half a document of its target.
 
-Drawn blocks are tickets. The tree splits them among 2^depth output shards, more for larger inputs: at each node a
-random half of the node's tickets goes left, so the sources' quotas there are a multivariate-hypergeometric draw, exact
-and disjoint. Inside a shard documents are shuffled by hash, in ``PARTS`` parts by the leading bits of their places, so
+Drawn blocks are tickets. The tree splits them among 2^depth output shards, more for larger inputs. Only counts pass
+down the tree: at each node a half of the tickets goes left, and how many of each source is a multivariate-hypergeometric
+draw (``quotas``). A source's tickets, in a permuted order, then fill the shards' quotas, exactly and disjointly. Inside a shard documents are shuffled by hash, in ``PARTS`` parts by the leading bits of their places, so
 that no task holds a whole shard. Everything derives from hashes of ids: reruns agree.
 
 Defined cases: null or empty text: size 0, never taken. A very long text is a document like others; a source ends
@@ -31,6 +31,8 @@ BLOCKS = 256
 BLOCK_ROWS = 1 << 16
 #: Depths of the tree, and the words that a shard should hold at most where depth allows.
 DEPTH, DEEPEST, SHARD_WORDS = 4, 16, 1 << 22
+#: The level whose nodes are dealt out over tasks.
+SPREAD = 6
 #: log2 of the parts of a shard that are sorted each in a task.
 PART_BITS = 4
 SEED = 20
@@ -95,15 +97,87 @@ def depth_for(rows: DataFrame) -> int:
     return min(DEEPEST, max(DEPTH, int(BUDGET * words / SHARD_WORDS).bit_length()))
 
 
-def split(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """source, block, draw, shard: every drawn block's tickets dealt out by the splitting tree."""
-    tickets = blocks.select("source", "block", F.explode(F.expr("sequence(1, cast(passes + if(last > 0, 1, 0) as int) + 1)")).alias("draw"), (F.col("passes") + F.when(F.col("last") > 0, 1).otherwise(0)).alias("n")).where("draw <= n").withColumn("shard", F.lit(0))
+def _unit(*cells) -> F.Column:
+    """A number strictly between 0 and 1 by hash."""
+    return (F.shiftrightunsigned(F.xxhash64(*cells), 11) + 0.5) * 2.0**-53
+
+
+def _let(value: F.Column, use) -> F.Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def hypergeometric(unit: F.Column, total: F.Column, marked: F.Column, drawn: F.Column) -> F.Column:
+    """How many of ``drawn`` out of ``total`` are among the ``marked``: the distribution inverted at ``unit``.
+
+    Values are taken from the mode upwards, then downwards, each probability from the one beside it. Those further from the mode
+    than 9 deviations and 24 weigh less than a double can tell.
+    """
+    others = total - marked - drawn
+    deviation = F.sqrt(drawn * (marked / total) * ((total - marked) / total) * ((total - drawn) / F.greatest(total - 1, F.lit(1))))
+    reach = F.ceil(deviation * 9) + 24
+    mode = F.floor((drawn + 1) * ((marked + 1) / (total + 2)))
+    least, most = F.greatest(F.lit(0), -others), F.least(drawn, marked)
+    mode = F.greatest(least, F.least(most, mode)).cast("long")
+
+    def walk(at: F.Column, share) -> F.Column:
+        """``share`` is None: the weight of all values, that of the mode being 1. Else the value at which it is used up."""
+
+        def step(a, x):
+            rise = (marked - x + 1) * (drawn - x + 1) / (x * (others + x))
+            fall = (x + 1) * (others + x + 1) / ((marked - x) * (drawn - x))
+            w = F.when(x == at["mode"] - 1, F.lit(1.0)).otherwise(a["w"]) * F.when(x > at["mode"], rise).otherwise(fall)
+            return _let(w, lambda w: F.struct(w.alias("w"), (a["left"] - w).alias("left"), x.alias("at")))
+
+        begin = F.struct(F.lit(1.0).alias("w"), ((F.lit(0.0) if share is None else share) - 1.0).alias("left"), at["mode"].cast("double").alias("at"))
+        used = F.aggregate(at["others"], begin, step if share is None else lambda a, x: F.when(a["left"] < 0, a).otherwise(step(a, x)))
+        return -used["left"] if share is None else used["at"]
+
+    values = F.concat(F.sequence(mode, F.least(most, mode + reach).cast("long")), F.sequence(mode, F.greatest(least, mode - reach).cast("long"), F.lit(-1).cast("long")))
+    ends = F.struct(mode.cast("double").alias("mode"), F.array_remove(values, mode).cast("array<double>").alias("others"))
+    value = _let(ends, lambda at: _let(walk(at, None) * unit, lambda share: walk(at, share)))
+    return F.when((most <= least) | (total <= 0), F.greatest(most, F.lit(0))).otherwise(value).cast("long")
+
+
+def quotas(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """shard, source, n: how many of a source's tickets each shard gets. ``counts`` has source and its tickets n.
+
+    A node is one row with its counts by source; at each level half of its tickets go left (of an odd number, a hash gives the
+    odd one), a hypergeometric draw from each source in turn.
+    """
+    part = F.struct("source", F.col("n").cast("long").alias("n"))
+    tree = counts.agg(F.array_sort(F.collect_list(part)).alias("parts")).select(F.lit(0).alias("level"), F.lit(0).alias("node"), "parts")
+    total = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["n"])
+    goal = F.floor((F.col("total") + F.pmod(F.xxhash64(F.lit(SEED + 2), "level", "node"), F.lit(2))) / 2).cast("long")
+    begin = F.struct(F.col("total").alias("rest"), goal.alias("goal"), F.array().cast("array<bigint>").alias("left"))
+
+    def draw(a, p):
+        taken_left = hypergeometric(_unit(F.lit(SEED + 3), F.col("level"), F.col("node"), p["source"]), a["rest"], p["n"], a["goal"])
+        return _let(taken_left, lambda x: F.struct((a["rest"] - p["n"]).alias("rest"), (a["goal"] - x).alias("goal"), F.concat(a["left"], F.array(x)).alias("left")))
+
+    drawn = F.aggregate("parts", begin, draw)["left"]
+    left = F.zip_with("parts", "left", lambda p, x: F.struct(p["source"].alias("source"), x.alias("n")))
+    right = F.zip_with("parts", "left", lambda p, x: F.struct(p["source"].alias("source"), (p["n"] - x).alias("n")))
+    halves = F.inline(F.array(*(F.struct((F.col("level") + 1).alias("level"), (F.col("node") * 2 + side).alias("node"), parts.alias("parts")) for side, parts in enumerate((left, right)))))
     for level in range(depth):
-        node = Window.partitionBy("shard")
-        place = F.row_number().over(node.orderBy(F.xxhash64(F.lit(SEED + 2 + level), "source", "block", "draw"), "source", "block", "draw"))
-        right = (place * 2 > F.count(F.lit(1)).over(node) + F.pmod(F.xxhash64(F.lit(level), "shard"), F.lit(2))).cast("int")
-        tickets = tickets.withColumn("right_", right).withColumn("shard", F.col("shard") * 2 + F.col("right_")).drop("right_")
-    return tickets.select("source", "block", "draw", "shard")
+        if level == SPREAD:
+            tree = tree.repartition(c.partitions(counts.sparkSession), "node")
+        tree = tree.withColumn("total", total).withColumn("left", drawn).select(halves)
+    return tree.select(F.col("node").alias("shard"), F.inline("parts"))
+
+
+def split(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """source, block, draw, shard: every drawn block's tickets, permuted within their source, dealt out to the shards' quotas."""
+    n = (F.col("passes") + F.when(F.col("last") > 0, 1).otherwise(0)).cast("long")
+    drawn = blocks.select("source", "block", n.alias("n")).where("n > 0")
+    by = F.xxhash64(F.lit(SEED + 4), "source", "block", "draw")
+    permuted = Window.partitionBy("source").orderBy(by, "block", "draw")
+    tickets = drawn.select("source", "block", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("draw")).withColumn("seat", F.row_number().over(permuted).cast("long"))
+    shares = quotas(drawn.groupBy("source").agg(F.sum("n").alias("n")), depth).where("n > 0")
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    seats = shares.withColumn("upto", upto).select("source", "shard", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("seat"))
+    t, s = tickets.alias("t"), seats.alias("s")
+    return t.join(s, F.expr("t.source <=> s.source and t.seat = s.seat")).select("t.source", "t.block", "t.draw", "s.shard")
 
 
 def dealt(docs: DataFrame, depth: int | None = None, own: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -346,6 +348,58 @@ def test_op7_tree_deals_every_ticket_once(docs):
     assert got.columns[: len(docs.columns)] == docs.columns
 
 
+def drawn_by_hand(unit, total, marked, drawn):
+    """The hypergeometric distribution inverted in exact numbers, values taken from the mode upwards, then downwards."""
+    low, high = max(0, drawn - (total - marked)), min(drawn, marked)
+    ways = {x: math.comb(marked, x) * math.comb(total - marked, drawn - x) for x in range(low, high + 1)}
+    mode, left = max(low, min(high, (drawn + 1) * (marked + 1) // (total + 2))), Fraction(unit) * sum(ways.values())
+    for x in [*range(mode, high + 1), *range(mode - 1, low - 1, -1)]:
+        left -= ways[x]
+        if left < 0:
+            return x
+
+
+def test_op7_draws_are_hypergeometric(spark):
+    draw = random.Random(3)
+    rows = [(u, t, draw.randint(0, t), draw.randint(0, t)) for t in (0, 1, 2, 5, 60, 900, 4000) for u in (1e-12, 0.05, 0.5, 0.9, 1 - 1e-9) for _ in range(6)]
+    rows += [(0.3, 10, 10, 4), (0.3, 10, 0, 4), (0.3, 10, 4, 10), (0.3, 10, 4, 0)]
+    table = spark.createDataFrame(rows, "u double, t long, k long, d long")
+    for r in table.withColumn("x", mixing.hypergeometric(*map(F.col, "utkd"))).collect():
+        assert r.x == drawn_by_hand(r.u, r.t, r.k, r.d)
+
+
+def test_op7_quotas_follow_a_replay_and_only_counts_meet(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SPREAD", 1)
+    sizes = {None: 7, "a": 1, "b": 300, "é": 41}
+    counts = spark.createDataFrame(list(sizes.items()), "source string, n long")
+    got = {(r.shard, r.source): r.n for r in mixing.quotas(counts, 3).collect()}
+    nodes = [{s: sizes[s] for s in sorted(sizes, key=lambda s: (s is not None, s or ""))}]
+    for level in range(3):
+        cells = [(level, i, s) for i, counted in enumerate(nodes) for s in counted]
+        asked = spark.createDataFrame(cells, "level int, node int, source string")
+        odd = F.pmod(F.xxhash64(F.lit(mixing.SEED + 2), "level", "node"), F.lit(2))
+        unit = mixing._unit(F.lit(mixing.SEED + 3), "level", "node", "source")
+        units = {(r.node, r.source): (r.unit, r.odd) for r in asked.select("node", "source", unit.alias("unit"), odd.alias("odd")).collect()}
+        below = []
+        for i, counted in enumerate(nodes):
+            rest = sum(counted.values())
+            goal, left = (rest + units[i, None][1]) // 2, {}
+            for s, n in counted.items():
+                left[s] = drawn_by_hand(units[i, s][0], rest, n, goal)
+                rest, goal = rest - n, goal - left[s]
+            below += [left, {s: n - left[s] for s, n in counted.items()}]
+        nodes = below
+    assert got == {(i, s): n for i, counted in enumerate(nodes) for s, n in counted.items()}
+    _, blocks = mixing.plan(docs)
+    tickets = mixing.split(blocks, 4)
+    plan = tickets._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("SinglePartition") == 1  # the counts by source
+    quota = Counter()
+    for r in mixing.quotas(blocks.selectExpr("source", "passes + int(last > 0) as n").groupBy("source").agg(F.sum("n").alias("n")), 4).collect():
+        quota[r.source, r.shard] += r.n
+    assert Counter((r.source, r.shard) for r in tickets.collect()) == +quota
+
+
 def best_cut(coder, text):
     """Plain Viterbi over the whole text."""
     score = {int(i): s for i, s in zip(coder.ids, coder.scores)}
