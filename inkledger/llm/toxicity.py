@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -116,9 +118,12 @@ class Matcher:
                 if weight and weight > hits.get(first, (0, 0.0, False))[1]:
                     hits[first] = (end, weight, is_term)
         words = max(1, len(text.split()))
+        harmless.sort()
+        begins, reach = [x for x, _ in harmless], [*accumulate((y for _, y in harmless), max)]
         total, stems, heavy = 0.0, 0, 0.0
         for first, (end, weight, is_term) in hits.items():
-            if any(x <= first and end <= y for x, y in harmless):
+            at = bisect_right(begins, first)
+            if at and end <= reach[at - 1]:
                 continue
             if is_term:
                 total += weight

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -303,6 +304,52 @@ def test_op6_words(docs, rows, empty):
     assert suffix_tree.dedup(empty).count() == 0
 
 
+def toxicity_by_hand(model, text):
+    """Every term tried at every place of the folded text."""
+    folded, words = toxicity.fold(text), max(1, len(text.split()))
+
+    def at(term, i):
+        return folded.startswith(term, i) and not (i and folded[i - 1].isalnum())
+
+    def whole(term, i):
+        return at(term, i) and not folded[i + len(term) : i + len(term) + 1].isalnum()
+
+    phrases = [toxicity.fold(x) for x in toxicity.EXCEPTIONS]
+    harmless = [(i, i + len(x)) for x in phrases for i in range(len(folded)) if whole(x, i)]
+    total, stems, heavy = 0.0, 0, 0.0
+    for i in range(len(folded)):
+        found = [(w, i + len(t), True) for t, w in model.weights.items() if whole(t, i)] + [(w, i + len(t), False) for t, w in model.stems.items() if at(t, i)]
+        if found:
+            most = max(w for w, _, _ in found)
+            end, term = [(e, k) for w, e, k in found if w == most][0]
+            if any(x <= i and end <= y for x, y in harmless):
+                continue
+            total += most if term else 0.0
+            stems, heavy = stems + (not term), heavy + (0.0 if term else most)
+    allowed = toxicity.RATE * words
+    if stems > allowed:
+        total += heavy / stems * (stems - allowed)
+    low, density = 0.1 * stems / (stems + allowed), total / words**0.5
+    return low + (1 - low) * density / (density + model.scale) if density > 0 else low
+
+
+def test_op5_scores_equal_a_plain_matcher():
+    weights = {toxicity.fold(t): 1.0 + i / 100 for i, t in enumerate(toxicity.TERMS)}
+    model = toxicity.Model(weights, {"idio": 0.5, "schei": 2.0, "mero": 3.0}, 0.4)
+    match, draw = model.matcher(), random.Random(5)
+    pool = ["trash", "can", "trash can", "x", "moron", "1d10t", "not", "stupid", "not stupid", "idiotic", "scheisse", "mero", "not an idiot", "ѕcum", "pond scum", "shut", "up", "kill yourself", "a!b", "sore loser,", "losers."]
+    texts = ["", "  ", "trash can", "trash cans", "not an idiot proof"] + [" ".join(draw.choices(pool, k=draw.randint(1, 60))) for _ in range(150)]
+    for text in texts:
+        assert model.score(*match.measure(text)) == pytest.approx(toxicity_by_hand(model, text), abs=1e-12)
+
+
+def test_op5_many_exceptions_take_linear_time():
+    match = toxicity.Matcher({toxicity.fold(t): 1.0 for t in toxicity.TERMS})
+    began = time.perf_counter()
+    assert match.density("trash can x moron " * 100_000) == pytest.approx(100_000 / 400_000**0.5)
+    assert time.perf_counter() - began < 30  # comparing each hit with each phrase takes hours
+
+
 def test_op7_targets_and_quotas(docs, empty):
     got = mixing.taken(docs).collect()
     source = {r.doc_id: r.source for r in docs.collect()}
