@@ -61,7 +61,7 @@ def digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def texts_of(digest: np.ndarray) -> list[str]:
     """Digests as hex strings: length, then four buckets a byte."""
-    q = digest[:, 1:].reshape(len(digest), -1, 4)
+    q = digest[:, 1:].reshape(len(digest), BUCKETS // 4, 4)
     packed = q[:, :, 0] | q[:, :, 1] << 2 | q[:, :, 2] << 4 | q[:, :, 3] << 6
     return [x.tobytes().hex() for x in np.c_[digest[:, :1], packed].astype(np.uint8)]
 
