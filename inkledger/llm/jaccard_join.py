@@ -2,11 +2,11 @@
 
 Method, in three steps:
 
-1. *Index lists by position.* Shingles are ordered from rare to frequent by counters over all documents. Two linked
-   sets share a shingle among the first positions of both (size - ceil(threshold * size) + 1 of them), so only those
-   positions are listed, by size level and shingle; later blocks of positions, where the frequent shingles of passages
-   that many documents hold lie, are skipped. Lists are streamed with one leader each; members point to leaders, and
-   the connected clusters of those pointers contain every link.
+1. *Index lists by parts.* Linked sets of a size level differ in a bounded number of shingles, so of one part more than
+   that, dealt out by hash, one is the same in both (``signatures``). Sets are listed by the contents of their parts: some
+   five shingles each, which sets that share a passage seldom have in common, however large the input. Shingles that
+   counters over all documents call common stay out where that loses nothing. Lists are streamed with one leader each;
+   members point to leaders, and the connected clusters of those pointers contain every link.
 2. *Exact join inside clusters* (``join_cell``): inverted lists of the rarest shingles, ordered by position and cut
    off where the position leaves too few shingles for a link; and a set that is highly similar to the set before it
    derives all of its overlaps from that set's computed overlaps, reading only the lists of shingles that differ.
@@ -121,8 +121,8 @@ def _levels_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rarity(docs: DataFrame, q: int) -> np.ndarray:
     """How frequent the shingles of each counter are over all documents: 16 MB, whatever the input.
 
-    Shingles that share a counter share its level. The levels only order shingles, and every common order gives all
-    links, so a coarse count costs candidates and never a link.
+    Shingles that share a counter share its level. The levels only tell which shingles stay out of parts; a coarse count
+    costs candidates and never a link.
     """
     sums = c.exchange(docs.mapInArrow(c.tidy(_count(q)), c.PACKED), min(SLICES, c.partitions(docs.sparkSession))).mapInArrow(c.tidy(_levels_of), c.PACKED)
     out = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), np.uint8)
@@ -131,16 +131,50 @@ def rarity(docs: DataFrame, q: int) -> np.ndarray:
     return out.ravel()
 
 
-def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, rare: np.ndarray, num: int, den: int, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, list, scheme) of each shingle in a set's prefix, rarest first; a set takes its level's scheme and, if larger linked sets can lie there, the next one's."""
-    order = np.lexsort((value, rare[counted(value)], row))
-    r, v = row[order], value[order]
-    place = np.arange(len(r)) - np.searchsorted(r, np.arange(len(size)))[r]
-    front = place < (size - (size * num + den - 1) // den + 1)[r]
-    r, v = r[front], v[front]
-    level, up = np.searchsorted(tops, size), climbs(size, num, den, tops)[r]
-    r, v, scheme = np.r_[r, r[up]], np.r_[v, v[up]], np.r_[level[r], level[r[up]] + 1]
-    return r, c.mix(v ^ c.mix(scheme.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))), scheme
+def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, rare: np.ndarray, num: int, den: int, tops: np.ndarray, common: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, scheme) of each set's parts; a set takes its level's scheme and, if larger linked sets can lie there, the next one's.
+
+    Linked sets of a scheme differ in at most ``far`` shingles. Dealt out by hash to ``far`` + ``spare`` + 1 parts, they agree in
+    a part that has shingles, unless both have more than ``spare`` parts without. Common shingles are left out first, for parts
+    within a passage that many documents share would be lists of them all; sets with too many parts without then list parts
+    of all their shingles, and those that have too many even so list ``far`` + 1 parts, with or without shingles.
+    """
+    level, up, own = np.searchsorted(tops, size), climbs(size, num, den, tops), np.flatnonzero(size > 0)
+    who, scheme = np.r_[own, own[up[own]]], np.r_[level[own], level[own[up[own]]] + 1].astype(np.int64)
+    far = 2 * tops[scheme] * (den - num) // (den + num)
+    spare = np.where(far > 0, far // 16 + 2, 0)
+    salt = c.mix(scheme.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    begin, end = (np.searchsorted(row, who, side) for side in ("left", "right"))
+    usual = rare[counted(value)] < (common_level(rare) if common is None else common)
+    lists: list[tuple[np.ndarray, ...]] = []
+
+    def parts(take: np.ndarray, count: np.ndarray, kind: int) -> np.ndarray:
+        """List the parts of some sets; how many parts of each have shingles."""
+        first = np.r_[0, np.cumsum(count)]
+        length = end[take] - begin[take]
+        at, of = ragged(begin[take], length), np.repeat(np.arange(len(take)), length)
+        if kind == 1:
+            at, of = at[usual[at]], of[usual[at]]
+        mixed = c.mix(value[at] ^ salt[take][of])
+        spot = first[of] + ((mixed >> np.uint64(32)).astype(np.int64) * count[of] >> 32)
+        order = np.argsort(spot, kind="stable")
+        starts = c.run_starts(spot[order])
+        full = spot[order][starts]
+        content = c.mix(np.add.reduceat(c.mix(mixed[order]), starts)) if len(starts) else np.zeros(0, np.uint64)
+        if kind == 3:
+            every = np.zeros(first[-1], np.uint64)
+            every[full] = content
+            full, content = np.arange(first[-1]), every
+        of = np.searchsorted(first, full, "right") - 1
+        lists.append((who[take][of], c.mix(content ^ c.mix(salt[take][of] + ((full - first[of]) * 4 + kind).astype(np.uint64))), scheme[take][of]))
+        return np.bincount(of, minlength=len(take))
+
+    take = np.arange(len(who))
+    for kind in (1, 2):
+        count = (far + spare + 1)[take]
+        take = take[count - parts(take, count, kind) > spare[take]]
+    parts(take, far[take] + 1, 3)
+    return tuple(np.concatenate(x) for x in zip(*lists))
 
 
 def climbs(size: np.ndarray, num: int, den: int, tops: np.ndarray) -> np.ndarray:
@@ -148,6 +182,12 @@ def climbs(size: np.ndarray, num: int, den: int, tops: np.ndarray) -> np.ndarray
     return size * den // num > tops[np.searchsorted(tops, size)]
 
 
+def common_level(rare: np.ndarray) -> int:
+    """The level from which a shingle is common: 32 and twice the mean of all counters."""
+    mean = np.exp2(np.arange(256) / 4) - 1
+    return int(np.ceil(4 * np.log2(33 + 2 * (np.bincount(rare, minlength=256) @ mean) / len(rare))))
+
+
 def node_of(lo: np.ndarray, scheme: np.ndarray) -> np.ndarray:
     """A set's name within one size scheme; clusters are made scheme by scheme, so sizes do not chain."""
     return c.mix(lo + scheme.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -170,7 +210,7 @@ def _describe(q: int, num: int, den: int):
 
 def _sign(q: int, num: int, den: int, buckets: int, rare: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, tops = c.Packer(SIG, buckets), levels(num, den)
+        out, tops, common = c.Packer(SIG, buckets), levels(num, den), common_level(rare)
         for batch in batches:
             for i, j, data, offsets in c.text_chunks(batch):
                 row, value = shingle_sets(data, offsets, q)
@@ -179,7 +219,7 @@ def _sign(q: int, num: int, den: int, buckets: int, rare: np.ndarray):
                 keep = np.zeros(j - i, bool)
                 keep[one] = True
                 pick = keep[row]
-                r, sig, scheme = signatures(row[pick], value[pick], np.where(keep, size, 0), rare, num, den, tops)
+                r, sig, scheme = signatures(row[pick], value[pick], np.where(keep, size, 0), rare, num, den, tops, common)
                 yield from out.add(sig, sig, node_of(lo[r], scheme))
         yield from out.flush()
 

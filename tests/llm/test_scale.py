@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from inkledger.llm import fingerprint
+from inkledger.llm import fingerprint, jaccard_join
 
 
 def test_op9_range_of_one_row(spark):
@@ -11,3 +11,33 @@ def test_op9_range_of_one_row(spark):
     docs = spark.createDataFrame([(k, f"text {k}") for k in range(6)], "doc_id long, text string")
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs, 64).collect()}
     assert sorted(got) == list(range(6)) and all(r.n_chars == 6 for r in got.values())
+
+
+def test_op3_shared_passages_make_few_lists():
+    """With full counters, as on large inputs, sets that share a passage of 47 of their 350 shingles seldom share a list; all of them did when prefixes were listed."""
+    rng = np.random.default_rng(3)
+    rare, n, passage = np.full(1 << jaccard_join.COUNTER_BITS, 24, np.uint8), 200, rng.integers(0, 1 << 63, 47, dtype=np.uint64)
+    sets = [np.sort(np.r_[passage, rng.integers(0, 1 << 63, 303, dtype=np.uint64)]) for _ in range(n)]
+    row, value = np.repeat(np.arange(n), 350), np.concatenate(sets)
+    r, s, _ = jaccard_join.signatures(row, value, np.full(n, 350), rare, 85, 100, jaccard_join.levels(85, 100))
+    lists = {}
+    for k, x in zip(r.tolist(), s.tolist()):
+        lists.setdefault(x, set()).add(k)
+    pairs = {(a, b) for own in lists.values() for a in own for b in own if a < b}
+    assert len(pairs) < 0.1 * n * (n - 1) / 2, len(pairs)
+
+
+def test_op3_sets_of_common_shingles_meet():
+    """Linked sets share a list whether their shingles are common, rare or mixed."""
+    rng = np.random.default_rng(4)
+    tops = jaccard_join.levels(85, 100)
+    for common in range(11):
+        rare = np.where(rng.integers(0, 10, 1 << jaccard_join.COUNTER_BITS) < common, 200, 0).astype(np.uint8)
+        for n in (7, 8, 13, 20, 60, 350, 900):
+            for _ in range(10):
+                a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+                b = np.unique(np.r_[a[n * 3 // 40 :], rng.integers(0, 1 << 63, n * 3 // 40, dtype=np.uint64)])
+                both = len(np.intersect1d(a, b))
+                assert 100 * both >= 85 * (len(a) + len(b) - both)
+                r, s, _ = jaccard_join.signatures(np.repeat([0, 1], [len(a), len(b)]), np.r_[a, b], np.array([len(a), len(b)]), rare, 85, 100, tops, 100)
+                assert set(s[r == 0]) & set(s[r == 1]), (common, n)
