@@ -27,8 +27,9 @@ def cost(tokens_in: Column, tokens_out: Column, provider: Column) -> Column:
     """Of a provider, or the mean over the parts of ``a+b``; unknown ones cost nothing."""
     rate = F.create_map(*[F.lit(x) for k, v in RATES.items() for x in (k, list(v))])
     parts = F.split(provider, r"\+")
-    each = F.transform(parts, lambda p: F.coalesce((tokens_in * F.try_element_at(F.try_element_at(rate, p), F.lit(1)) + tokens_out * F.try_element_at(F.try_element_at(rate, p), F.lit(2))) / 1e6, F.lit(0.0)))
-    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(parts)
+    # the mean of the rates, then one sum: halves of the last shown digit fall as they do for that sum
+    mean = lambda k: F.aggregate(F.transform(parts, lambda p: F.coalesce(F.try_element_at(F.try_element_at(rate, p), F.lit(k)), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x) / F.size(parts)
+    return (tokens_in * mean(1) + tokens_out * mean(2)) / 1e6
 
 
 def strategy_cost(strategy: Column, n: Column, tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Column) -> Column:
