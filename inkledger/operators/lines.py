@@ -1,4 +1,4 @@
-"""Text lines of pages, found from the ink of their rows; DataFrame functions only.
+"""Text lines of pages, found from the ink of their rows: by DataFrame functions over rows, or page by page.
 
 A page is a text's UTF-8 bytes, ``width`` to a row. Its ink threshold parts the histogram with the largest variance between
 ink and paper; a row's mark is 255 for each place at or under it. Marks are smoothed over three rows, rows over 2 % of
@@ -10,9 +10,15 @@ Windows run over the rows of one page.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkledger.functions.raster import otsu, page
+
 #: Least gap between lines, least height of a line, padding; the peak's share and the least mark of text rows.
 GAP, LEAST, PAD, SHARE, FLOOR = 5, 10, 4, 0.02, 5
 
@@ -64,6 +70,40 @@ def boxes(marked: DataFrame, key: str, gap: int = GAP, least: int = LEAST, pad:
     return lines.select(key, number.alias("line"), above.cast("int").alias("y"), (below - above).cast("int").alias("height"))
 
 
+def of_pages(texts: DataFrame, key: str, body: str, width: int, gap: int = GAP, least: int = LEAST, pad: int = PAD) -> DataFrame:
+    """``boxes`` of each text's page, page by page: rows never leave their task, and only lines come out."""
+
+    def found(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first row, end) of the lines."""
+        ink = int(otsu(image)) if image.min() < image.max() else -1
+        mark = 255 * (image <= ink).sum(1, dtype=np.int64)
+        sum3 = np.pad(mark, 1)
+        sum3 = sum3[:-2] + mark + sum3[2:]
+        y = np.flatnonzero(sum3 / 3 > max(sum3.max() / 3 * SHARE, float(FLOOR)))
+        first = np.flatnonzero(np.r_[True, np.diff(y) - 1 >= gap]) if len(y) else np.zeros(0, np.int64)
+        top, end = y[first], y[np.r_[first[1:], len(y)] - 1] + 1 if len(y) else y
+        high = end - top >= least
+        return top[high], end[high]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, tops, ends, sizes = [], [], [], []
+            for k, text in enumerate(batch.column(1)):
+                image = page((text.as_py() or "").encode(), width)
+                top, end = found(image) if len(image) else ((), ())
+                if len(top) >= 2:
+                    at.append(k), tops.append(top), ends.append(end), sizes.append(len(image))
+            if not at:
+                continue
+            n = [len(x) for x in tops]
+            rows, y = np.repeat(sizes, n), np.maximum(0, np.concatenate(tops) - pad)
+            columns = [np.concatenate([np.arange(1, k + 1) for k in n]), y, np.minimum(rows, np.concatenate(ends) + pad) - y]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(at, n))), *(pa.array(x.astype(np.int32)) for x in columns)], names=[key, "line", "y", "height"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, body).mapInArrow(run, f"`{key}` {kind}, line int, y int, height int")
+
+
 def read_by_lines(lines: DataFrame, key: str, reading: Column) -> DataFrame:
     """(key, text): the readings of a page's lines, from the top, without the empty ones; ``lines`` has key and line."""
     rows = lines.select(key, "line", F.trim(F.coalesce(reading, F.lit(""))).alias("reading_")).where("reading_ <> ''")
