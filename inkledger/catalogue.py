@@ -289,7 +289,7 @@ def wer_pairs(spark, sf_dir):
 
 @query()  # as cer_pairs
 def change_ratio_filter(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).select("doc_id", text.change_ratio(F.col("hyp"), F.col("ref")).alias("ratio"))
+    rows = _pairs(spark, sf_dir).select("doc_id", text.change_ratio(F.col("hyp"), F.col("ref"), once=True).alias("ratio"))
     return rows.where("ratio <= 0.25").withColumn("ratio", F.round("ratio", 9))
 
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkledger.functions.pieces import in_pieces
+
 #: Uncertainty and engine markers, removed in this order before texts are compared.
 MARKERS = (r"\[\?\]", r"\[\?alt:\s*[^\]]*\]", r"\?\?\?", r"\[illegible[^\]]*\]", r"\[unclear\]", r"unable to read", r"\[diagram:\s*[^\]]*\]", r"\[graph:\s*[^\]]*\]", r"\[margin:\s*[^\]]*\]", r"\[inserted:\s*[^\]]*\]", r"\[empty\]", r"\[crossed out[^\]]*\]")
 UNCERTAIN = r"(?i)\[\?\]|\?\?\?|\[illegible[^\]]*\]|\[unclear\]|unable to read"
@@ -33,11 +35,7 @@ def normalise(text: Column) -> Column:
 
 def nfc(text: Column) -> Column:
     """Canonical composition; Spark has no built-in for it."""
-    @F.pandas_udf("string")
-    def compose(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFC")
-
-    return compose(text)
+    return in_pieces(lambda: lambda s: s.str.normalize("NFC"), "string")(text)
 
 
 def _rate(edits: Column, size: Column, hyp_size: Column) -> Column:
@@ -52,12 +50,34 @@ def char_error(hyp: Column, ref: Column) -> Column:
 
 
 def distance(a, b) -> int:
-    """Edit distance of two sequences of any length: a column of the table at a time, as bits of whole numbers."""
+    """Edit distance of two sequences of any length: a column of the table at a time, as bits of whole numbers.
+
+    Only diagonals that an alignment of at most ``most`` edits can reach are worked out; ``most`` doubles until the distance is within.
+    """
     if len(a) < len(b):
         a, b = b, a
-    n = len(b)
-    if n == 0:
+    if not len(b):
         return len(a)
+    bound = len(a) - len(b) + sum(x != y for x, y in zip(a, b))
+    most = min(bound, max(64, len(a) // 3, len(a) - len(b)))
+    while True:
+        edits = _within(a, b, most)
+        if edits <= most or most >= bound:
+            return edits
+        most = min(bound, 2 * most)
+
+
+def _within(a, b, most: int) -> int:
+    """The edit distance if it is at most ``most``, else some number of edits that suffices; ``a`` is not the shorter one.
+
+    Rows are the places of ``b``. A stretch of columns sees the rows that its diagonals meet: rows above it are left at the
+    cost of moving along their last one, rows below it come in at one edit each, so no value is too low, and those of
+    alignments within the diagonals are exact.
+    """
+    m, n = len(a), len(b)
+    less = m - n  # the last diagonal
+    apart = max(0, most - less) // 2
+    above, below = less + apart, apart
     at: dict = {}
     for k, x in enumerate(b):
         at.setdefault(x, []).append(k)
@@ -67,16 +87,29 @@ def distance(a, b) -> int:
         for k in places:
             bits[k >> 3] |= 1 << (k & 7)
         at[x] = int.from_bytes(bits, "little")
-    full, top = (1 << n) - 1, 1 << (n - 1)
-    plus, minus, edits = full, 0, n
-    for x in a:
-        same = at.get(x, 0) | minus
-        flat = (((same & plus) + plus) ^ plus) | same
-        up, down = minus | (full & ~(plus | flat)), plus & flat
-        edits += bool(up & top) - bool(down & top)
-        up, down = ((up << 1) | 1) & full, (down << 1) & full
-        plus, minus = down | (full & ~(flat | up)), up & flat
-    return edits
+    step = max(256, (above + below) // 4)
+    plus, minus, edits, low, high = 0, 0, 0, 0, 0
+    for start in range(0, m, step):
+        end = min(m, start + step)
+        first, last = min(n, max(0, start - above)), min(n, end + below)
+        drop = first - low
+        if drop:
+            gone = (1 << drop) - 1
+            edits += (plus & gone).bit_count() - (minus & gone).bit_count()
+            plus, minus = plus >> drop, minus >> drop
+        plus |= ((1 << (last - high)) - 1) << (high - first)
+        low, high = first, last
+        full, own = (1 << (high - low)) - 1, {}
+        for x in a[start:end]:
+            same = own.get(x)
+            if same is None:
+                same = own[x] = at.get(x, 0) >> low & full
+            same |= minus
+            flat = ((((same & plus) + plus) ^ plus) | same) & full
+            up = (minus | (plus | flat) ^ full) << 1 | 1
+            minus, plus = up & flat, ((plus & flat) << 1 | (up | flat) ^ full) & full
+        edits += end - start
+    return edits + plus.bit_count() - minus.bit_count()
 
 
 def _differing(a, b) -> tuple:
@@ -90,14 +123,17 @@ def _differing(a, b) -> tuple:
     return a[at : len(a) - end], b[at : len(b) - end]
 
 
-def edits_between(a: Column, b: Column) -> Column:
-    """Edit distance of strings or of word lists, whole; Spark's own takes minutes for texts of some ten thousand characters."""
+def edits_between(a: Column, b: Column, once: bool = False) -> Column:
+    """Edit distance of strings or of word lists, whole; Spark's own takes minutes for texts of some ten thousand characters.
+
+    ``once``: a filter on the result must not be pushed below it, where it would be worked out a second time.
+    """
 
-    @F.pandas_udf("int")
     def edits(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else distance(*_differing(p, q)) for p, q in zip(x, y)], dtype="Int32")
 
-    return edits(a, b)
+    run = in_pieces(lambda: edits, "int", 2)
+    return (run.asNondeterministic() if once else run)(a, b)
 
 
 def word_error(hyp: Column, ref: Column) -> Column:
@@ -111,10 +147,10 @@ def plain_error(hyp: Column, ref: Column) -> Column:
     return F.when(F.char_length(ref) == 0, 0.0).otherwise(edits_between(hyp, ref) / F.nullif(F.char_length(ref), F.lit(0)))
 
 
-def change_ratio(a: Column, b: Column) -> Column:
-    """Edits over the longer length: 0 for two empty texts, 1 for one."""
+def change_ratio(a: Column, b: Column, once: bool = False) -> Column:
+    """Edits over the longer length: 0 for two empty texts, 1 for one; ``once`` as in ``edits_between``."""
     longest = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(longest == 0, 0.0).otherwise(edits_between(a, b) / F.nullif(longest, F.lit(0)))
+    return F.when(longest == 0, 0.0).otherwise(edits_between(a, b, once) / F.nullif(longest, F.lit(0)))
 
 
 def marker_rate(text: Column) -> Column:
