@@ -7,13 +7,13 @@ depend on arrival.
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkledger.functions import text
+from inkledger.functions.matching import SequenceMatcher
+from inkledger.functions.pieces import in_pieces
 
 #: Look-alike strings and their canonical form (the first two columns are interchangeable readings).
 LOOKALIKES = (("rn", "m"), ("cl", "d"), ("ri", "n"), ("uu", "w"), ("u", "v"), ("a", "o"), ("n", "h"), ("e", "c"), ("f", "t"), ("q", "g"), ("0", "O"), ("1", "l"), ("1", "I"), ("I", "l"), ("5", "S"), ("2", "Z"), ("6", "G"), ("8", "B"))
@@ -35,7 +35,7 @@ def agreement(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         pairs = [(line_words(p), line_words(q)) for p, q in zip(x, y)]
-        return pd.Series([SequenceMatcher(None, p, q).ratio() if p and q else float(not p and not q) for p, q in pairs])
+        return pd.Series([SequenceMatcher(p, q).ratio() if p and q else float(not p and not q) for p, q in pairs])
 
     return ratio(a, b)
 
@@ -46,7 +46,7 @@ def word_diff(a: Column, b: Column, most: int = 30) -> Column:
     def differ(p: str, q: str) -> list[dict]:
         x, y = line_words(p), line_words(q)
         join = lambda ws: " ".join(w for w in ws if w != "\n") or "(empty)"
-        found = [{"pos": i, "word_a": join(x[i:j]), "word_b": join(y[m:n])} for tag, i, j, m, n in SequenceMatcher(None, x, y).get_opcodes() if tag != "equal"]
+        found = [{"pos": i, "word_a": join(x[i:j]), "word_b": join(y[m:n])} for tag, i, j, m, n in SequenceMatcher(x, y).get_opcodes() if tag != "equal"]
         return [d for d in found if d["word_a"] != d["word_b"]][:most]
 
     @F.pandas_udf("array<struct<pos:int,word_a:string,word_b:string>>")
@@ -61,7 +61,7 @@ def error_taxonomy(hyp: Column, ref: Column) -> Column:
 
     def count(h: str, r: str) -> dict:
         out = dict.fromkeys(("confusion_pair", "substitution", "insertion", "deletion"), 0)
-        for tag, i, j, m, n in SequenceMatcher(None, r or "", h or "").get_opcodes():
+        for tag, i, j, m, n in SequenceMatcher(r or "", h or "").get_opcodes():
             if tag == "replace":
                 pairs = list(zip((r or "")[i:j], (h or "")[m:n]))
                 near = sum(frozenset(p) in CONFUSED for p in pairs)
@@ -75,11 +75,11 @@ def error_taxonomy(hyp: Column, ref: Column) -> Column:
                 out["insertion"] += n - m
         return out
 
-    @F.pandas_udf("confusion_pair int, substitution int, insertion int, deletion int")
     def classify(h: pd.Series, r: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([count(x, y) for x, y in zip(h, r)], columns=["confusion_pair", "substitution", "insertion", "deletion"])
 
-    return classify(text.normalise(hyp), text.normalise(ref))
+    counts = in_pieces(lambda: classify, "confusion_pair int, substitution int, insertion int, deletion int", 2)
+    return counts(text.normalise(hyp), text.normalise(ref))
 
 
 def pair_name(other: str, canonical: str) -> str:
@@ -100,7 +100,7 @@ def resolve_characters(candidates: list[str], weights: list[float] | None = None
         return words[0] if len(words) == 1 else None
     left, right = words
     out = ""
-    for tag, i, j, m, n in SequenceMatcher(None, left, right).get_opcodes():
+    for tag, i, j, m, n in SequenceMatcher(left, right).get_opcodes():
         x, y = left[i:j], right[m:n]
         stretch = [(x, y)] if (x, y) in PAIRS or tag == "equal" else list(zip(x, y)) if len(x) == len(y) else [(x, y)]
         for p, q in stretch:
@@ -125,7 +125,7 @@ def vote_words(texts: list[str], weights: list[float], habits: dict[str, str] |
     votes: list[dict[str, float]] = [{} for _ in anchor]
     for k, t in enumerate(texts):
         words = line_words(t)
-        for tag, i, j, m, n in SequenceMatcher(None, anchor, words).get_opcodes() if k != anchor_at else [("equal", 0, len(anchor), 0, len(anchor))]:
+        for tag, i, j, m, n in SequenceMatcher(anchor, words).get_opcodes() if k != anchor_at else [("equal", 0, len(anchor), 0, len(anchor))]:
             if tag == "equal":
                 for p in range(i, j):
                     votes[p][anchor[p]] = votes[p].get(anchor[p], 0.0) + weights[k]
@@ -218,7 +218,7 @@ def lessons_from(model: Column, corrected: Column) -> Column:
 
     def lessons(a: str, b: str) -> list[str]:
         x, y, out = (a or "").split(), (b or "").split(), []
-        for tag, i, j, m, n in SequenceMatcher(None, x, y).get_opcodes():
+        for tag, i, j, m, n in SequenceMatcher(x, y).get_opcodes():
             p, q = " ".join(x[i:j]), " ".join(y[m:n])
             if tag == "replace":
                 out.append(f"Model read '{p}' but correct reading is '{q}'")
@@ -228,8 +228,7 @@ def lessons_from(model: Column, corrected: Column) -> Column:
                 out.append(f"Model missed '{q}'")
         return out
 
-    @F.pandas_udf("array<string>")
     def extract(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([lessons(p, q) for p, q in zip(a, b)])
+        return pd.Series([lessons(p, q) for p, q in zip(a, b)], dtype=object)
 
-    return extract(model, corrected)
+    return in_pieces(lambda: extract, "array<string>", 2)(model, corrected)
