@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkledger.functions import numeric
+from inkledger.functions.pieces import in_pieces
 
 
 #: Numbers in all profiles that are broadcast together.
@@ -66,16 +67,15 @@ def similar_sets(members: DataFrame, threshold: float) -> DataFrame:
 def _grams(n: int):
     """Distinct hashes of a text's lower-case word n-grams: Arrow batches, once over the words, where column functions copy every gram."""
 
-    @F.pandas_udf("array<long>")
     def grams(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
             words = (t or "").lower().split()
             found = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if len(words) >= n else [" ".join(words)] if words else []
             out.append(pd.util.hash_array(np.array(sorted(set(found)), object), categorize=False).view(np.int64) if found else np.zeros(0, np.int64))
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
-    return grams
+    return in_pieces(lambda: grams, "array<long>")
 
 
 def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
