@@ -47,7 +47,7 @@ PAD = bytes([END]) * 5
 BUCKET_ROWS, MIXER_ROWS = 1 << 20, 1 << 18
 #: log2 of the hashed contexts of order 2.
 SLOT_BITS = 14
-#: Added to bit counts, learning rate, decisions a batch, passes, decisions that teach weights, cells of the adaptive map, its inertia.
+#: Added to bit counts, learning rate, decisions a batch, passes, decisions of all passes (all training decisions pass once at least), cells of the adaptive map, its inertia.
 PRIOR, RATE, BATCH, PASSES, TEACH, CELLS, INERTIA = 0.15, 0.03, 4096, 12, 1 << 20, 33, 20
 FLOOR = 1e-5
 ORDERS, GATES = 5, 60
@@ -342,8 +342,8 @@ class Mixer:
         """Weights and map from training decisions, batch by batch, in an order that mixes all contexts."""
         taught = np.flatnonzero(self.weight > 0)
         taught = taught[np.argsort(c.mix(taught.astype(np.uint64)), kind="stable")]
-        momentum, few = np.zeros_like(self.mix), min(len(taught), TEACH)
-        steps = [(at, k) for k in reversed(range(min(PASSES, TEACH // max(1, few)))) for at in range(0, few, BATCH)]
+        momentum, few = np.zeros_like(self.mix), len(taught)
+        steps = [(at, k) for k in reversed(range(min(PASSES, max(1, TEACH // max(1, few))))) for at in range(0, few, BATCH)]
         for at, left in steps:
             pick = taught[at : at + BATCH]
             odds, gate = self.inputs(pick, True)

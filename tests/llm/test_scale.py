@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from inkledger.llm import fingerprint, jaccard_join
+from inkledger.llm import context_mixing, fingerprint, jaccard_join
 
 
 def test_op9_range_of_one_row(spark):
@@ -41,3 +41,15 @@ def test_op3_sets_of_common_shingles_meet():
                 assert 100 * both >= 85 * (len(a) + len(b) - both)
                 r, s, _ = jaccard_join.signatures(np.repeat([0, 1], [len(a), len(b)]), np.r_[a, b], np.array([len(a), len(b)]), rare, 85, 100, tops, 100)
                 assert set(s[r == 0]) & set(s[r == 1]), (common, n)
+
+
+def test_op13_every_training_decision_teaches(monkeypatch):
+    """Large mixers too learn from all of their decisions, at least once."""
+    monkeypatch.setattr(context_mixing, "TEACH", 10)
+    shared = context_mixing.Shared(np.array([1 << 40 | 97 << 16 | 97 << 8 | 98, 1 << 40 | 98 << 16 | 98 << 8 | 97]), np.array([5.0, 3.0]))
+    grams = np.array([int.from_bytes(b"ababa", "little") | s << 40 for s in range(256)])
+    mixer = context_mixing.Mixer(shared, grams, grams >> 40 & 1)
+    seen, plain = [], mixer.inputs
+    mixer.inputs = lambda pick, out: (seen.append(pick), plain(pick, out))[1]
+    mixer.teach()
+    assert sorted(np.concatenate(seen).tolist()) == np.flatnonzero(mixer.weight > 0).tolist()
