@@ -310,8 +310,8 @@ class Cell:
         lists = ragged(self.list_at[tokens], self.list_at[tokens + 1] - self.list_at[tokens])
         return np.bincount(self.list_set[lists], minlength=len(self.size))
 
-    def skipping(self, k: int) -> np.ndarray:
-        """Links of set ``k`` by prefix lists; a list is left at the first position from which no link can follow."""
+    def skipping(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links of set ``k`` and their overlaps by prefix lists; a list is left at the first position from which no link can follow."""
         own, found = self.of(k), []
         for i, t in enumerate(own[: self.prefix[k]].tolist()):
             a, b = self.list_at[t], self.list_at[t + 1]
@@ -323,19 +323,20 @@ class Cell:
             room = 1 + np.minimum(self.size[k] - i - 1, self.size[sets] - place - 1)
             found.append(sets[room * (self.den + self.num) >= self.num * (self.size[k] + self.size[sets])])
         if not found:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         maybe = np.unique(np.concatenate(found))
         maybe = maybe[(self.size[maybe] * self.den >= self.num * self.size[k]) & (self.size[maybe] * self.num <= self.den * self.size[k]) & (maybe != k)]
         if not len(maybe):
-            return maybe
+            return maybe, maybe
         self.mark[own] = 1
         inside = self.mark[self.token[ragged(self.begins[maybe], self.size[maybe])]]
         self.mark[own] = 0
         overlap = np.add.reduceat(inside, np.cumsum(self.size[maybe]) - self.size[maybe], dtype=np.int64)
-        return maybe[self.linked(k, maybe, overlap)]
+        hit = self.linked(k, maybe, overlap)
+        return maybe[hit], overlap[hit]
 
-    def answers(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(set, linked sets) for every set, neighbours in content after one another."""
+    def answers(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(set, linked sets, overlaps with them) for every set, neighbours in content after one another."""
         before, overlap = -1, None
         for k in np.lexsort((self.size, self.token[self.begins])).tolist():
             own = self.of(k)
@@ -348,10 +349,11 @@ class Cell:
                     overlap = overlap - self.overlaps(lost) + self.overlaps(gained)
                     hit = np.flatnonzero(self.linked(k, np.arange(len(self.size)), overlap))
                     before = k
-                    yield k, hit[hit != k]
+                    hit = hit[hit != k]
+                    yield k, hit, overlap[hit]
                     continue
             before, overlap = k, None
-            yield k, self.skipping(k)
+            yield k, *self.skipping(k)
 
 
 def join_cell(size: np.ndarray, value: np.ndarray, copies: np.ndarray, side: np.ndarray | None, num: int, den: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -361,7 +363,7 @@ def join_cell(size: np.ndarray, value: np.ndarray, copies: np.ndarray, side: np.
     """
     cell, n = Cell(size.astype(np.int64), value, num, den), len(size)
     label, links = np.arange(n), np.zeros(n, np.int64)
-    for k, hit in cell.answers():
+    for k, hit, _ in cell.answers():
         hit = hit[np.maximum(size[hit], size[k]) > least]
         if side is not None:
             hit = hit[side[hit] != side[k]]
@@ -372,53 +374,96 @@ def join_cell(size: np.ndarray, value: np.ndarray, copies: np.ndarray, side: np.
     return label, links
 
 
-def _join(num: int, den: int):
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray | None]]:
+    """(sets, their shingles, side of each set in a cell of two blocks) of a task's cells.
+
+    Only the cell at hand is put together; its sets lie in several blobs.
+    """
     fixed = sum(np.dtype(k).itemsize for _, k in SET)
+    blobs, cols = [], []
+    for batch in batches:
+        for blob in batch.column("payload"):
+            blob = blob.as_py()
+            n = int(np.frombuffer(blob, np.int64, 1)[0])
+            own = c.unpack(SET, blob[8 : 8 + n * fixed])
+            size = own["size"].astype(np.int64)
+            cols.append(own | {"blob": np.full(n, len(blobs)), "at": np.cumsum(size) - size})
+            blobs.append(np.frombuffer(pa.decompress(blob[8 + n * fixed :], 8 * int(size.sum()), "zstd"), np.uint64))
+    if not cols:
+        return
+    x = {k: np.concatenate([y[k] for y in cols]) for k in cols[0]}
+    cols.clear()
+    x["size"] = x["size"].astype(np.int64)
+    order = np.lexsort((x["lo"], x["hi"], x["j"], x["i"], x["root"]))
+    order = order[c.run_starts(*(x[k][order] for k in ("root", "i", "j", "hi", "lo")))]
+    edges = np.r_[c.run_starts(*(x[k][order] for k in ("root", "i", "j"))), len(order)]
+    for s, e in zip(edges, edges[1:]):
+        own = order[s:e]
+        i, j = int(x["i"][own[0]]), int(x["j"][own[0]])
+        value = np.concatenate([blobs[x["blob"][k]][x["at"][k] : x["at"][k] + x["size"][k]] for k in own])
+        yield {k: v[own] for k, v in x.items()}, value, None if i == j else x["part"][own] == j
+
 
+def _join(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # only the cell at hand is put together; its sets lie in several blobs
-        blobs, cols = [], []
-        for batch in batches:
-            for blob in batch.column("payload"):
-                blob = blob.as_py()
-                n = int(np.frombuffer(blob, np.int64, 1)[0])
-                own = c.unpack(SET, blob[8 : 8 + n * fixed])
-                size = own["size"].astype(np.int64)
-                cols.append(own | {"blob": np.full(n, len(blobs)), "at": np.cumsum(size) - size})
-                blobs.append(np.frombuffer(pa.decompress(blob[8 + n * fixed :], 8 * int(size.sum()), "zstd"), np.uint64))
-        if not cols:
-            return
-        x = {k: np.concatenate([y[k] for y in cols]) for k in cols[0]}
-        cols.clear()
-        size, floors = x["size"].astype(np.int64), [0, *levels(num, den).tolist()]
-        order = np.lexsort((x["lo"], x["hi"], x["j"], x["i"], x["root"]))
-        order = order[c.run_starts(*(x[k][order] for k in ("root", "i", "j", "hi", "lo")))]
-        edges = np.r_[c.run_starts(*(x[k][order] for k in ("root", "i", "j"))), len(order)]
+        floors = [0, *levels(num, den).tolist()]
         a, b, count, ready = [], [], [], 0
-        for s, e in zip(edges, edges[1:]):
-            own = order[s:e]
-            i, j = int(x["i"][own[0]]), int(x["j"][own[0]])
-            side = None if i == j else x["part"][own] == j
-            value = np.concatenate([blobs[x["blob"][k]][x["at"][k] : x["at"][k] + size[k]] for k in own])
-            label, links = join_cell(size[own], value, x["copies"][own], side, num, den, floors[x["scheme"][own[0]]])
-            node = x["lo"][own].view(np.int64)
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in (a, b, count)], names=["a", "b", "links"])
+
+        for x, value, side in _cells(batches):
+            label, links = join_cell(x["size"], value, x["copies"], side, num, den, floors[x["scheme"][0]])
+            node = x["lo"].view(np.int64)
             a.append(node), b.append(node[label]), count.append(links)
-            ready += len(own)
-            if ready > c.CHUNK_BYTES or e == len(order):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in (a, b, count)], names=["a", "b", "links"])
+            ready += len(node)
+            if ready > c.CHUNK_BYTES:
+                yield flush()
                 a, b, count, ready = [], [], [], 0
+        if ready:
+            yield flush()
+
+    return run
+
+
+def _pairs(num: int, den: int):
+    """Each link once, with the sizes of both sets and their overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors = [0, *levels(num, den).tolist()]
+        held, ready = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*held)], names=["a", "b", "na", "nb", "overlap"])
+
+        for x, value, side in _cells(batches):
+            size, node, least = x["size"], x["lo"].view(np.int64), floors[x["scheme"][0]]
+            for k, hit, overlap in Cell(size, value, num, den).answers():
+                take = (hit > k) & (np.maximum(size[hit], size[k]) > least)
+                if side is not None:
+                    take &= side[hit] != side[k]
+                hit, n = hit[take], int(take.sum())
+                if n:
+                    held.append((np.full(n, node[k]), node[hit], np.full(n, size[k]), size[hit], overlap[take].astype(np.int64)))
+                    ready += n
+                if ready > c.CHUNK_BYTES // 4:
+                    yield flush()
+                    held, ready = [], 0
+        if ready:
+            yield flush()
 
     return run
 
 
 def describe(docs: DataFrame, q: int, num: int, den: int) -> DataFrame:
     """doc_id, ver, n_shingles, the set's name (hi, lo) and its nodes in its size schemes, as a table."""
-    sets = docs.mapInArrow(c.tidy(_describe(q, num, den)), "doc_id long, ver long, n_shingles long, hi long, lo long, level int, node long, node_up long")
+    key = docs.schema["doc_id"].dataType.simpleString()
+    sets = docs.mapInArrow(c.tidy(_describe(q, num, den)), f"doc_id {key}, ver long, n_shingles long, hi long, lo long, level int, node long, node_up long")
     return c.write_table(sets, "jaccard-sets")
 
 
-def link_groups(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, block: int = BLOCK, mass: int = MASS) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of linked sets' groups, and (node, links): how many documents with another set it links with."""
+def cells_of(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, block: int = BLOCK, mass: int = MASS) -> DataFrame:
+    """The sets of clusters that hold every link, dealt out by cell."""
     buckets = c.partitions(docs.sparkSession)
     lists = c.exchange(docs.mapInArrow(c.tidy(_sign(q, num, den, buckets, rarity(docs, q))), c.PACKED), buckets)
     near = c.write_table(lists.mapInArrow(c.tidy(_leaders), "a long, b long").distinct(), "jaccard-near")
@@ -433,12 +478,23 @@ def link_groups(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, bl
     member = member.join(width, "root").select("doc_id", "ver", "root", "scheme", "copies", "parts", F.pmod("hi", "parts").alias("part"))
     d, m = docs.alias("d"), member.alias("m").hint("shuffle_hash")
     texts = d.join(m, F.expr("d.doc_id <=> m.doc_id and d.ver = m.ver")).select("d.text", "m.root", "m.scheme", "m.copies", "m.parts", "m.part")
-    cells = c.exchange(texts.mapInArrow(c.tidy(_ship(q, buckets * CELL_SPLIT)), c.PACKED), buckets * CELL_SPLIT)
+    return c.exchange(texts.mapInArrow(c.tidy(_ship(q, buckets * CELL_SPLIT)), c.PACKED), buckets * CELL_SPLIT)
+
+
+def link_groups(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, block: int = BLOCK, mass: int = MASS) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of linked sets' groups, and (node, links): how many documents with another set it links with."""
+    cells = cells_of(docs, sets, q, num, den, block, mass)
     linked = c.write_table(cells.mapInArrow(c.tidy(_join(num, den)), "a long, b long, links long"), "jaccard-links")
     groups = components(linked, "jaccard-groups")
     return groups, linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 
 
+def set_links(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, block: int = BLOCK, mass: int = MASS) -> DataFrame:
+    """(a, b, na, nb, overlap): each pair of linked sets once, by their names ``lo``, with their sizes."""
+    cells = cells_of(docs, sets, q, num, den, block, mass)
+    return c.write_table(cells.mapInArrow(c.tidy(_pairs(num, den)), "a long, b long, na long, nb long, overlap long"), "jaccard-pairs")
+
+
 def labelled(docs: DataFrame, q: int, num: int, den: int, block: int = BLOCK, mass: int = MASS) -> DataFrame:
     """The columns of ``jaccard_groups`` and ``class``, which names a row's group; null for an empty set."""
     base = c.docs_with_version(docs)

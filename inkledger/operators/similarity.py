@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.functions import numeric
-from inkledger.functions.pieces import in_pieces
+from inkledger.llm import common, jaccard_join
 
 
 #: Numbers in all profiles that are broadcast together.
 FEW = 1 << 21
 
 
+#: Copies of one text in a row; the pairs of more are dealt out by stretches of as many.
+STRETCH = 1 << 10
+#: White space besides ASCII's.
+BLANKS = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def similar_texts(df: DataFrame, key: str, body: str, threshold: float = 0.85, n: int = 3) -> DataFrame:
     """Pairs (a, b, score), a < b, whose n-gram sets have a Jaccard similarity of ``threshold`` or more.
 
-    Only the rarest grams of each set are joined on: a pair that is similar enough shares one of the first
-    size - ceil(threshold * size) + 1 grams in a common order from rare to frequent. Candidates are then compared on whole sets.
+    Sets meet as in ``llm.jaccard_join``: by the contents of hashed parts, so grams are never exchanged one by one, and only
+    the sets of clusters are compared. Low thresholds need many parts a set.
     """
-    members = df.select(F.col(key).alias("k"), _grams(n)(F.col(body)).alias("grams")).where(F.size("grams") > 0)
-    return _all_pairs(members, similar_sets(members, threshold))
+    sets, links = _sets_and_links(df, key, body, threshold, n)
+    return _all_pairs(sets, links)
 
 
-def _all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of keys from those of classes: each with its own copies, and with those of linked classes."""
-    own = members.groupBy("grams").agg(F.min("k").alias("of"), F.collect_list("k").alias("keys")).select("of", "keys")
-    same = own.where(F.size("keys") > 1).select(F.explode("keys").alias("a"), "keys").select("a", F.explode("keys").alias("b"), F.lit(1.0).alias("score")).where("a < b")
-    left, right = own.select(F.col("of").alias("a"), F.col("keys").alias("ka")), own.select(F.col("of").alias("b"), F.col("keys").alias("kb"))
-    across = links.join(left, "a").join(right, "b").select(F.explode("ka").alias("x"), "kb", "score").select("x", F.explode("kb").alias("y"), "score")
-    return same.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score"))
+def _all_pairs(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of keys: each with the copies of its own text, and with those of linked texts."""
+    own = sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.collect_list("doc_id").alias("keys"))
+    at = F.sequence(F.lit(1), F.greatest(F.size("keys"), F.lit(1)), F.lit(STRETCH))
+    own = own.where(F.size("keys") > 0).select("lo", F.transform(at, lambda i: F.slice("keys", i, STRETCH)).alias("keys"))
+    twice = own.where((F.size("keys") > 1) | (F.size(F.col("keys")[0]) > 1)).select(F.posexplode("keys").alias("i", "ka"), "keys")
+    same = twice.select("i", "ka", F.posexplode("keys").alias("j", "kb")).where("i <= j").select("ka", "kb", (F.col("i") == F.col("j")).alias("one"), F.lit(1.0).alias("score"))
+    left, right = (own.select(F.col("lo").alias(k), F.col("keys").alias(f"k{k}s")) for k in ("a", "b"))
+    across = links.join(left, "a").join(right, "b").select(F.explode("kas").alias("ka"), "kbs", "score").select("ka", F.explode("kbs").alias("kb"), F.lit(False).alias("one"), "score")
+    # so that the pairs of one large group do not fall to one task
+    dealt = same.unionByName(across).repartition(F.xxhash64("ka"), F.xxhash64("kb"))
+    each = dealt.select(F.explode("ka").alias("x"), "kb", "one", "score").select("x", F.explode("kb").alias("y"), "one", "score")
+    return each.where(F.when(F.col("one"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
 
 
 def similar_classes(df: DataFrame, key: str, body: str, threshold: float = 0.85, n: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -39,43 +49,24 @@ def similar_classes(df: DataFrame, key: str, body: str, threshold: float = 0.85,
 
     The same links as ``similar_texts``, without writing every pair of copies out.
     """
-    members = df.select(F.col(key).alias("k"), _grams(n)(F.col(body)).alias("grams")).where(F.size("grams") > 0)
-    of = members.groupBy("grams").agg(F.min("k").alias("class"))
-    return members.join(of, "grams").select(F.col("k").alias(key), "class"), similar_sets(members, threshold)
-
-
-def similar_sets(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, score), a < b, of the least keys of unequal sets; ``members`` has k and grams."""
-    sets = members.groupBy("grams").agg(F.min("k").alias("k")).select("k", "grams", F.size("grams").alias("size"))
-    rows = sets.select("k", "size", F.explode("grams").alias("g"))
-    seen = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    order = Window.partitionBy("k").orderBy("df", "g")
-    shared = rows.join(seen, "g")
-    # grams that occur once come first in every set's order and match nothing, so only their number counts
-    count = Window.partitionBy("k")
-    ranked = shared.withColumn("at", F.row_number().over(order) + F.col("size") - F.count(F.lit(1)).over(count))
-    prefix = ranked.where(F.col("at") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).select("k", "size", "g")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    fits = (F.col("a.size") >= F.col("b.size") * threshold - 1e-9) & (F.col("b.size") >= F.col("a.size") * threshold - 1e-9)
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k")) & fits).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    left, right = sets.select(F.col("k").alias("a"), F.col("grams").alias("ga"), F.col("size").alias("na")), sets.select(F.col("k").alias("b"), F.col("grams").alias("gb"), F.col("size").alias("nb"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("c"))
-    exact = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    return scored.where(exact >= threshold).select("a", "b", F.round(exact, 4).alias("score"))
-
-
-def _grams(n: int):
-    """Distinct hashes of a text's lower-case word n-grams: Arrow batches, once over the words, where column functions copy every gram."""
-
-    def grams(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            words = (t or "").lower().split()
-            found = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if len(words) >= n else [" ".join(words)] if words else []
-            out.append(pd.util.hash_array(np.array(sorted(set(found)), object), categorize=False).view(np.int64) if found else np.zeros(0, np.int64))
-        return pd.Series(out, dtype=object)
-
-    return in_pieces(lambda: grams, "array<long>")
+    sets, links = _sets_and_links(df, key, body, threshold, n)
+    own = sets.where("n_shingles > 0")
+    of = own.groupBy("hi", "lo").agg(F.min("doc_id").alias("class"))
+    left, right = (of.select(F.col("lo").alias(k), F.col("class").alias(f"class_{k}")) for k in ("a", "b"))
+    between = links.join(left, "a").join(right, "b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), "score")
+    return own.join(of, ["hi", "lo"]).select(F.col("doc_id").alias(key), "class"), between
+
+
+def _sets_and_links(df: DataFrame, key: str, body: str, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """(each row's set: doc_id, n_shingles, hi, lo; links between unequal sets: a, b by ``lo``, score)."""
+    words = F.translate(F.lower(F.coalesce(F.col(body), F.lit(""))), BLANKS, " " * len(BLANKS))
+    docs = df.select(F.col(key).alias("doc_id"), words.alias("text")).withColumn("ver", F.crc32("text"))
+    docs = common.write_table(docs, "similarity-texts")  # read four times
+    num, den = max(1, int((threshold - 1e-9) * 10_000)), 10_000  # a little less; the exact score decides
+    sets = jaccard_join.describe(docs, n, num, den)
+    links = jaccard_join.set_links(docs, sets, n, num, den)
+    exact = F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))
+    return sets, links.where(exact >= threshold).select("a", "b", F.round(exact, 4).alias("score"))
 
 
 def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
