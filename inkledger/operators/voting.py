@@ -32,12 +32,11 @@ def line_words(s: str) -> list[str]:
 def agreement(a: Column, b: Column) -> Column:
     """Matching ratio of the word sequences: 1 for two empty texts, 0 for one."""
 
-    @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         pairs = [(line_words(p), line_words(q)) for p, q in zip(x, y)]
         return pd.Series([SequenceMatcher(p, q).ratio() if p and q else float(not p and not q) for p, q in pairs])
 
-    return ratio(a, b)
+    return in_pieces(lambda: ratio, "double", 2)(a, b)
 
 
 def word_diff(a: Column, b: Column, most: int = 30) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from inkledger.functions import matching, numeric, pieces, raster, text
-from inkledger.operators import lines
+from inkledger.operators import correction, lines
 
 
 def test_composite_cost_shows_as_one_sum(spark):
@@ -78,3 +78,19 @@ def test_matching_has_the_blocks_of_the_library():
         a = [r.randrange(k) for _ in range(r.randrange(n))]
         b = [x if r.random() < 0.9 else r.randrange(k) for x in a if r.random() < 0.95]
         assert matching.SequenceMatcher(a, b).get_opcodes() == difflib.SequenceMatcher(None, a, b).get_opcodes()
+
+
+def test_distances_share_a_worker(spark):
+    """Each Python stage of a plan keeps a worker of its own in every task; an evaluation's distances run in one."""
+    pairs = spark.createDataFrame([(1, "the rnembrane", "the membrane"), (2, None, "x"), (3, "", ""), (4, "abc", None)], "key int, corrupted string, clean string")
+    out = correction.evaluate(pairs)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= 2
+    assert out.head()["n"] == 4
+
+
+def test_columns_of_arrow_slices(spark):
+    rows = [(k, None if k % 7 == 0 else "é" * (k % 5) + " a b", None if k % 11 == 0 else ["a", "b"] * (k % 3)) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "k int, t string, w array<string>").repartition(2, "k")
+    pair = pieces.in_pieces(lambda: lambda t, w: pd.DataFrame({"n": [None if x is None else len(x) for x in t], "w": [None if x is None else list(x) for x in w]}), "n int, w array<string>", 2)
+    assert {(r.k, r.p.n, None if r.p.w is None else tuple(r.p.w)) for r in frame.select("k", pair("t", "w").alias("p")).collect()} == {(k, None if t is None else len(t), None if w is None else tuple(w)) for k, t, w in rows}
+    assert frame.where("k < 0").select(text.edits_between(F.col("t"), F.col("t"))).count() == 0
