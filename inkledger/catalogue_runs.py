@@ -407,5 +407,4 @@ WITH k AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'),
 g AS (SELECT doc_id, CASE WHEN len(t) >= 3 THEN list_sort(list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] END AS g FROM k)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS class FROM g WHERE g IS NOT NULL""")
 def similar_text_classes(spark, sf_dir):
-    members, _ = similarity.similar_classes(_spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
-    return members
+    return similarity.text_classes(_spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")

@@ -50,19 +50,39 @@ def similar_classes(df: DataFrame, key: str, body: str, threshold: float = 0.85,
     The same links as ``similar_texts``, without writing every pair of copies out.
     """
     sets, links = _sets_and_links(df, key, body, threshold, n)
-    own = sets.where("n_shingles > 0")
-    of = own.groupBy("hi", "lo").agg(F.min("doc_id").alias("class"))
+    of = _named(sets)
     left, right = (of.select(F.col("lo").alias(k), F.col("class").alias(f"class_{k}")) for k in ("a", "b"))
     between = links.join(left, "a").join(right, "b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), "score")
-    return own.join(of, ["hi", "lo"]).select(F.col("doc_id").alias(key), "class"), between
+    return _members(sets, key), between
+
+
+def text_classes(df: DataFrame, key: str, body: str, n: int = 3) -> DataFrame:
+    """The members of ``similar_classes`` alone, without looking for links."""
+    return _members(jaccard_join.describe(_docs(df, key, body), n, *_ratio(0.85)), key)
+
+
+def _named(sets: DataFrame) -> DataFrame:
+    return sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("class"))
+
+
+def _members(sets: DataFrame, key: str) -> DataFrame:
+    return sets.where("n_shingles > 0").join(_named(sets), ["hi", "lo"]).select(F.col("doc_id").alias(key), "class")
+
+
+def _docs(df: DataFrame, key: str, body: str) -> DataFrame:
+    words = F.translate(F.lower(F.coalesce(F.col(body), F.lit(""))), BLANKS, " " * len(BLANKS))
+    return df.select(F.col(key).alias("doc_id"), words.alias("text")).withColumn("ver", F.crc32("text"))
+
+
+def _ratio(threshold: float) -> tuple[int, int]:
+    """A little less than ``threshold``; the exact score decides."""
+    return max(1, int((threshold - 1e-9) * 10_000)), 10_000
 
 
 def _sets_and_links(df: DataFrame, key: str, body: str, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
     """(each row's set: doc_id, n_shingles, hi, lo; links between unequal sets: a, b by ``lo``, score)."""
-    words = F.translate(F.lower(F.coalesce(F.col(body), F.lit(""))), BLANKS, " " * len(BLANKS))
-    docs = df.select(F.col(key).alias("doc_id"), words.alias("text")).withColumn("ver", F.crc32("text"))
-    docs = common.write_table(docs, "similarity-texts")  # read four times
-    num, den = max(1, int((threshold - 1e-9) * 10_000)), 10_000  # a little less; the exact score decides
+    docs = common.write_table(_docs(df, key, body), "similarity-texts")  # read four times
+    num, den = _ratio(threshold)
     sets = jaccard_join.describe(docs, n, num, den)
     links = jaccard_join.set_links(docs, sets, n, num, den)
     exact = F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))

@@ -52,3 +52,12 @@ def test_grams_are_not_exchanged_one_by_one(spark):
     before = set(written())
     assert similarity.similar_texts(spark.createDataFrame(rows, "k long, t string"), "k", "t").count() == 0
     assert sum(n for k, n in written().items() if k not in before) < 20 * 3000 / 4
+
+
+def test_classes_and_links(spark):
+    rows = [(4, "a b c d e"), (2, "A b  c d\u00a0e"), (7, "a b c d f"), (9, "a b c d e"), (1, None)]
+    frame = spark.createDataFrame(rows, "k long, t string")
+    members, links = similarity.similar_classes(frame, "k", "t", 0.5)
+    want = [(2, 2), (4, 2), (7, 7), (9, 2)]
+    assert sorted(map(tuple, members.collect())) == sorted(map(tuple, similarity.text_classes(frame, "k", "t").collect())) == want
+    assert list(map(tuple, links.collect())) == [(2, 7, 0.5)]
