@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from inkledger.functions import matching, numeric, pieces, raster, text
+from inkledger.functions import degrade, matching, numeric, pieces, raster, text
 from inkledger.operators import correction, lines
 
 
@@ -94,3 +94,18 @@ def test_columns_of_arrow_slices(spark):
     pair = pieces.in_pieces(lambda: lambda t, w: pd.DataFrame({"n": [None if x is None else len(x) for x in t], "w": [None if x is None else list(x) for x in w]}), "n int, w array<string>", 2)
     assert {(r.k, r.p.n, None if r.p.w is None else tuple(r.p.w)) for r in frame.select("k", pair("t", "w").alias("p")).collect()} == {(k, None if t is None else len(t), None if w is None else tuple(w)) for k, t, w in rows}
     assert frame.where("k < 0").select(text.edits_between(F.col("t"), F.col("t"))).count() == 0
+
+
+def test_box_means_of_several_fields_at_once():
+    """Fields are filtered together, with the sums of one at a time."""
+    rng = np.random.default_rng(4)
+    for h, w, reach in ((1, 1, 1), (3, 64, 2), (50, 7, 8)):
+        fields = rng.uniform(-1, 1, (2, h, w))
+        got = degrade.box(fields, reach)
+        for field, own in zip(fields, got):
+            x = field
+            for axis in (0, 1):
+                sums = np.cumsum(np.pad(x, [(reach + 1, reach) if k == axis else (0, 0) for k in (0, 1)], "edge"), axis)
+                n, k = sums.shape[axis], 2 * reach + 1
+                x = (np.take(sums, np.arange(k, n), axis) - np.take(sums, np.arange(n - k), axis)) / k
+            assert np.array_equal(own, x)
