@@ -5,8 +5,9 @@ Method, in three steps:
 1. *Index lists by parts.* Linked sets of a size level differ in a bounded number of shingles, so of one part more than
    that, dealt out by hash, one is the same in both (``signatures``). Sets are listed by the contents of their parts: some
    five shingles each, which sets that share a passage seldom have in common, however large the input. Shingles that
-   counters over all documents call common stay out where that loses nothing. Lists are streamed with one leader each;
-   members point to leaders, and the connected clusters of those pointers contain every link.
+   counters over all documents call common stay out where that loses nothing. Linked sets agree in several parts, so
+   only pairs that meet in as many lists count; members of long lists point to one leader. The connected clusters of
+   both contain every link.
 2. *Exact join inside clusters* (``join_cell``): inverted lists of the rarest shingles, ordered by position and cut
    off where the position leaves too few shingles for a link; and a set that is highly similar to the set before it
    derives all of its overlaps from that set's computed overlaps, reading only the lists of shingles that differ.
@@ -35,6 +36,10 @@ from inkledger.llm.components import components
 from inkledger.llm.repeats import grown, ragged
 
 SIG = [("sig", "<u8"), ("node", "<u8")]
+#: The bits of a list's name that tell its scheme, and the members of a list from which on it has a leader instead of pairs.
+SCHEME_BITS, LONG = np.uint64(63), 32
+#: Pairs that a task puts together at a time.
+PAIRS = 1 << 20
 SET = [("root", "<i8"), ("scheme", "<u4"), ("i", "<u4"), ("j", "<u4"), ("hi", "<u8"), ("lo", "<u8"), ("copies", "<i8"), ("part", "<u4"), ("size", "<u4")]
 BLOCK = 1 << 14
 #: Shingles of a block, and cell tasks for each shuffle partition: a cell needs about ten times its shingles in memory.
@@ -131,18 +136,36 @@ def rarity(docs: DataFrame, q: int) -> np.ndarray:
     return out.ravel()
 
 
+def spares(num: int, den: int, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(far, spare, need) of each scheme: the shingles in which linked sets differ at most, the parts without shingles that a set
+    may have, and the parts with shingles in which linked sets then agree.
+
+    There are far + spare + need parts. ``spare`` covers those that chance leaves empty in a scheme's smallest sets, as long as it is
+    at most half of ``far``: sets with more empty parts list all of their parts again.
+    """
+    far = 2 * tops * (den - num) // (den + num)
+    need, least = 1 + far // 16, np.r_[0, tops[:-1]] * num // den + 1
+    found = np.where(far > 0, far // 16 + 2, 0)
+    for share in range(32, 3, -1):
+        spare = far * share // 64 + 2
+        parts = far + spare + need
+        empty = parts * np.exp(-least / parts)
+        found = np.where((far > 0) & (empty + 1.5 * np.sqrt(empty) <= spare), spare, found)
+    return far, found, need
+
+
 def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, rare: np.ndarray, num: int, den: int, tops: np.ndarray, common: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, list, scheme) of each set's parts; a set takes its level's scheme and, if larger linked sets can lie there, the next one's.
 
-    Linked sets of a scheme differ in at most ``far`` shingles. Dealt out by hash to ``far`` + ``spare`` + 1 parts, they agree in
-    a part that has shingles, unless both have more than ``spare`` parts without. Common shingles are left out first, for parts
-    within a passage that many documents share would be lists of them all; sets with too many parts without then list parts
-    of all their shingles, and those that have too many even so list ``far`` + 1 parts, with or without shingles.
+    Linked sets of a scheme differ in at most ``far`` shingles. Dealt out by hash to ``far`` + ``spare`` + ``need`` parts, they agree in
+    ``need`` parts that have shingles, unless both have more than ``spare`` parts without. Common shingles are left out first, for
+    parts within a passage that many documents share would be lists of them all; sets with too many parts without then list parts
+    of all their shingles, and those that have too many even so list ``far`` + ``need`` parts, with or without shingles.
+    The last bits of a list's name are its scheme.
     """
     level, up, own = np.searchsorted(tops, size), climbs(size, num, den, tops), np.flatnonzero(size > 0)
     who, scheme = np.r_[own, own[up[own]]], np.r_[level[own], level[own[up[own]]] + 1].astype(np.int64)
-    far = 2 * tops[scheme] * (den - num) // (den + num)
-    spare = np.where(far > 0, far // 16 + 2, 0)
+    far, spare, need = (x[scheme] for x in spares(num, den, tops))
     salt = c.mix(scheme.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
     begin, end = (np.searchsorted(row, who, side) for side in ("left", "right"))
     usual = rare[counted(value)] < (common_level(rare) if common is None else common)
@@ -166,14 +189,15 @@ def signatures(row: np.ndarray, value: np.ndarray, size: np.ndarray, rare: np.nd
             every[full] = content
             full, content = np.arange(first[-1]), every
         of = np.searchsorted(first, full, "right") - 1
-        lists.append((who[take][of], c.mix(content ^ c.mix(salt[take][of] + ((full - first[of]) * 4 + kind).astype(np.uint64))), scheme[take][of]))
+        name = c.mix(content ^ c.mix(salt[take][of] + ((full - first[of]) * 4 + kind).astype(np.uint64)))
+        lists.append((who[take][of], name & ~SCHEME_BITS | scheme[take][of].astype(np.uint64), scheme[take][of]))
         return np.bincount(of, minlength=len(take))
 
     take = np.arange(len(who))
     for kind in (1, 2):
-        count = (far + spare + 1)[take]
+        count = (far + spare + need)[take]
         take = take[count - parts(take, count, kind) > spare[take]]
-    parts(take, far[take] + 1, 3)
+    parts(take, (far + need)[take], 3)
     return tuple(np.concatenate(x) for x in zip(*lists))
 
 
@@ -226,20 +250,53 @@ def _sign(q: int, num: int, den: int, buckets: int, rare: np.ndarray):
     return run
 
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream index lists; each member points to its list's least node so far."""
+def _meetings(num: int, den: int):
+    """Pairs of sets with the number of lists in which a task sees them meet, and how many it takes; 0 for a long list's leader and a member."""
+    needs = spares(num, den, levels(num, den))[2]
+
+    def batch(a: np.ndarray, b: np.ndarray, lists: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(lists, pa.int32()), pa.array(need, pa.int32())], names=["a", "b", "lists", "need"])
 
-    def fold(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    def fold(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         order = np.lexsort((x["node"], x["sig"]))
         s, v = x["sig"][order], x["node"][order]
+        once = c.run_starts(s, v)
+        s, v = s[once], v[once]
         at = c.run_starts(s)
-        leader = np.repeat(v[at], np.diff(np.r_[at, len(s)]))
-        far = v != leader
-        return {"sig": s[at], "node": v[at]}, np.unique(np.c_[leader[far], v[far]], axis=0) if far.any() else np.zeros((0, 2), np.uint64)
+        size = np.diff(np.r_[at, len(s)])
+        place = np.arange(len(s)) - np.repeat(at, size)
+        far = np.repeat(size > LONG, size) & (place > 0)
+        keep = place <= LONG
+        return {"sig": s[keep], "node": v[keep]}, (np.repeat(v[at], size)[far], v[far])
 
-    for pairs, _ in grown(batches, SIG, fold):
-        if pairs is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy().view(np.int64)) for k in (0, 1)], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for led, held in grown(batches, SIG, fold):
+            if led is not None and len(led[0]):
+                pairs = np.unique(np.c_[led], axis=0)
+                yield batch(pairs[:, 0].copy(), pairs[:, 1].copy(), np.ones(len(pairs)), np.zeros(len(pairs)))
+        if held is None:
+            return
+        s, v = held["sig"], held["node"]
+        at = c.run_starts(s)
+        size = np.diff(np.r_[at, len(s)])
+        several = (size > 1) & (size <= LONG)
+        at, size = at[several], size[several]
+        end = np.cumsum(size * (size - 1) // 2)
+        first = 0
+        while first < len(at):  # some lists at a time
+            last = max(first + 1, int(np.searchsorted(end, (end[first - 1] if first else 0) + PAIRS, "right")))
+            own = ragged(at[first:last], size[first:last])
+            after = np.repeat(at[first:last] + size[first:last], size[first:last]) - own - 1
+            a, b = np.repeat(own, after), ragged(own + 1, after)
+            need, a, b = needs[(s[a] & SCHEME_BITS).astype(np.int64)], v[a], v[b]
+            order = np.lexsort((b, a))
+            need, a, b = need[order], a[order], b[order]
+            once = c.run_starts(a, b)
+            yield batch(a[once], b[once], np.diff(np.r_[once, len(a)]), need[once])
+            first = last
+
+    return run
 
 
 def _ship(q: int, buckets: int):
@@ -466,7 +523,8 @@ def cells_of(docs: DataFrame, sets: DataFrame, q: int, num: int, den: int, block
     """The sets of clusters that hold every link, dealt out by cell."""
     buckets = c.partitions(docs.sparkSession)
     lists = c.exchange(docs.mapInArrow(c.tidy(_sign(q, num, den, buckets, rarity(docs, q))), c.PACKED), buckets)
-    near = c.write_table(lists.mapInArrow(c.tidy(_leaders), "a long, b long").distinct(), "jaccard-near")
+    met = lists.mapInArrow(c.tidy(_meetings(num, den)), "a long, b long, lists int, need int").groupBy("a", "b")
+    near = c.write_table(met.agg(F.sum("lists").alias("lists"), F.min("need").alias("need")).where("lists >= need").select("a", "b"), "jaccard-near")
     clusters = components(near, "jaccard-clusters")
     one = sets.where("n_shingles > 0").groupBy("hi", "lo", "level", "node", "node_up").agg(F.min(F.struct("doc_id", "ver")).alias("one"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("size"))
     up = F.struct((F.col("level") + 1).alias("scheme"), F.col("node_up").alias("node"))
