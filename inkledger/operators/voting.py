@@ -19,6 +19,7 @@ from inkledger.functions.pieces import in_pieces
 LOOKALIKES = (("rn", "m"), ("cl", "d"), ("ri", "n"), ("uu", "w"), ("u", "v"), ("a", "o"), ("n", "h"), ("e", "c"), ("f", "t"), ("q", "g"), ("0", "O"), ("1", "l"), ("1", "I"), ("I", "l"), ("5", "S"), ("2", "Z"), ("6", "G"), ("8", "B"))
 #: Character pairs counted as confusions in the error taxonomy, either way round.
 CONFUSED = {frozenset(p) for p in (("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("2", "z"), ("6", "g"), ("8", "b"), ("9", "q"), ("7", "1"), ("4", "9"), ("3", "8"), ("r", "n"), ("c", "l"), ("u", "v"), ("a", "o"), ("n", "h"), ("e", "c"), ("b", "d"), ("p", "r"), ("h", "k"), ("m", "n"), ("g", "c"), ("e", "f"), ("p", "f"), ("t", "+"), ("x", "*"))}
+CONFUSED_PAIRS = {p for pair in CONFUSED for p in (tuple(pair), tuple(pair)[::-1])}
 VOTE_CAP = 0.95
 
 
@@ -63,7 +64,7 @@ def error_taxonomy(hyp: Column, ref: Column) -> Column:
         for tag, i, j, m, n in SequenceMatcher(r or "", h or "").get_opcodes():
             if tag == "replace":
                 pairs = list(zip((r or "")[i:j], (h or "")[m:n]))
-                near = sum(frozenset(p) in CONFUSED for p in pairs)
+                near = sum(p in CONFUSED_PAIRS for p in pairs)
                 out["confusion_pair"] += near
                 out["substitution"] += len(pairs) - near
                 out["deletion"] += max(0, (j - i) - (n - m))

@@ -1,0 +1,39 @@
+"""Sequence matching finds its runs once."""
+
+import difflib
+import random
+
+import pytest
+
+from inkledger.functions import matching
+
+
+def texts(seed: int, rounds: int):
+    r = random.Random(seed)
+    for _ in range(rounds):
+        k, n = r.choice((2, 4, 30, 200)), r.choice((5, 40, 400, 1500))
+        a = [r.randrange(k) for _ in range(r.randrange(n))]
+        b = [x if r.random() < 0.9 else r.randrange(k) for x in a if r.random() < 0.95]
+        yield a, b[len(b) // 2 :] + b[: len(b) // 2] if r.random() < 0.2 else b
+
+
+@pytest.mark.parametrize("pairs, runs, few", [(matching.PAIRS, matching.RUNS, matching.FEW), (100, 50, 4), (7, 3, 1)])
+def test_blocks_are_the_library_s_however_few_runs_are_held(monkeypatch, pairs, runs, few):
+    for name, value in (("MANY", 0), ("PAIRS", pairs), ("RUNS", runs), ("FEW", few)):
+        monkeypatch.setattr(matching, name, value)
+    for a, b in texts(3, 60):
+        assert matching.SequenceMatcher(a, b).get_opcodes() == difflib.SequenceMatcher(None, a, b).get_opcodes()
+
+
+def test_runs_are_found_once_not_once_a_block(monkeypatch):
+    """A search of the stretch left over for each block reads a text as often as it has blocks."""
+    searches, passes = [], []
+    search, runs = matching.SequenceMatcher.find_longest_match, matching.SequenceMatcher._runs
+    monkeypatch.setattr(matching.SequenceMatcher, "find_longest_match", lambda self, *s: searches.append(s) or search(self, *s))
+    monkeypatch.setattr(matching.SequenceMatcher, "_runs", staticmethod(lambda *s: passes.append(1) or runs(*s)))
+    r = random.Random(7)
+    a = [r.randrange(200) for _ in range(3000)]
+    b = [x if x % 10 else x + 1 for x in a]
+    got = matching.SequenceMatcher(a, b).get_matching_blocks()
+    assert got == difflib.SequenceMatcher(None, a, b).get_matching_blocks() and len(got) > 100
+    assert not searches and len(passes) <= 2
