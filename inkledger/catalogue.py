@@ -473,9 +473,9 @@ def auto_lessons(spark, sf_dir):
 
 @query()
 def consensus_vote(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    each = [p.select(F.col("doc_id").alias("sample_id"), F.lit(name).alias("provider"), t.alias("text"), F.lit(None).cast("double").alias("confidence"), F.lit(w).alias("weight")) for name, t, w in (("claude", F.col("ref"), 1.0), ("gemini", F.translate("ref", "a", "o"), 1.2), ("openai", F.col("hyp"), 0.8))]
-    return voting.consensus(each[0].unionAll(each[1]).unionAll(each[2])).drop("disagreements")
+    p, none = _pairs(spark, sf_dir), F.lit(None).cast("double")
+    each = [F.struct(F.lit(name).alias("provider"), t.alias("text"), none.alias("confidence"), F.lit(w).alias("weight")) for name, t, w in (("claude", F.col("ref"), 1.0), ("gemini", F.translate("ref", "a", "o"), 1.2), ("openai", F.col("hyp"), 0.8))]
+    return voting.consensus(p.select(F.col("doc_id").alias("sample_id"), F.inline(F.array(*each)))).drop("disagreements")
 
 
 @query(r"SELECT 'a' || lpad((doc_id % 90)::VARCHAR, 2, '0') || '-001u-00-' || doc_id AS line_id, 'a' || lpad((doc_id % 90)::VARCHAR, 2, '0') AS writer, 'a' || lpad((doc_id % 90)::VARCHAR, 2, '0') || '-001u' AS form, 'MOVE IT ' || doc_id AS text FROM documents WHERE doc_id % 5 <> 0")

@@ -30,11 +30,15 @@ def cuts(sizes: list[int], most: int = MOST, rows: int = ROWS) -> Iterator[tuple
 
 
 def _sizes(arrays: Sequence[pa.Array]) -> list[int]:
-    """Bytes of the texts of each row; each word of a list counts as ``WORD``."""
+    """Bytes of the texts of each row, those in lists too; each word of a list counts ``WORD`` more."""
     total = np.zeros(len(arrays[0]), np.int64)
     for x in arrays:
         if pa.types.is_list(x.type) or pa.types.is_large_list(x.type):
-            total += WORD * pc.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False)
+            n = pc.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False)
+            total += WORD * n
+            if pa.types.is_string(x.type.value_type) or pa.types.is_large_string(x.type.value_type):
+                upto = np.append(0, np.cumsum(pc.binary_length(x.flatten()).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64))
+                total += np.diff(upto[np.append(0, np.cumsum(n, dtype=np.int64))])
         elif pa.types.is_string(x.type) or pa.types.is_binary(x.type) or pa.types.is_large_string(x.type) or pa.types.is_large_binary(x.type):
             total += pc.binary_length(x).fill_null(0).to_numpy(zero_copy_only=False)
     return total.tolist()

@@ -172,23 +172,35 @@ def is_letter_or_two(text: Column) -> Column:
     return F.rlike(strip(text), F.lit(r"^\p{L}{1,2}$"))
 
 
+def _of(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def single_confidence(text: Column) -> Column:
     """Confidence in a lone reading, at most 0.7, from its markers, length and repetition."""
-    t = tokens(text)
-    n, marks = F.size(t), uncertainty(text)
-    conf = F.lit(0.70) - F.lit(1.5) * marks / F.greatest(n, F.lit(1))
-    conf = conf - F.when(n < 3, 0.15).otherwise(0.0) - F.when((n <= 5) & (marks == 0), 0.10).otherwise(0.0)
-    unique = F.size(F.array_distinct(F.transform(t, F.lower)))
-    conf = conf - F.when((n > 5) & (unique / F.greatest(n, F.lit(1)) < 0.15), 0.2).otherwise(0.0)
-    conf = F.when(is_letter_or_two(text), F.least(conf, F.lit(0.45))).otherwise(conf)
-    return F.when(strip(text) == "", 0.0).otherwise(F.round(F.least(F.lit(0.70), F.greatest(F.lit(0.0), conf)), 3))
+
+    def of(x: Column) -> Column:
+        t, marks = x["t"], x["marks"]
+        n = F.size(t)
+        conf = F.lit(0.70) - F.lit(1.5) * marks / F.greatest(n, F.lit(1))
+        conf = conf - F.when(n < 3, 0.15).otherwise(0.0) - F.when((n <= 5) & (marks == 0), 0.10).otherwise(0.0)
+        unique = F.size(F.array_distinct(F.transform(t, F.lower)))
+        conf = conf - F.when((n > 5) & (unique / F.greatest(n, F.lit(1)) < 0.15), 0.2).otherwise(0.0)
+        conf = _of(conf, lambda c: F.when((n <= 2) & is_letter_or_two(text), F.least(c, F.lit(0.45))).otherwise(c))  # white space is all that may part letters from words
+        return F.when(n == 0, 0.0).otherwise(F.round(F.least(F.lit(0.70), F.greatest(F.lit(0.0), conf)), 3))
+
+    return _of(F.struct(tokens(text).alias("t"), uncertainty(text).alias("marks")), of)
 
 
 def confidence_level(text: Column, confidence: Column) -> Column:
-    n, marks = F.size(tokens(text)), uncertainty(text)
-    low = (confidence < 0.5) | (marks >= 3) | ((n < 5) & ~F.startswith(strip(text), F.lit("["))) | is_letter_or_two(text)
-    low = low | (marks / F.greatest(n, F.lit(1)) > 0.1) | F.contains(F.lower(text), F.lit("[illegible")) | F.contains(F.lower(text), F.lit("page faint"))
-    return F.when(low, "LOW").otherwise("HIGH")
+    def of(x: Column) -> Column:
+        n, marks = x["n"], x["marks"]
+        low = (x["confidence"] < 0.5) | (marks >= 3) | ((n < 5) & (~F.startswith(strip(text), F.lit("[")) | is_letter_or_two(text)))
+        low = low | (marks / F.greatest(n, F.lit(1)) > 0.1) | F.contains(x["lower"], F.lit("[illegible")) | F.contains(x["lower"], F.lit("page faint"))
+        return F.when(low, "LOW").otherwise("HIGH")
+
+    return _of(F.struct(F.size(tokens(text)).alias("n"), uncertainty(text).alias("marks"), confidence.alias("confidence"), F.lower(text).alias("lower")), of)
 
 
 def read_confidence(text: Column) -> Column:

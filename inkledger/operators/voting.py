@@ -8,7 +8,7 @@ depend on arrival.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.functions import text
@@ -21,6 +21,8 @@ LOOKALIKES = (("rn", "m"), ("cl", "d"), ("ri", "n"), ("uu", "w"), ("u", "v"), ("
 CONFUSED = {frozenset(p) for p in (("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("2", "z"), ("6", "g"), ("8", "b"), ("9", "q"), ("7", "1"), ("4", "9"), ("3", "8"), ("r", "n"), ("c", "l"), ("u", "v"), ("a", "o"), ("n", "h"), ("e", "c"), ("b", "d"), ("p", "r"), ("h", "k"), ("m", "n"), ("g", "c"), ("e", "f"), ("p", "f"), ("t", "+"), ("x", "*"))}
 CONFUSED_PAIRS = {p for pair in CONFUSED for p in (tuple(pair), tuple(pair)[::-1])}
 VOTE_CAP = 0.95
+#: Below the first a reading is silent among three or more, below the second it is left out among four or more.
+SILENT, APART = 0.60, 0.20
 
 
 def line_words(s: str) -> list[str]:
@@ -115,35 +117,39 @@ def resolve_characters(candidates: list[str], weights: list[float] | None = None
     return out
 
 
-def vote_words(texts: list[str], weights: list[float], habits: dict[str, str] | None = None) -> dict:
+def vote_words(texts: list[str], weights: list[float], habits: dict[str, str] | None = None, match=None) -> dict:
     """text, confidence and disagreements of a weighted vote, word by word, along the heaviest reading.
 
     Of a replaced stretch, the shorter side's last word stands for what it lacks: every place of the anchor gets a vote.
+    ``match`` gives the matcher of two readings' words by their places.
     """
     anchor_at = max(range(len(texts)), key=lambda k: (weights[k], -k))
-    anchor = line_words(texts[anchor_at])
+    split = [line_words(t) for t in texts] if match is None else match.words
+    match = match or (lambda x, y: SequenceMatcher(split[x], split[y]))
+    anchor = split[anchor_at]
     votes: list[dict[str, float]] = [{} for _ in anchor]
-    for k, t in enumerate(texts):
-        words = line_words(t)
-        for tag, i, j, m, n in SequenceMatcher(anchor, words).get_opcodes() if k != anchor_at else [("equal", 0, len(anchor), 0, len(anchor))]:
+    for k, words in enumerate(split):
+        weight = weights[k]
+        for tag, i, j, m, n in match(anchor_at, k).get_opcodes() if k != anchor_at else [("equal", 0, len(anchor), 0, len(anchor))]:
             if tag == "equal":
-                for p in range(i, j):
-                    votes[p][anchor[p]] = votes[p].get(anchor[p], 0.0) + weights[k]
+                for word, own in zip(anchor[i:j], votes[i:j]):
+                    own[word] = own.get(word, 0.0) + weight
             elif tag == "replace":
                 for step in range(max(j - i, n - m)):
-                    p, word = min(i + step, j - 1), words[min(m + step, n - 1)]
-                    votes[p][word] = votes[p].get(word, 0.0) + weights[k]
+                    own, word = votes[min(i + step, j - 1)], words[min(m + step, n - 1)]
+                    own[word] = own.get(word, 0.0) + weight
     out, agreed, counted, apart = [], 0, 0, []
-    for p, own in enumerate(votes):
+    for own in votes:
+        if len(own) == 1 and "\n" not in own:
+            counted += 1
+            agreed += 1
+            out.extend(own)
+            continue
         if set(own) <= {"\n"}:
             out.append("\n")
             continue
         counted += 1
         best, *others = sorted(own, key=lambda w: -own[w])
-        if len(own) == 1:
-            agreed += 1
-            out.append(best)
-            continue
         real = [w for w in (best, *others) if w != "\n"]
         if own[best] > 0.5 * sum(own.values()):
             out.append(best)
@@ -166,51 +172,86 @@ def vote_words(texts: list[str], weights: list[float], habits: dict[str, str] |
     return {"text": "\n".join(map(" ".join, lines)).strip(), "confidence": min(VOTE_CAP, agreed / counted) if counted else 0.0, "disagreements": apart[:20]}
 
 
+class Matches:
+    """Matchers of one sample's readings, each made once; a pair's agreement is that of its words."""
+
+    def __init__(self, texts: list[str]):
+        self.words, self.made = [line_words(t) for t in texts], {}
+
+    def __call__(self, x: int, y: int) -> SequenceMatcher:
+        if (x, y) not in self.made:
+            self.made[x, y] = SequenceMatcher(self.words[x], self.words[y])
+        return self.made[x, y]
+
+    def agreement(self, x: int, y: int) -> float:
+        p, q = self.words[x], self.words[y]
+        return self(x, y).ratio() if p and q else float(not p and not q)
+
+
+def vote_readings(providers: list[str], texts: list[str], weights: list[float], habits: dict[str, str] | None = None) -> dict:
+    """``vote_words`` of one sample's readings, ordered by provider, without those that agree with no other provider's.
+
+    A lone reading is its own text without confidence.
+    """
+    n, match, best = len(texts), Matches(texts), {}
+    if n >= 3:  # fewer readings all vote
+        for x in range(n):
+            for y in range(x + 1, n):
+                if providers[x] is not None and providers[x] != providers[y]:
+                    agree = match.agreement(x, y)
+                    for p in (providers[x], providers[y]):
+                        best[p] = max(best.get(p, agree), agree)
+    apart = [n >= 4 and best.get(p, 1.0) < APART for p in providers]
+    silent = [n >= 3 and best.get(p, 1.0) < SILENT for p in providers]
+    out = [x and n - sum(apart) >= 2 for x in apart]
+    notes = []
+    for p, x, y, z in zip(providers, apart, silent, out):
+        notes += [f"'{p}' excluded as outlier (agreement < 20% with all others)"] * x
+        notes += [f"'{p}' zero-weighted: potential hallucination (agreement < 60%)"] * (y and not z)
+    weights = [0.0 if x else w for w, x in zip(weights, silent)]
+    stay = [k for k in range(n) if not out[k]]
+    if len(stay) == 1:
+        return {"text": texts[stay[0]], "confidence": None, "disagreements": notes}
+    if len(stay) < n:
+        chosen = [[own[k] for k in stay] for own in (texts, weights)]
+        done = vote_words(*chosen, habits)
+    else:
+        done = vote_words(texts, weights, habits, match)
+    return {**done, "disagreements": done["disagreements"] + notes}
+
+
 def consensus(readings: DataFrame, habits: DataFrame | None = None) -> DataFrame:
     """sample_id, text, confidence, level, disagreements, strategy from (sample_id, provider, text, confidence, weight).
 
     Empty readings do not vote; a sample with none gives an empty text. With three or more readings, one that agrees
     with none (best agreement under 0.6) loses its vote; with four or more, one under 0.2 with all is left out, never
     below two. Weights scale with confidence. ``habits`` has sample_id and habits (map of look-alike pair to form).
+
+    A sample's readings meet once, and each pair of them is matched once.
     """
-    samples = readings.select("sample_id").distinct()
-    own = readings.where(F.coalesce("text", F.lit("")) != "")
+    counts = (F.coalesce("text", F.lit("")) != "") & F.col("sample_id").isNotNull()
     conf = F.when(F.coalesce("confidence", F.lit(0.0)) > 0, F.col("confidence")).otherwise(text.single_confidence(F.col("text")) / 0.70)
-    own = own.select("sample_id", "provider", "text", F.col("weight").alias("static"), conf.alias("conf"))
-    a, b = own.alias("a"), own.alias("b")
-    pairs = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.provider") < F.col("b.provider")))
-    pairs = pairs.select(F.col("a.sample_id").alias("sample_id"), F.col("a.provider").alias("x"), F.col("b.provider").alias("y"), agreement(F.col("a.text"), F.col("b.text")).alias("agree"))
-    each = pairs.select("sample_id", F.col("x").alias("provider"), "agree").unionAll(pairs.select("sample_id", F.col("y").alias("provider"), "agree"))
-    best = each.groupBy("sample_id", "provider").agg(F.max("agree").alias("best"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("sample_id"))
-    rows = own.join(best, ["sample_id", "provider"], "left").withColumn("n", n)
-    apart = F.coalesce((F.col("n") >= 4) & (F.col("best") < 0.20), F.lit(False))
-    rows = rows.withColumn("stays", F.count_if(~apart).over(Window.partitionBy("sample_id")))
-    out = apart & (F.col("stays") >= 2)
-    silent = (F.col("n") >= 3) & (F.col("best") < 0.60)
-    weight = F.when(silent, 0.0).otherwise(F.col("static") * (0.4 + 0.6 * F.col("conf")))
-    quoted = F.concat(F.lit("'"), F.col("provider"), F.lit("'"))
-    note = F.concat(F.when(apart, F.array(F.concat(quoted, F.lit(" excluded as outlier (agreement < 20% with all others)")))).otherwise(F.array()), F.when(silent & ~out, F.array(F.concat(quoted, F.lit(" zero-weighted: potential hallucination (agreement < 60%)")))).otherwise(F.array()))
-    bag = F.array_sort(F.collect_list(F.struct("provider", "text", weight.alias("weight"), out.alias("out"), note.alias("note"))))
-    grouped = rows.groupBy("sample_id").agg(bag.alias("bag"))
+    reading = F.struct("provider", "text", (F.col("weight") * (0.4 + 0.6 * conf)).alias("weight"))
+    own = readings.select("sample_id", F.when(counts, reading).alias("reading"))
+    grouped = own.groupBy("sample_id").agg(F.array_sort(F.collect_list("reading")).alias("bag"))
     if habits is None:
         grouped = grouped.withColumn("habits", F.lit(None).cast("map<string,string>"))
     else:
         grouped = grouped.join(habits.select("sample_id", "habits"), "sample_id", "left")
-    voters = F.filter("bag", lambda r: ~r["out"])
+    nothing = {"text": None, "confidence": None, "disagreements": []}
 
-    @F.pandas_udf("text string, confidence double, disagreements array<string>")
-    def vote(texts: pd.Series, weights: pd.Series, known: pd.Series) -> pd.DataFrame:
-        done = [vote_words(list(t), list(w), dict(h) if h is not None else None) if len(t) > 1 else {"text": t[0], "confidence": None, "disagreements": []} for t, w, h in zip(texts, weights, known)]
+    def vote(names: pd.Series, texts: pd.Series, weights: pd.Series, known: pd.Series) -> pd.DataFrame:
+        done = [vote_readings(list(p), list(t), list(w), dict(h) if h is not None else None) if len(t) else nothing for p, t, w, h in zip(names, texts, weights, known)]
         return pd.DataFrame(done, columns=["text", "confidence", "disagreements"])
 
-    voted = grouped.select("sample_id", F.flatten("bag.note").alias("notes"), vote(F.transform(voters, lambda r: r["text"]), F.transform(voters, lambda r: r["weight"]), F.col("habits")).alias("v"))
-    alone = F.col("v.confidence").isNull()
-    conf = F.coalesce(F.col("v.confidence"), text.single_confidence(F.col("v.text")))
-    level = text.confidence_level(F.col("v.text"), conf)
-    voted = voted.select("sample_id", F.col("v.text").alias("text"), F.round(conf, 3).alias("confidence"), level.alias("level"), F.concat("v.disagreements", "notes").alias("disagreements"), F.when(alone, "vote_partial").otherwise("vote").alias("strategy"))
-    nothing = F.array().cast("array<string>")
-    return samples.join(voted, "sample_id", "left").select("sample_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("level", F.lit("LOW")).alias("level"), F.coalesce("disagreements", nothing).alias("disagreements"), F.coalesce("strategy", F.lit("vote")).alias("strategy"))
+    part = lambda name: F.transform("bag", lambda r: r[name])
+    votes = in_pieces(lambda: vote, "text string, confidence double, disagreements array<string>", 4)
+    voted = grouped.select("sample_id", votes(part("provider"), part("text"), part("weight"), F.col("habits")).alias("v")).select("sample_id", "v.*")
+    alone = F.col("confidence").isNull()
+    conf = F.coalesce("confidence", text.single_confidence(F.col("text")))
+    voted = voted.select("sample_id", "text", "disagreements", conf.alias("confidence"), F.when(F.col("text").isNotNull() & alone, "vote_partial").otherwise("vote").alias("strategy"))
+    level = F.when(F.col("text").isNull(), "LOW").otherwise(text.confidence_level(F.col("text"), F.col("confidence")))
+    return voted.select("sample_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.round("confidence", 3), F.lit(0.0)).alias("confidence"), level.alias("level"), "disagreements", "strategy")
 
 
 def lessons_from(model: Column, corrected: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Sequence matching finds its runs once."""
+"""Sequence matching finds its runs once, and a sample's readings meet once."""
 
 import difflib
 import random
@@ -6,6 +6,7 @@ import random
 import pytest
 
 from inkledger.functions import matching
+from inkledger.operators import voting
 
 
 def texts(seed: int, rounds: int):
@@ -37,3 +38,17 @@ def test_runs_are_found_once_not_once_a_block(monkeypatch):
     got = matching.SequenceMatcher(a, b).get_matching_blocks()
     assert got == difflib.SequenceMatcher(None, a, b).get_matching_blocks() and len(got) > 100
     assert not searches and len(passes) <= 2
+
+
+def test_readings_of_a_sample_meet_once(spark, monkeypatch):
+    """One exchange and one Python stage; before, texts were joined with each other and went through three."""
+    rows = [(1, p, t, None, w) for p, t, w in (("claude", "the cat sat", 1.0), ("gemini", "the dog sat", 1.2), ("openai", "the cat sat", 0.8))]
+    out = voting.consensus(spark.createDataFrame(rows, "sample_id long, provider string, text string, confidence double, weight double"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("EvalPython") == 1
+    assert out.head()["text"] == "the cat sat"
+    made = []
+    init = voting.SequenceMatcher.__init__
+    monkeypatch.setattr(voting.SequenceMatcher, "__init__", lambda self, a, b: made.append(1) or init(self, a, b))
+    names, read = ["a", "b", "c"], ["one two three four", "one two three five", "one two three six"]
+    assert voting.vote_readings(names, read, [4.0, 2.0, 1.0])["text"] == "one two three four" and len(made) == 3  # not again for the vote along the first
