@@ -277,14 +277,16 @@ def normalize_text(spark, sf_dir):
 
 @query()  # DuckDB's edit distance is quadratic in whole texts; tests compare with a plain version
 def cer_pairs(spark, sf_dir):
-    e = text.char_error(F.col("hyp"), F.col("ref"))
-    return _pairs(spark, sf_dir).select("doc_id", e["edits"].alias("edits"), e["ref_size"].alias("ref_size"), F.round(e["rate"], 9).alias("rate"))
+    h, r = (text.normalise(F.col(k)).alias(k) for k in ("hyp", "ref"))
+    e = text.normal_char_error(F.col("hyp"), F.col("ref"))
+    return _pairs(spark, sf_dir).select("doc_id", h, r).select("doc_id", e["edits"].alias("edits"), e["ref_size"].alias("ref_size"), F.round(e["rate"], 9).alias("rate"))
 
 
 @query()
 def wer_pairs(spark, sf_dir):
-    e = text.word_error(F.col("hyp"), F.col("ref"))
-    return _pairs(spark, sf_dir).select("doc_id", e["edits"].alias("edits"), e["ref_size"].alias("ref_size"), F.round(e["rate"], 9).alias("rate"))
+    h, r = (text.tokens(text.normalise(F.col(k))).alias(k) for k in ("hyp", "ref"))
+    e = text.token_error(F.col("hyp"), F.col("ref"))
+    return _pairs(spark, sf_dir).select("doc_id", h, r).select("doc_id", e["edits"].alias("edits"), e["ref_size"].alias("ref_size"), F.round(e["rate"], 9).alias("rate"))
 
 
 @query()  # as cer_pairs

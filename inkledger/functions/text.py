@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,9 +30,12 @@ def tokens(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """Lower case, markers off, white space collapsed. Compose accents first with ``nfc`` where texts are not."""
-    out = F.lower(text)
+    low = F.lower(text)
+    out = low
     for marker in MARKERS:
         out = F.regexp_replace(out, marker, "")
+    marked = F.contains(low, F.lit("[")) | F.contains(low, F.lit("???")) | F.contains(low, F.lit("unable to read"))  # every marker holds one of these
+    out = F.when(marked, out).otherwise(low)
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
@@ -44,11 +50,19 @@ def _rate(edits: Column, size: Column, hyp_size: Column) -> Column:
 
 def char_error(hyp: Column, ref: Column) -> Column:
     """struct(rate, edits, ref_size) over normalised characters; an empty reference gives 0 or infinity."""
-    h, r = normalise(hyp), normalise(ref)
+    return normal_char_error(normalise(hyp), normalise(ref))
+
+
+def normal_char_error(h: Column, r: Column) -> Column:
+    """``char_error`` of texts that are normalised already: columns of a table have that worked out once."""
     edits, size = edits_between(h, r), F.char_length(r)
     return F.struct(_rate(edits, size, F.char_length(h)).alias("rate"), edits.alias("edits"), size.alias("ref_size"))
 
 
+#: Bits of one pair's diagonals, and of all pairs, that go through a table together; a pair's elements times its places.
+NARROW, TOGETHER, PLACES = 1 << 12, 1 << 15, 1 << 22
+
+
 def distance(a, b) -> int:
     """Edit distance of two sequences of any length: a column of the table at a time, as bits of whole numbers.
 
@@ -58,16 +72,138 @@ def distance(a, b) -> int:
         a, b = b, a
     if not len(b):
         return len(a)
-    bound = len(a) - len(b) + sum(x != y for x, y in zip(a, b))
-    most = min(bound, max(64, len(a) // 3, len(a) - len(b)))
+    bound, extra = len(a) - len(b) + sum(x != y for x, y in zip(a, b)), (Counter(a) - Counter(b)).total()
+    most = _first(len(a), len(b), bound)
     while True:
-        edits = _within(a, b, most)
+        edits = _within(a, b, most, extra)
         if edits <= most or most >= bound:
             return edits
         most = min(bound, 2 * most)
 
 
-def _within(a, b, most: int) -> int:
+def _first(m: int, n: int, bound: int) -> int:
+    """Edits to try first for ``m`` and ``n`` places, ``bound`` of which suffice."""
+    return min(bound, max(64, m // 3, m - n))
+
+
+def _reach(m: int, n: int, most: int, extra: int) -> tuple[int, int]:
+    """Diagonals (above, below) the first one that an alignment of at most ``most`` edits can reach, ``m`` places to ``n`` or fewer.
+
+    One that goes x diagonals too far takes as many edits back, so 2 x and the difference in length are within ``most``. Of the
+    ``extra`` elements that the longer one has more of than the other, each is deleted or replaced, and x insertions come on top.
+    """
+    apart = max(0, min((most - (m - n)) // 2, most - extra))
+    return m - n + apart, apart
+
+
+def _codes(a, b) -> tuple[np.ndarray, np.ndarray]:
+    """Both as numbers, those of ``b`` from 1 on without gaps, 0 for what only ``a`` has."""
+    if isinstance(a, str):
+        x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+        own, y = np.unique(y, return_inverse=True)
+        at = np.minimum(np.searchsorted(own, x), len(own) - 1)
+        return np.where(own[at] == x, at + 1, 0), y + 1
+    known: dict = {}
+    y = np.array([known.setdefault(w, len(known) + 1) for w in b], np.int64)
+    return np.array([known.get(w, 0) for w in a], np.int64), y
+
+
+def distances(pairs: list[tuple]) -> list[int]:
+    """``distance`` of each pair; pairs of like length go through their tables together, as the bits of one number, since most are short."""
+    out, todo = [0] * len(pairs), []
+    for k, (a, b) in enumerate(pairs):
+        a, b = (b, a) if len(a) < len(b) else (a, b)
+        out[k] = len(a)
+        if len(b):
+            x, y = _codes(a, b)
+            bound = len(a) - len(b) + int(np.count_nonzero(x[: len(y)] != y))
+            more = np.bincount(x, minlength=int(y.max()) + 1) - np.bincount(y)
+            todo.append((k, x, y, _first(len(x), len(y), bound), bound, int(more[more > 0].sum())))
+    while todo:
+        again, group, held = [], [], 0
+
+        def settle():
+            for (k, a, b, most, bound, extra), edits in zip(group, _together([(a, b, most, extra) for _, a, b, most, _, extra in group])):
+                if edits <= most or most >= bound:
+                    out[k] = edits
+                else:
+                    again.append((k, a, b, min(bound, 2 * most), bound, extra))
+            group.clear()
+
+        for k, a, b, most, bound, extra in sorted(todo, key=lambda x: len(x[1])):
+            wide = sum(_reach(len(a), len(b), most, extra))
+            if wide > NARROW or int(b.max()) * len(b) > PLACES:
+                out[k] = distance(*pairs[k])
+                continue
+            bits = min(len(b), max(256, wide // 4) + wide)
+            if group and held + bits > TOGETHER:
+                settle()
+                held = 0
+            group.append((k, a, b, most, bound, extra))
+            held += bits
+        settle()
+        todo = again
+    return out
+
+
+class _Band:
+    """One pair's part of a common table, as in ``_within``, in whole bytes: rows below the last one are not counted."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, most: int, extra: int):
+        self.a, self.n, self.m = a, len(b), len(a)
+        self.above, self.below = _reach(len(a), len(b), most, extra)
+        places = np.zeros((int(b.max()) + 1, -(-self.n // 8) * 8 + 8), np.uint8)
+        places[b, np.arange(self.n)] = 1
+        self.places = np.packbits(places, 1, "little")
+        self.plus = self.minus = self.edits = self.low = self.high = 0
+
+    def move(self, start: int, end: int) -> np.ndarray:
+        """Goes on to the rows that the stretch of columns meets; the places of each column's element among them, with a byte to spare."""
+        first, last = min(self.n, max(0, start - self.above)) // 8, -(-min(self.n, end + self.below) // 8)
+        drop = 8 * first - self.low
+        gone = (1 << drop) - 1
+        self.edits += (self.plus & gone).bit_count() - (self.minus & gone).bit_count() + end - start
+        self.plus, self.minus = self.plus >> drop, self.minus >> drop
+        self.plus |= ((1 << (8 * last - self.high)) - 1) << (self.high - 8 * first)
+        self.low, self.high = 8 * first, 8 * last
+        self.full, self.size = (1 << 8 * (last - first)) - 1, last - first + 1
+        table = self.places[:, first : last + 1]
+        if self.high < 8 * (self.places.shape[1] - 1):
+            table = table.copy()
+            table[:, -1] = 0
+        return table.take(self.a[start:end], 0)
+
+    def done(self) -> int:
+        rows = (1 << (self.n - self.low)) - 1
+        return self.edits + (self.plus & rows).bit_count() - (self.minus & rows).bit_count()
+
+
+def _together(group: list[tuple]) -> list[int]:
+    """``_within`` of each (a, b, most, extra): bands lie side by side in whole numbers, each with bits to spare that take its carry."""
+    bands, start = [_Band(*x) for x in group], 0
+    going = bands
+    while going:
+        end = min(min(x.m for x in going), start + max(256, min(x.above + x.below for x in going) // 4))
+        same_of = np.concatenate([x.move(start, end) for x in going], 1)
+        size, table = same_of.shape[1], same_of.tobytes()
+        plus, minus, full, ones, at = 0, 0, 0, 0, 0
+        for x in going:
+            plus, minus, full, ones = plus | x.plus << at, minus | x.minus << at, full | x.full << at, ones | 1 << at
+            at += 8 * x.size
+        for k in range(0, len(table), size):
+            same = int.from_bytes(table[k : k + size], "little") | minus
+            flat = ((((same & plus) + plus) ^ plus) | same) & full
+            up = (minus | (plus | flat) ^ full) << 1 | ones
+            minus, plus = up & flat, ((plus & flat) << 1 | (up | flat) ^ full) & full
+        at = 0
+        for x in going:
+            x.plus, x.minus = plus >> at & x.full, minus >> at & x.full
+            at += 8 * x.size
+        start, going = end, [x for x in going if x.m > end]
+    return [x.done() for x in bands]
+
+
+def _within(a, b, most: int, extra: int) -> int:
     """The edit distance if it is at most ``most``, else some number of edits that suffices; ``a`` is not the shorter one.
 
     Rows are the places of ``b``. A stretch of columns sees the rows that its diagonals meet: rows above it are left at the
@@ -75,9 +211,7 @@ def _within(a, b, most: int) -> int:
     alignments within the diagonals are exact.
     """
     m, n = len(a), len(b)
-    less = m - n  # the last diagonal
-    apart = max(0, most - less) // 2
-    above, below = less + apart, apart
+    above, below = _reach(m, n, most, extra)
     at: dict = {}
     for k, x in enumerate(b):
         at.setdefault(x, []).append(k)
@@ -130,14 +264,20 @@ def edits_between(a: Column, b: Column, once: bool = False) -> Column:
     """
 
     def edits(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else distance(*_differing(p, q)) for p, q in zip(x, y)], dtype="Int32")
+        known = [k for k, (p, q) in enumerate(zip(x, y)) if p is not None and q is not None]
+        found = dict(zip(known, distances([_differing(x[k], y[k]) for k in known])))
+        return pd.Series([found.get(k) for k in range(len(x))], dtype="Int32")
 
     run = in_pieces(lambda: edits, "int", 2)
     return (run.asNondeterministic() if once else run)(a, b)
 
 
 def word_error(hyp: Column, ref: Column) -> Column:
-    h, r = tokens(normalise(hyp)), tokens(normalise(ref))
+    return token_error(tokens(normalise(hyp)), tokens(normalise(ref)))
+
+
+def token_error(h: Column, r: Column) -> Column:
+    """``word_error`` of the tokens of normalised texts."""
     edits, size = edits_between(h, r), F.size(r)
     return F.struct(_rate(edits, size, F.size(h)).alias("rate"), edits.alias("edits"), size.alias("ref_size"))
 
